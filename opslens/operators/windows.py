@@ -74,7 +74,9 @@ def mean_of(s: Column, n: int) -> Column:
 
 
 def std_of(s: Column, q: Column, n: int) -> Column:
-    """Sample deviation from the exact numerator ``n*Q - S*S``."""
+    """Sample deviation from the exact numerator ``n*Q - S*S``; zero for a single window."""
+    if n < 2:
+        return F.lit(0.0)
     num = F.lit(n).cast("decimal(10,0)") * q.cast("decimal(28,0)") - (_big(s) * _big(s)).cast("decimal(38,0)")
     return F.sqrt(num.cast("double") / F.lit(float(n * (n - 1))))
 

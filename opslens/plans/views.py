@@ -64,3 +64,121 @@ def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.coalesce("toxic", F.lit(0)) == 1, "ERROR").otherwise("INFO").alias("level"),
         F.col("text").alias("message"), "lang",
     )
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as topic records: sound envelopes, broken JSON, and envelopes that break one rule each."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('svc-', user_id % 3) AS key",
+        """CASE event_id % 10
+             WHEN 0 THEN concat('{not-valid-json ', event_id)
+             WHEN 1 THEN concat('{"schema":"logs.raw.v1","messageId":"m-', event_id, '","occurredAt":', 1704067200 + event_id,
+                                ',"producedAt":1,"traceId":"t","tenantId":"d"}')
+             ELSE concat('{"schema":"logs.raw.v1","messageId":"m-', event_id, '","occurredAt":', 1704067200 + event_id,
+                         ',"producedAt":"2024-02-01T00:00:00Z","traceId":"', CASE event_id % 10 WHEN 3 THEN '' ELSE concat('t', event_id) END,
+                         '","tenantId":', CASE event_id % 10 WHEN 4 THEN '7' ELSE concat('"tenant-', user_id % 4, '"') END,
+                         ',"payload":{', CASE event_id % 10 WHEN 2 THEN '' ELSE concat('"service":"svc-', user_id % 3, '",') END,
+                         '"level":"', CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END,
+                         '","message":"', event_type, ' ', event_id, '","metadata":{"tenantId":"tenant-', user_id % 4, '"}}}') END AS value""",
+        "'logs.raw' AS topic", "cast(event_id % 3 AS int) AS partition", "event_id div 3 AS offset",
+        "cast(ts AS timestamp) AS timestamp",
+    )
+
+
+def dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as dead letters of three topics."""
+    return table(spark, sf_dir, "events").selectExpr(
+        """CASE event_type WHEN 'click' THEN 'logs.preprocessed.dlq' WHEN 'purchase' THEN 'tickets.new.dlq'
+                           ELSE 'logs.raw.dlq' END AS topic""",
+        "cast(event_id % 3 AS int) AS partition", "event_id div 3 AS offset",
+        "concat('k', user_id) AS key", "props AS value",
+    )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with the whole text of the document of the same id."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    return e.join(d, F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("label"),
+        F.col("text").alias("content"), "source", "lang",
+    )
+
+
+def label_queries(corpus_df: DataFrame) -> DataFrame:
+    """One query per label: the mean vector of its rows and the text of its earliest row."""
+    dims = corpus_df.select("label", F.posexplode("vector")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("v"))
+    mean = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("vector"))
+    words = corpus_df.groupBy("label").agg(F.min_by("content", "id").alias("text"))
+    return mean.join(words, "label").withColumnRenamed("label", "query_id")
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus`` as code rows; every ninth has no stored content."""
+    c = corpus(spark, sf_dir)
+    return c.select(
+        "id", "vector", F.concat(F.lit("svc-"), F.col("label") % 3).alias("repo"), F.lit("sha").alias("git_sha"),
+        F.concat(F.lit("src/"), F.col("source"), F.lit(".java")).alias("file_path"),
+        F.concat(F.lit("com.example.C"), F.col("id")).alias("fqn"),
+        F.when(F.col("id") % 9 != 0, F.col("content")).alias("content"),
+    )
+
+
+def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as embedding requests, one an hour."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS seq", "text", "CASE doc_id % 3 WHEN 0 THEN 'LOGS' WHEN 1 THEN 'code' ELSE 'INCIDENTS' END AS corpus",
+        """CASE doc_id % 3 WHEN 2 THEN concat('inc-', doc_id % 50) ELSE CASE WHEN doc_id % 2 = 0 THEN source END END AS content_id""",
+        """map('repo', source, 'git_sha', lang, 'file_path', concat('f', doc_id % 7),
+               'fqn', CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('c', doc_id % 5) END) AS metadata""",
+        "1704067200000000 + doc_id * 3600000000 AS ts_us",
+    )
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as model calls: one conversation an hour, one turn a minute."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id * 1000 + turn AS call_id",
+        "concat('Classify a ', role, ' message of about ', length(text) div 200, ' hundred words') AS prompt",
+        "concat('agent-', turn % 3) AS agent",
+        "CASE (conv_id + turn) % 4 WHEN 0 THEN 'TINY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' ELSE 'LARGE' END AS tier",
+        "CASE WHEN (conv_id + turn) % 17 = 0 THEN 'FAILED' ELSE 'OK' END AS status",
+        "cast(length(text) div 4 AS bigint) AS est_tokens",
+        "cast(length(text) div 4 + turn % 3 AS bigint) AS tokens_in",
+        "cast(length(text) div 8 + 5 AS bigint) AS tokens_out",
+        "1704067200000000 + conv_id * 3600000000 + turn * 60000000 AS ts_us",
+        "timestamp_micros(1704067200000000 + conv_id * 3600000000 + turn * 60000000) AS ts",
+        "text",
+    )
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five findings per document; layers and confidences by arithmetic so that both gates are met and missed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    roles = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(r).alias("role")) for i, r in enumerate(ROLES)])
+    return d.withColumn("r", F.explode(roles)).selectExpr(
+        "concat('inc-', doc_id) AS incident_id", "doc_id", "r.role AS role",
+        "CASE (doc_id + r.i * r.i) % 3 WHEN 0 THEN 'NullPointerException' WHEN 1 THEN 'TimeoutException' ELSE 'SQLException' END AS error_type",
+        "CASE WHEN (doc_id * 7 + r.i * r.i) % 5 < 2 THEN 'APPLICATION' WHEN (doc_id * 7 + r.i * r.i) % 5 < 4 THEN 'DATA_ACCESS' ELSE 'INFRASTRUCTURE' END AS layer",
+        "array(concat(source, '.java'), concat('R', r.i, '.java')) AS suspected_files",
+        "((doc_id * 13 + r.i * 29) % 100) / 100.0D * CASE WHEN doc_id % 10 = 3 THEN 0.25D ELSE 1.0D END AS confidence",
+        "concat(lang, ' view ', r.i) AS rationale",
+    )
+
+
+ROLES = ("Backend Engineer", "DevOps Engineer", "Frontend Engineer", "Full Stack Engineer", "System Analyst")
+
+
+def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opslens.operators.consensus import consensus
+
+    return consensus(findings(spark, sf_dir))
+
+
+def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: suggested and expected files, and the expected layer."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "concat('inc-', doc_id) AS incident_id",
+        "transform(sequence(0, cast(doc_id % 8 AS int)), i -> concat('f', (doc_id + i * i) % 9)) AS suggested",
+        "transform(sequence(0, cast(doc_id % 4 AS int)), i -> concat('f', (doc_id + i * 2) % 9)) AS expected_files",
+        "CASE doc_id % 3 WHEN 0 THEN 'application' ELSE 'DATA_ACCESS' END AS expected_layer",
+    )

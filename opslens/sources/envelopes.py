@@ -19,12 +19,18 @@ EMBED_TOPIC = "embed.requests"
 DLQ_TOPICS = ("logs.raw.dlq", "logs.preprocessed.dlq", "tickets.new.dlq")
 MAX_ERROR_CHARS = 900
 
-LOG_ENTRY = T.StructType.fromDDL(
-    "service string, level string, message string, stackTrace string, traceId string, spanId string, "
-    "occurredAt string, metadata map<string,string>"
+_TEXT = T.StringType()
+LOG_ENTRY = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("service", "level", "message", "stackTrace", "traceId", "spanId", "occurredAt")]
+    + [T.StructField("metadata", T.MapType(_TEXT, _TEXT))]
 )
-RECORD_SCHEMA = T.StructType.fromDDL(
-    "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
+RECORD_SCHEMA = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("key", "value", "topic")]
+    + [
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("timestamp", T.TimestampType()),
+    ]
 )
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
