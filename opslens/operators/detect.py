@@ -2,8 +2,9 @@
 
 Plan: the slot table gives, per (service, fingerprint, slot) and per (service, slot), the count already
 reached in the window and the baseline. Those rows are put *in front of* the events of their slot and a
-running sum carries them forward. The events are therefore shuffled once, on (service, slot), and joined
-with nothing; a service that holds a third of all rows is still cut into slots of a few seconds.
+running sum carries them forward. The events are therefore shuffled once, on (service, slot, cut), and
+joined with nothing; a service that holds a third of all rows is cut into slots of a few seconds, and a slot
+that is crowded all the same is cut again (see ``running``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opslens.functions.ids import severity
-from opslens.functions.text import WINDOW_SECONDS, epoch_us
+from opslens.functions.text import WINDOW_SECONDS
+from opslens.operators.running import MAX_SLOT_ROWS, find_cuts, with_cut
 from opslens.operators.windows import (
     BASELINE_WINDOWS,
     COLD_SECONDS,
@@ -23,17 +25,18 @@ from opslens.operators.windows import (
     IDLE_RESET_SECONDS,
     SLOT_SECONDS,
     SVC_KEYS,
+    fingerprint_slots,
     int_div,
     is_cold,
-    is_error,
+    mark_slots,
     mean_of,
     service_slots,
     session_start,
-    slot_counts,
     slot_stats,
     slots_per_window,
     std_of,
 )
+from opslens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -53,15 +56,26 @@ class Thresholds:
 COLD_STRATEGY = "cold_start_24h_static"
 
 
-def slot_tables(df: DataFrame, slot_s: int, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Fingerprint and service slots of a batch, each with the history's rows marked not fresh."""
-    fp = slot_counts(df, slot_s).withColumn("fresh", F.lit(True))
-    svc = service_slots(df, slot_s).withColumn("fresh", F.lit(True))
+def slot_tables(df: DataFrame, slot_s: int, history: DataFrame | None,
+                max_slot_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with slot and cut, fingerprint slots, service slots); history rows are marked not fresh.
+
+    The service slots are needed anyway; written down once, they also tell which slots are crowded.
+    """
+    marked = mark_slots(df, slot_s)
+    plain = service_slots(marked.withColumn("_cut", F.lit(0)))
+    cuts = None
+    if max_slot_rows is not None:
+        plain = cut_lineage(plain)
+        cuts = find_cuts(marked, SVC_KEYS, plain.withColumnRenamed("slot", "_slot"), "ts_us", "event_id", max_slot_rows)
+    marked = with_cut(marked, SVC_KEYS, cuts, "ts_us", "event_id")
+    svc = plain if cuts is None else service_slots(marked)
+    fp, svc = (x.withColumn("fresh", F.lit(True)) for x in (fingerprint_slots(marked), svc.drop("n")))
     if history is not None:
-        old = history.withColumn("fresh", F.lit(False))
+        old = history.withColumns({"fresh": F.lit(False), "cut": F.lit(0)})
         fp = fp.unionByName(old)
-        svc = svc.unionByName(old.groupBy("service", "slot", "fresh").agg(F.sum("err").alias("err")))
-    return fp, svc
+        svc = svc.unionByName(old.groupBy("service", "slot", "cut", "fresh").agg(F.sum("err").alias("err")))
+    return marked, fp, svc
 
 
 def event_context(
@@ -71,37 +85,36 @@ def event_context(
     slot_s: int = SLOT_SECONDS,
     history: DataFrame | None = None,
     idle_reset_s: int = IDLE_RESET_SECONDS,
+    max_slot_rows: int | None = MAX_SLOT_ROWS,
 ) -> DataFrame:
     """Events with running counts, both baselines (as sums) and the first-seen mark.
 
     ``history`` is an earlier slot table (see ``slot_counts``): the state of an incremental run. Its rows
-    count as arrived before this batch.
+    count as arrived before this batch. ``max_slot_rows=None`` skips the search for crowded slots.
     """
     per = slots_per_window(window_s, slot_s)
-    slots, svc_slots = slot_tables(df, slot_s, history)
+    marked, slots, svc_slots = slot_tables(df, slot_s, history, max_slot_rows)
     fp = session_start(slot_stats(slots, FP_KEYS, "cnt", per, n), FP_KEYS, idle_reset_s).filter("fresh")
     svc = slot_stats(svc_slots, SVC_KEYS, "err", per, n).filter("fresh")
 
     none_long, none_dec = F.lit(None).cast("bigint"), F.lit(None).cast("decimal(28,0)")
-    us = epoch_us(F.col("occurred_at"))
-    events = df.select(
-        "service", "fingerprint",
-        int_div(us, slot_s * 1_000_000).alias("slot"),
-        F.lit(2).alias("rank"), us.alias("ts_us"), F.col("event_id"),
-        F.lit(1).cast("bigint").alias("d_fp"), is_error(F.col("level")).alias("d_err"),
+    events = marked.select(
+        "service", "fingerprint", F.col("_slot").alias("slot"), F.col("_cut").alias("cut"),
+        F.lit(2).alias("rank"), "ts_us", "event_id",
+        F.lit(1).cast("bigint").alias("d_fp"), F.col("err").alias("d_err"),
         none_long.alias("fp_s"), none_dec.alias("fp_q"), none_long.alias("first_seen_us"),
         none_long.alias("svc_s"), none_dec.alias("svc_q"),
     )
     no_event = F.lit(None).cast(df.schema["event_id"].dataType)
     svc_heads = svc.select(
-        "service", F.lit(None).cast("string").alias("fingerprint"), "slot",
+        "service", F.lit(None).cast("string").alias("fingerprint"), "slot", "cut",
         F.lit(0).alias("rank"), none_long.alias("ts_us"), no_event.alias("event_id"),
         F.lit(0).cast("bigint").alias("d_fp"), F.col("before").cast("bigint").alias("d_err"),
         none_long.alias("fp_s"), none_dec.alias("fp_q"), none_long.alias("first_seen_us"),
         F.col("base_s").cast("bigint").alias("svc_s"), F.col("base_q").alias("svc_q"),
     )
     fp_heads = fp.select(
-        "service", "fingerprint", "slot",
+        "service", "fingerprint", "slot", "cut",
         F.lit(1).alias("rank"), none_long.alias("ts_us"), no_event.alias("event_id"),
         F.col("before").cast("bigint").alias("d_fp"), F.lit(0).cast("bigint").alias("d_err"),
         F.col("base_s").cast("bigint").alias("fp_s"), F.col("base_q").alias("fp_q"), "first_seen_us",
@@ -110,8 +123,8 @@ def event_context(
 
     # the service frame comes first: its partitioning also satisfies the finer fingerprint frame
     order = ("rank", "ts_us", "event_id")
-    by_svc = W.partitionBy("service", "slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    by_fp = W.partitionBy("service", "slot", "fingerprint").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    by_svc = W.partitionBy("service", "slot", "cut").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    by_fp = W.partitionBy("service", "slot", "cut", "fingerprint").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = svc_heads.unionByName(fp_heads).unionByName(events)
     out = out.select(
         "*",
@@ -182,11 +195,12 @@ def detect(
     cold_s: int = COLD_SECONDS,
     idle_reset_s: int = IDLE_RESET_SECONDS,
     level: str | None = None,
+    max_slot_rows: int | None = MAX_SLOT_ROWS,
 ) -> DataFrame:
     """One row per event, with its report if any. ``level`` restricts the input to one log level."""
     if level is not None:
         df = df.filter(F.upper("level") == level.upper())
-    ctx = event_context(df, window_s, n, slot_s, history, idle_reset_s)
+    ctx = event_context(df, window_s, n, slot_s, history, idle_reset_s, max_slot_rows)
     ctx = ctx.withColumn("is_cold", is_cold(F.col("ts_us"), F.col("first_seen_us"), cold_s))
     c = F.col
     rule = classify(
@@ -244,8 +258,14 @@ def detect_windows(df: DataFrame, thresholds: Thresholds = Thresholds(), window_
     Fewer and later alerts than ``detect``; it reads the slot table only, so its cost does not grow with
     the events of a hot key.
     """
+    _, slots, svc_slots = slot_tables(df, slot_s, history, None)
+    return detect_slots(slots, svc_slots, thresholds, window_s, n, slot_s)
+
+
+def detect_slots(slots: DataFrame, svc_slots: DataFrame, thresholds: Thresholds = Thresholds(),
+                 window_s: int = WINDOW_SECONDS, n: int = BASELINE_WINDOWS, slot_s: int = SLOT_SECONDS) -> DataFrame:
+    """``detect_windows`` over slot tables that carry ``fresh`` and ``cut``."""
     per = slots_per_window(window_s, slot_s)
-    slots, svc_slots = slot_tables(df, slot_s, history)
     fp = session_start(slot_stats(slots, FP_KEYS, "cnt", per, n)).groupBy("service", "fingerprint", "window_id").agg(
         F.sum("cnt").alias("fp_count"), F.max("last_us").alias("ts_us"), F.max("base_s").alias("fp_s"),
         F.max("base_q").alias("fp_q"), F.max("first_seen_us").alias("first_seen_us"), F.max("fresh").alias("fresh"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions.text import content_hash
-from opslens.operators.running import running_sums
+from opslens.operators.running import running_sums, with_slots
 from opslens.operators.ttl import cache_hits
 from opslens.session import cut_lineage
 
@@ -122,11 +122,12 @@ def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float =
     c = F.col
     bound = token_bound(limit, EXHAUSTED_AT, usd_per_1k) if limit > 0 else 0
     src = calls.withColumn("day", F.to_date("ts")).withColumn("charge", charged_tokens())
+    src = with_slots(src, ["day"], "ts_us", "call_id", slot_s)
     id_type = src.schema["call_id"].dataType.simpleString()
     spark = src.sparkSession
 
     segments: list[tuple] = []
-    open_calls = src.select("day", "ts_us", "call_id", c("est_tokens").alias("est"), "charge")
+    open_calls = src.select("day", "_slot", "_cut", "ts_us", "call_id", c("est_tokens").alias("est"), "charge")
     state: dict[dt.date, tuple] = {}
     first = True
     while True:
@@ -141,7 +142,7 @@ def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float =
                 (c("est") < c("rest")) & (F.struct("ts_us", "call_id") > F.struct("p_ts", "p_id"))
             ).drop("p_ts", "p_id")
         small = c("est") < c("half")
-        run = running_sums(cand, ["day"], {"used": F.when(small, c("charge")).otherwise(0)}, "ts_us", "call_id", slot_s)
+        run = running_sums(cand, ["day"], {"used": F.when(small, c("charge")).otherwise(0)}, "ts_us", "call_id")
         before = c("rest") - (c("used") - F.when(small, c("charge")).otherwise(0))
         if first:
             ends = run.filter(c("est") >= before).select("day", "ts_us", "call_id", before.alias("left"), F.lit(False).alias("fits"))
@@ -184,7 +185,7 @@ def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float =
 
     marked = src.join(F.broadcast(seg), "day").withColumn("admitted", F.exists("segs", admitted)).drop("segs")
     marked = marked.withColumn("charged", F.when(c("admitted"), c("charge")).otherwise(F.lit(0).cast("bigint")))
-    out = running_sums(marked, ["day"], {"_upto": c("charged")}, "ts_us", "call_id", slot_s)
+    out = running_sums(marked, ["day"], {"_upto": c("charged")}, "ts_us", "call_id")
     spent = c("_upto") - c("charged")
     projected = spent + c("est_tokens")
     soft = token_bound(limit, DEGRADED_AT, usd_per_1k) if limit > 0 else 0

@@ -97,20 +97,33 @@ def baseline(counts: DataFrame, keys: Sequence[str] = FP_KEYS, n: int = BASELINE
     )
 
 
+def mark_slots(df: DataFrame, slot_s: int = SLOT_SECONDS) -> DataFrame:
+    """The narrow columns the detector works on, with the slot of each event."""
+    us = epoch_us(F.col("occurred_at"))
+    return df.select(
+        "service", "fingerprint", us.alias("ts_us"), is_error(F.col("level")).alias("err"),
+        int_div(us, slot_s * 1_000_000).alias("_slot"), *(["event_id"] if "event_id" in df.columns else []),
+    )
+
+
 def slot_counts(df: DataFrame, slot_s: int = SLOT_SECONDS) -> DataFrame:
     """The slot table: events, ERROR events and first/last time per (service, fingerprint, slot)."""
-    us = epoch_us(F.col("occurred_at"))
-    return (
-        df.select(
-            "service", "fingerprint", us.alias("ts_us"), is_error(F.col("level")).alias("err"),
-        )
-        .groupBy("service", "fingerprint", int_div(F.col("ts_us"), slot_s * 1_000_000).alias("slot"))
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.sum("err").alias("err"),
-            F.min("ts_us").alias("first_us"),
-            F.max("ts_us").alias("last_us"),
-        )
+    return fingerprint_slots(mark_slots(df, slot_s).withColumn("_cut", F.lit(0))).drop("cut")
+
+
+def fingerprint_slots(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("service", "fingerprint", F.col("_slot").alias("slot"), F.col("_cut").alias("cut")).agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.sum("err").alias("err"),
+        F.min("ts_us").alias("first_us"),
+        F.max("ts_us").alias("last_us"),
+    )
+
+
+def service_slots(marked: DataFrame) -> DataFrame:
+    """ERROR events per (service, slot): needs no template or fingerprint."""
+    return marked.groupBy("service", F.col("_slot").alias("slot"), F.col("_cut").alias("cut")).agg(
+        F.sum("err").alias("err"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -130,7 +143,7 @@ def slot_stats(slots: DataFrame, keys: Sequence[str], value: str, per: int, n: i
     keys = list(keys)
     df = slots.withColumn("window_id", int_div(F.col("slot"), per)).repartition(*keys)
     whole = W.partitionBy(*keys, "window_id")
-    ordered = whole.orderBy("slot", "fresh")
+    ordered = whole.orderBy("slot", "cut", "fresh")
     v = F.col(value)
     fresh_v = F.when(F.col("fresh"), v).otherwise(F.lit(0))
     old_v = F.when(F.col("fresh"), F.lit(0)).otherwise(v)
@@ -149,20 +162,12 @@ def slot_stats(slots: DataFrame, keys: Sequence[str], value: str, per: int, n: i
     )
 
 
-def service_slots(df: DataFrame, slot_s: int = SLOT_SECONDS) -> DataFrame:
-    """ERROR events per (service, slot), straight from the events: needs no template or fingerprint."""
-    us = epoch_us(F.col("occurred_at"))
-    return df.groupBy("service", int_div(us, slot_s * 1_000_000).alias("slot")).agg(
-        F.sum(is_error(F.col("level"))).alias("err")
-    )
-
-
 def session_start(slots: DataFrame, keys: Sequence[str] = FP_KEYS, idle_reset_s: int = IDLE_RESET_SECONDS) -> DataFrame:
     """Adds ``first_seen_us``: start of the current stretch without ``idle_reset_s`` of silence.
 
     A gap that long is wider than a slot, so only gaps between slots can reset the mark.
     """
-    by = W.partitionBy(*keys).orderBy("window_id", "slot", "fresh")
+    by = W.partitionBy(*keys).orderBy("window_id", "slot", "cut", "fresh")
     prev_last = F.max("last_us").over(by.rowsBetween(W.unboundedPreceding, -1))
     starts = prev_last.isNull() | (F.col("first_us") - prev_last >= idle_reset_s * 1_000_000)
     mark = F.last(F.when(F.col("_starts"), F.col("first_us")), ignorenulls=True)
@@ -177,8 +182,7 @@ def first_seen(df: DataFrame, idle_reset_s: int = IDLE_RESET_SECONDS, slot_s: in
     """One row per stretch of a (service, fingerprint) that never falls silent for ``idle_reset_s``."""
     slots = (
         slot_counts(df, slot_s)
-        .withColumn("fresh", F.lit(True))
-        .withColumn("window_id", F.col("slot"))
+        .withColumns({"fresh": F.lit(True), "cut": F.lit(0), "window_id": F.col("slot")})
     )
     return (
         session_start(slots, FP_KEYS, idle_reset_s)
@@ -213,21 +217,21 @@ def fingerprint_batches(df: DataFrame, sample: int = 10) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"),
         F.min("occurred_at").alias("first_at"),
         F.max("occurred_at").alias("last_at"),
-        F.max("template").alias("normalized_message"),
     )
     has_trace = "stack_trace" in df.columns
     trace = F.col("stack_trace") if has_trace else F.lit(None).cast("string")
     head = (
-        df.select("service", "fingerprint", "occurred_at", "event_id", "message", trace.alias("stack_trace"))
+        df.select("service", "fingerprint", "occurred_at", "event_id", "message", "template", trace.alias("stack_trace"))
         .withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") <= sample)
         .groupBy("service", "fingerprint")
         .agg(
             F.array_sort(F.collect_list(F.struct("_rn", "event_id", "message"))).alias("_s"),
+            F.min_by("template", "_rn").alias("normalized_message"),
             F.min_by("stack_trace", F.when(F.col("stack_trace").isNotNull(), F.col("_rn"))).alias("base_stack_trace"),
         )
         .select(
-            "service", "fingerprint", "base_stack_trace",
+            "service", "fingerprint", "normalized_message", "base_stack_trace",
             F.transform("_s", lambda e: F.struct(e["event_id"].alias("event_id"), e["message"].alias("message"))).alias(
                 "sample"
             ),
