@@ -155,11 +155,11 @@ def window_id(ts: Column, seconds: int = WINDOW_SECONDS) -> Column:
 def trigrams(c: Column) -> Column:
     """Distinct padded word trigrams: two blanks before and one after each lower-case word.
 
-    The words are laid out with three blanks between them, so every window of three characters is a
-    trigram of one word unless it ends in two blanks; one linear scan yields them all.
+    The distinct words are laid out with three blanks between them, so every window of three characters is
+    a trigram of one word unless it ends in two blanks; one linear scan yields them all.
     """
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    padded = F.concat(F.lit("  "), F.regexp_replace(words, " ", "   "), F.lit(" "))
+    padded = F.concat(F.lit("  "), F.array_join(F.array_distinct(F.split(words, " ")), "   "), F.lit(" "))
     grams = F.regexp_extract_all(padded, F.lit(r"(?=(...))"), F.lit(1))
     return F.when(words == "", F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.filter(grams, lambda g: ~g.endswith("  ")))

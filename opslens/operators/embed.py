@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.kernels import fake_vectors
 from opslens.functions.text import content_hash
 from opslens.operators.retrieve import corpus_view
 from opslens.operators.ttl import cache_hits
+from opslens.sources.tables import upsert_table
 
 DIMENSION = 1536
 EMBED_TTL_SECONDS = 604_800
@@ -144,14 +145,21 @@ def upsert_corpus(existing: DataFrame | None, new: DataFrame, corpus: str, vecto
     The batch is reduced to one row per key before vectors are attached, so a hot text or key meets the
     join once. LOGS keeps counting; CODE keeps its stored content (only the vector is replaced).
     """
-    keys = list(CORPUS_KEYS[corpus.upper()])
+    return merge_corpus(existing, batch_rows(new, corpus, vectors), corpus)
+
+
+def batch_rows(new: DataFrame, corpus: str, vectors: DataFrame | None = None) -> DataFrame:
+    """A batch of requests as rows of its corpus, one per key."""
     batch = reduce_requests(new, corpus)
-    carried = ["content", "content_hash", "seq", "sample_count"]
     if vectors is not None:
         batch = batch.join(vectors, "content_hash", "left")
-        carried.append("embedding")
-    if corpus.upper() == "CODE":
-        batch = batch.withColumn("content", F.lit(None).cast("string"))
+    return batch.withColumn("content", F.lit(None).cast("string")) if corpus.upper() == "CODE" else batch
+
+
+def merge_corpus(existing: DataFrame | None, batch: DataFrame, corpus: str) -> DataFrame:
+    """Stored rows and batch rows as one row per key."""
+    keys = list(CORPUS_KEYS[corpus.upper()])
+    carried = ["content", "content_hash", "seq", "sample_count", *(["embedding"] if "embedding" in batch.columns else [])]
     if existing is None:
         return batch.select(*keys, *carried)
     both = existing.select(*keys, *carried).unionByName(batch.select(*keys, *carried))
@@ -164,6 +172,13 @@ def upsert_corpus(existing: DataFrame | None, new: DataFrame, corpus: str, vecto
     ).select(*keys, *carried)
 
 
+def store_corpus(spark: SparkSession, path: str, new: DataFrame, corpus: str, vectors: DataFrame | None = None,
+                 buckets: int = 256) -> None:
+    """Upsert a batch of requests into the stored corpus at ``path``."""
+    rows = batch_rows(new, corpus, vectors)
+    upsert_table(spark, path, rows, CORPUS_KEYS[corpus.upper()], lambda old, b: merge_corpus(old, b, corpus), buckets)
+
+
 def known_incidents(df: DataFrame, incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose incident exists, rows to quarantine)."""
     i = incidents.select("incident_id")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from opslens.functions import ids
 from opslens.operators.detect import Thresholds, evidence
+from opslens.sources.envelopes import TICKETS_SCHEMA, to_envelope
 
 # States on incidents, tickets and audit rows.
 OPEN, PENDING = "OPEN", "PENDING"
-TICKETED, DISCARDED = "TICKETED", "DISCARDED"
+TICKETED, DISCARDED, FAILED = "TICKETED", "DISCARDED", "FAILED"
 AUDIT_AGENT = "ORCHESTRATOR"
 
 
@@ -88,6 +89,31 @@ def audit_rows(detected: DataFrame, incidents: DataFrame, agent: str = AUDIT_AGE
     )
 
 
+def failed_rows(dead: DataFrame, agent: str = AUDIT_AGENT) -> DataFrame:
+    """Audit rows of records that could not be processed, from their dead letters."""
+    at = F.map_from_entries("headers")
+    origin = F.concat_ws(":", *[F.decode(at[f"x-error-original-{p}"], "UTF-8") for p in ("topic", "partition", "offset")])
+    run_id = ids.name_uuid(F.encode(F.concat(F.lit("run:"), origin), "UTF-8"))
+    return dead.select(
+        run_id.alias("execution_id"), run_id.alias("run_key"), F.lit(agent).alias("agent_name"), origin.alias("origin"),
+        F.lit(FAILED).alias("status"),
+    )
+
+
+def ticket_records(tickets: DataFrame, tenant: str = "tenant_id") -> DataFrame:
+    """Tickets as records keyed by incident id; message ids follow the ticket, so a re-send repeats them."""
+    c = F.col
+    payload = F.struct(
+        c("ticket_id").alias("id"), c("incident_id").alias("incidentId"), "title", "description", "severity", "service",
+        c("suspected_files").alias("suspectedFiles"), "status",
+    )
+    t = c(tenant) if tenant in tickets.columns else F.lit(None).cast("string")
+    return to_envelope(
+        tickets.withColumn("occurred_at", c("created_at")), TICKETS_SCHEMA, "incident_id", payload=payload,
+        message_id=c("ticket_id"), produced_at=c("created_at"), trace=F.lit(None).cast("string"), tenant=t,
+    )
+
+
 def upsert_incidents(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing rows untouched, new ids appended."""
     fresh = new.join(existing.select("incident_id"), "incident_id", "left_anti")

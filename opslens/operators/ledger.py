@@ -213,3 +213,18 @@ def route(tier: Column, level: Column, decision: Column, models: Mapping[str, st
         model = model.when(eff == t, m)
     missing = F.raise_error(F.concat(F.lit("no model for tier "), F.coalesce(eff, F.lit("null")))).cast("string")
     return model.otherwise(missing)
+
+
+def gateway(calls: DataFrame, models: Mapping[str, str], limit: float = DAILY_LIMIT_USD, ttl_s: int = RESPONSE_TTL_SECONDS) -> DataFrame:
+    """Every call through cache, budget and routing: adds is_hit, decision, level, model, charged.
+
+    Only cache misses reach the budget. ``status`` is the outcome of calls that were sent.
+    """
+    marked = response_cache_hits(calls, ttl_s)
+    sent = admit(marked.filter("NOT is_hit"), limit).withColumn("model", route(F.col("tier"), F.col("level"), F.col("decision"), models))
+    zero = F.lit(0).cast("bigint")
+    hits = marked.filter("is_hit").select(
+        *marked.columns, F.lit("CACHED").alias("decision"), F.lit(None).cast("string").alias("level"), zero.alias("charged"),
+        F.lit("cache").alias("model"),
+    )
+    return hits.unionByName(sent.select(*hits.columns))

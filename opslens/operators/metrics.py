@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +85,9 @@ def dlq_backlog(df: DataFrame) -> DataFrame:
     """Per topic, the sum over partitions of newest minus oldest offset plus one."""
     per = df.groupBy("topic", "partition").agg((F.max("offset") + 1 - F.min("offset")).alias("n"))
     return per.groupBy("topic").agg(F.sum(F.greatest(F.lit(0), F.col("n"))).alias("backlog"))
+
+
+def observed(df: DataFrame, name: str, **flags: Column) -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, with its row count and the count of each flag collected while it runs."""
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(k) for k, c in flags.items()]), obs

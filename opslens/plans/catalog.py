@@ -24,6 +24,7 @@ from opslens.sources import logs as src
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CALL_LIMIT = 0.002
+GATEWAY_LIMIT = 0.0005
 MODELS = {"TINY": "model-xs", "SMALL": "model-s", "MEDIUM": "model-m", "LARGE": "model-l"}
 HALF = 1705363200000000  # 2024-01-16, splits stored state from the batch at hand
 COLD_RULES = Thresholds(cold_spike=15, cold_rate_errors=20)
@@ -67,6 +68,30 @@ def envelope_raw(s, d):
     return out.select("key", "value", big(F.size("headers")).alias("n_headers"))
 
 
+@query
+def envelope_preprocessed(s, d):
+    p = v.preprocessed(s, d)
+    out = env.to_envelope(
+        p, env.PREPROCESSED_SCHEMA, "fingerprint", message_id=F.concat(lit("m-"), c("event_id").cast("string")), produced_at=c("occurred_at"),
+        trace=c("trace_id"), tenant=ids.resolve_tenant(c("metadata")), payload=F.struct("service", "level", "template"),
+    )
+    return out.select("key", "value", big(F.size("headers")).alias("n_headers"))
+
+
+@query
+def envelope_tickets(s, d):
+    t = inc.ticket_records(inc.stub_tickets(inc.open_incidents(_hourly(s, d))))
+    body = F.from_json("value", "schema string, messageId string, payload struct<incidentId: string, severity: string, status: string>")
+    return t.select("key", big(F.size("headers")).alias("n_headers"), body.alias("b")).select(
+        "key", "n_headers", "b.schema", "b.messageId", "b.payload.incidentId", "b.payload.severity", "b.payload.status")
+
+
+@query
+def failed_audit(s, d):
+    _, dead = env.split_poison(env.decode(v.records(s, d)))
+    return inc.failed_rows(dead).select("execution_id", "origin", "status")
+
+
 @query
 def decode_envelopes(s, d):
     good, _ = env.split_poison(env.decode(v.records(s, d)))
@@ -507,6 +532,12 @@ def budget_admission(s, d):
     return led.admit(v.calls(s, d), CALL_LIMIT).select("call_id", "spent_before", "decision", "level", "charged")
 
 
+@query
+def call_gateway(s, d):
+    out = led.gateway(v.calls(s, d), MODELS, GATEWAY_LIMIT)
+    return out.select("call_id", "is_hit", "decision", F.coalesce("level", lit("")).alias("level"), "model", "charged")
+
+
 @query
 def tier_routing(s, d):
     # level and decision by arithmetic, so that every pair of them is routed
@@ -585,17 +616,37 @@ def ticket_priority(s, d):
     return out.select("event_id", "priority_score", "calculated_severity", "routing_queue", "justification")
 
 
+def _panel(batch: list[str]) -> list[str]:
+    """Scripted answers: English incidents find agreement, French ones lack confidence, others a majority."""
+    out = []
+    for p in batch:
+        if p.startswith("SYSTEM:\nYou are the "):
+            role = p[len("SYSTEM:\nYou are the "):].split(" of the on-call panel", 1)[0]
+            layer = role if p.endswith(("de", "es", "zh")) else "APPLICATION"
+            conf = 0.2 if p.endswith("fr") else 0.9
+            out.append(f'{{"role":"{role}","errorType":"E","layer":"{layer}","suspectedFiles":["A.java"],"confidence":{conf},"rationale":"r"}}')
+        elif "root cause" in p:
+            out.append('{"cause":"found","evidence":["x"],"confidence":0.8,"alternatives":[]}')
+        elif "Write the ticket" in p:
+            out.append('{"title":"t","description":"d","suspectedFiles":[],"fixSuggestion":"f"}')
+        else:
+            out.append("P1")
+    return out
+
+
 @query
 def resolve_incidents(s, d):
     labels = v.table(s, d, "labels").select("doc_id", (c("quality") == 1).alias("is_anomaly"))
     docs = v.table(s, d, "documents").join(labels, "doc_id", "left").select(
-        F.concat(lit("inc-"), c("doc_id").cast("string")).alias("incident_id"), c("source").alias("service"),
+        F.concat(lit("inc-"), c("doc_id").cast("string")).alias("incident_id"),
+        F.when(c("source") == "src1", cons.TOP_SERVICE).otherwise(c("source")).alias("service"),
         F.timestamp_micros(lit(1704067200000000) + c("doc_id") * 3600000000).alias("created_at"),
         F.coalesce("is_anomaly", lit(True)).alias("is_anomaly"), lit("Incident investigation").alias("requirement"),
         c("text").alias("stack_trace"), c("lang").alias("code_context"),
     )
-    out = cons.resolve_incidents(docs)
-    return out.select("incident_id", "status", F.coalesce("agreed_error_type", lit("")).alias("agreed_error_type"), F.coalesce("calculated_severity", lit("")).alias("calculated_severity"))
+    out = cons.resolve_incidents(docs, _panel)
+    return out.select("incident_id", "status", *[F.coalesce(x, lit("")).alias(x) for x in ("agreed_error_type", "primary_layer", "calculated_severity", "cause")],
+                      F.concat_ws(",", "suspected_files").alias("files"))
 
 
 @query

@@ -74,6 +74,12 @@ SQL["envelope_raw"] = f"""WITH {_LOGS}, e AS (SELECT *, strftime(ts, '%Y-%m-%dT%
   SELECT service AS key, '{{"schema":"logs.raw.v1","messageId":"' || {_uuid3('event_id::VARCHAR')} || '","occurredAt":"' || iso || '","producedAt":"' || iso
     || '","traceId":"' || tr || '","tenantId":"' || tenant_id || '","payload":{{"service":"' || service || '","level":"' || level || '","message":"' || prefix || body || '"}}}}' AS value,
     2::BIGINT AS n_headers FROM e"""
+SQL["envelope_preprocessed"] = f"""WITH {_PARSED}, e AS (SELECT p.*, trace_id, tenant_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM parsed p JOIN logs USING (event_id))
+  SELECT fingerprint AS key, '{{"schema":"logs.preprocessed.v1","messageId":"m-' || event_id || '","occurredAt":"' || iso || '","producedAt":"' || iso || '","traceId":"' || trace_id
+    || '","tenantId":"' || tenant_id || '","payload":{{"service":"' || service || '","level":"' || level || '","template":"' || template || '"}}}}' AS value,
+    CASE WHEN trace_id = '' THEN 1 ELSE 2 END::BIGINT AS n_headers FROM e"""
+SQL["failed_audit"] = f"""WITH {_RECORDS}, o AS (SELECT 'logs.raw:' || "partition" || ':' || "offset" AS origin FROM rec WHERE event_id % 10 < 3)
+  SELECT {_uuid3("'run:' || origin")} AS execution_id, origin, 'FAILED' AS status FROM o"""
 SQL["decode_envelopes"] = f"""WITH {_RECORDS} SELECT 'm-' || event_id AS event_id, key AS service,
   CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type || ' ' || event_id AS message,
   CASE event_id % 10 WHEN 4 THEN '7' ELSE 'tenant-' || (user_id % 4) END AS tenant_id, (1704067200 + event_id) * 1000000 AS occurred_us
@@ -222,6 +228,8 @@ SQL["open_incidents"] = f"""WITH {_HOURLY}, {_INC}, t AS (SELECT event_id, CASE
 SQL["stub_tickets"] = f"""WITH {_HOURLY}, {_INC} SELECT {_uuid3("'ticket:' || incident_id")} AS ticket_id, incident_id, 'Anomaly Detected: ' || anomaly_type || ' in ' || service AS title,
   CASE WHEN score > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, service, 'PENDING' AS status, 'Fingerprint: ' || fingerprint AS fingerprint_line,
   (CASE WHEN rule IN (5, 6) THEN svc_errors ELSE fp_count END)::DECIMAL(28,6)::VARCHAR AS current FROM inc"""
+SQL["envelope_tickets"] = f"""WITH {_HOURLY}, {_INC} SELECT incident_id AS key, 0::BIGINT AS n_headers, 'tickets.new.v1' AS schema, {_uuid3("'ticket:' || incident_id")} AS "messageId",
+  incident_id AS "incidentId", CASE WHEN score > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'PENDING' AS status FROM inc"""
 SQL["ticket_upsert"] = f"""WITH {_HOURLY}, a AS (SELECT *, us < 1705363200000000 AS old FROM det WHERE rule > 0),
   f AS (SELECT *, {_incident('fingerprint', 'anomaly_type')} AS incident_id FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY fingerprint, anomaly_type ORDER BY us, event_id) = 1))
   SELECT incident_id, event_id, CASE WHEN old THEN 'CLOSED' ELSE 'OPEN' END AS status, CASE WHEN score > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM f"""
@@ -353,6 +361,17 @@ SQL["budget_admission"] = f"""WITH RECURSIVE {_CALLS}, o AS (SELECT *, sec // 86
       CASE WHEN walk.spent_before + walk.charged + o.est >= 20000 THEN 'DENY' WHEN walk.spent_before + walk.charged + o.est >= 14000 THEN 'DEGRADE' ELSE 'ALLOW' END,
       CASE WHEN walk.spent_before + walk.charged + o.est >= 20000 THEN 0 ELSE o.charge END FROM walk JOIN o ON o.day = walk.day AND o.rn = walk.rn + 1)
   SELECT call_id, spent_before, decision, {_lvl('spent_before')} AS level, charged FROM walk WHERE rn > 0"""
+SQL["call_gateway"] = f"""WITH RECURSIVE {_CALLS}, {_HITS}, o AS (SELECT *, sec // 86400 AS day, row_number() OVER (PARTITION BY sec // 86400 ORDER BY sec, call_id) AS rn FROM calls JOIN hits USING (call_id) WHERE NOT is_hit),
+  walk AS (SELECT day, 0::BIGINT AS rn, 0::BIGINT AS call_id, '' AS tier, 0::BIGINT AS spent_before, '' AS decision, 0::BIGINT AS charged FROM o GROUP BY day
+    UNION ALL SELECT o.day, o.rn, o.call_id, o.tier, walk.spent_before + walk.charged,
+      CASE WHEN walk.spent_before + walk.charged + o.est >= 5000 THEN 'DENY' WHEN walk.spent_before + walk.charged + o.est >= 3500 THEN 'DEGRADE' ELSE 'ALLOW' END,
+      CASE WHEN walk.spent_before + walk.charged + o.est >= 5000 THEN 0 ELSE o.charge END FROM walk JOIN o ON o.day = walk.day AND o.rn = walk.rn + 1),
+  l AS (SELECT *, {_lvl('spent_before', 5000)} AS level FROM walk WHERE rn > 0),
+  r AS (SELECT *, CASE WHEN decision = 'DEGRADE' AND level = 'NORMAL' THEN 'DEGRADED' ELSE level END AS rl FROM l),
+  e AS (SELECT *, CASE WHEN rl = 'DEGRADED' AND tier = 'LARGE' THEN 'MEDIUM' WHEN rl = 'CRITICAL' THEN 'SMALL' ELSE tier END AS et FROM r)
+  SELECT call_id, false AS is_hit, decision, level, CASE WHEN rl = 'EXHAUSTED' OR decision = 'DENY' THEN 'stub' WHEN et = 'TINY' THEN 'model-xs' WHEN et = 'SMALL' THEN 'model-s'
+    WHEN et = 'MEDIUM' THEN 'model-m' ELSE 'model-l' END AS model, charged FROM e
+  UNION ALL SELECT call_id, true, 'CACHED', '', 'cache', 0 FROM hits WHERE is_hit"""
 SQL["tier_routing"] = f"""WITH {_CALLS}, a AS (SELECT call_id, tier, ['NORMAL','DEGRADED','CRITICAL','EXHAUSTED'][call_id % 7 % 4 + 1] AS lvl, ['ALLOW','DEGRADE','DENY'][call_id % 5 % 3 + 1] AS dec FROM calls),
   b AS (SELECT *, CASE WHEN dec = 'DEGRADE' AND lvl = 'NORMAL' THEN 'DEGRADED' ELSE lvl END AS rl FROM a),
   e AS (SELECT *, CASE WHEN rl = 'DEGRADED' AND tier = 'LARGE' THEN 'MEDIUM' WHEN rl = 'CRITICAL' THEN 'SMALL' ELSE tier END AS et FROM b)
@@ -393,8 +412,12 @@ SQL["ticket_priority"] = """WITH p AS (SELECT event_id, 3 * (CASE WHEN user_id %
     * (CASE WHEN ts::TIME > TIME '08:00:00' AND ts::TIME < TIME '18:00:00' THEN 1 ELSE 3 END)::BIGINT AS s FROM events)
   SELECT event_id, s AS priority_score, CASE WHEN s > 30 THEN 'P0' WHEN s >= 15 THEN CASE WHEN event_id % 2 = 0 THEN 'P1' ELSE 'P2' END WHEN s > 5 THEN 'P2' ELSE 'P3' END AS calculated_severity,
     'ENGINEERING_QUEUE' AS routing_queue, CASE WHEN s BETWEEN 15 AND 30 THEN 'LLM mediated tiebreaker adjustment. Base score: ' ELSE 'Deterministic score metrics: ' END || s AS justification FROM p"""
-SQL["resolve_incidents"] = """SELECT 'inc-' || doc_id AS incident_id, CASE WHEN coalesce(quality, 1) = 1 THEN 'DEGRADED' ELSE 'DISCARDED' END AS status,
-  CASE WHEN coalesce(quality, 1) = 1 THEN 'REVIEW_NEEDED' ELSE '' END AS agreed_error_type, '' AS calculated_severity FROM documents LEFT JOIN labels USING (doc_id)"""
+SQL["resolve_incidents"] = """WITH a AS (SELECT doc_id, lang, coalesce(quality, 1) = 1 AS an, source, doc_id % 24 AS hr FROM documents LEFT JOIN labels USING (doc_id)),
+  b AS (SELECT *, an AND lang NOT IN ('de','es','zh','fr') AS ok, 3 * CASE WHEN source = 'src1' THEN 5 ELSE 2 END * CASE WHEN hr > 8 AND hr < 18 THEN 1 ELSE 3 END AS sc FROM a)
+  SELECT 'inc-' || doc_id AS incident_id, CASE WHEN NOT an THEN 'DISCARDED' WHEN ok THEN 'TICKETED' ELSE 'DEGRADED' END AS status,
+    CASE WHEN NOT an THEN '' WHEN ok THEN 'E' ELSE 'REVIEW_NEEDED' END AS agreed_error_type, CASE WHEN NOT an THEN '' WHEN ok THEN 'APPLICATION' ELSE 'REVIEW_NEEDED' END AS primary_layer,
+    CASE WHEN NOT ok THEN '' WHEN sc > 30 THEN 'P0' WHEN sc >= 15 THEN 'P1' WHEN sc > 5 THEN 'P2' ELSE 'P3' END AS calculated_severity,
+    CASE WHEN ok THEN 'found' ELSE '' END AS cause, CASE WHEN ok THEN 'A.java' ELSE '' END AS files FROM b"""
 _EVAL = """ev AS (SELECT doc_id, list_transform(range(0, doc_id % 8 + 1), lambda i: 'f' || ((doc_id + i * i) % 9)) AS sug, list_transform(range(0, doc_id % 4 + 1), lambda i: 'f' || ((doc_id + i * 2) % 9)) AS exp,
   CASE doc_id % 3 WHEN 0 THEN 'application' ELSE 'DATA_ACCESS' END AS expected_layer FROM documents),
   pk AS (SELECT *, len(list_filter(sug[1:5], lambda x: list_contains(exp, x))) AS hits FROM ev)"""

@@ -134,10 +134,14 @@ def wire_time(c: Column) -> Column:
 
 
 def decode(df: DataFrame, payload: T.DataType = LOG_ENTRY) -> DataFrame:
-    """Record columns plus ``env`` (decoded envelope) and ``decode_error`` (null when it decoded)."""
+    """Record columns plus ``env`` (decoded envelope) and ``decode_error`` (null when it decoded).
+
+    The decoded value goes through a one-row explode: filters on it then stay above, where a plain column
+    would be parsed again inside every filter that is pushed down.
+    """
     schema = envelope_schema(payload).add("_corrupt", T.StringType())
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    out = df.withColumn("env", F.from_json(F.col("value").cast("string"), schema, opts))
+    out = df.select("*", F.explode(F.array(F.from_json(F.col("value").cast("string"), schema, opts))).alias("env"))
     error = (
         F.when(F.col("value").isNull(), F.lit("EmptyValue"))
         .when(F.col("env").isNull() | F.col("env._corrupt").isNotNull(), F.lit("MalformedJson"))

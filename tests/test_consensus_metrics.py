@@ -111,3 +111,9 @@ def test_percentiles(spark):
     exact = met.latency_percentiles(df, "ms", ["model"], exact=True).first()
     sketch = met.latency_percentiles(df, "ms", ["model"]).first()
     assert exact["p50"] == 50.5 and abs(sketch["p95"] - 95) <= 1
+
+
+def test_observed_counts(spark):
+    df, obs = met.observed(spark.range(10), "seen", odd=F.col("id") % 2 == 1)
+    df.collect()
+    assert obs.get == {"rows": 10, "odd": 5}

@@ -140,3 +140,16 @@ def test_anomaly_context_only_sees_its_service(spark):
     an = spark.createDataFrame([("i1", "repo", "fp", "processPayment failed"), ("i2", "other", "com.example x", " ")], "incident_id string, service string, fingerprint string, template string")
     out = ret.anomaly_context(an, code_rows(spark), lambda d: emb.embed(d, "text", dim=1536, out_col="vector")).collect()
     assert {(r["incident_id"], r["id"]) for r in out} == {("i1", 1), ("i1", 2), ("i2", 3)}
+
+
+def test_stored_corpus_replaces_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "log_embeddings")
+    first = spark.createDataFrame([(i, "LOGS", f"k{i}", f"t{i}", {}) for i in range(200)], REQ)
+    emb.store_corpus(spark, path, first, "LOGS", emb.embed_requests(first, dim=4), buckets=8)
+    files = {f for f in spark.read.parquet(path).inputFiles()}
+    second = spark.createDataFrame([(500, "LOGS", "k3", "again", {}), (501, "LOGS", "k3", "last", {})], REQ)
+    emb.store_corpus(spark, path, second, "LOGS", emb.embed_requests(second, dim=4), buckets=8)
+    got = {r["fingerprint"]: r for r in spark.read.parquet(path).collect()}
+    assert len(got) == 200 and (got["k3"]["content"], got["k3"]["sample_count"]) == ("last", 3) and got["k4"]["content"] == "t4"
+    assert got["k3"]["embedding"] == [float(x) for x in fake_vectors(["last"], 4)[0]]
+    assert len(files & set(spark.read.parquet(path).inputFiles())) >= 7
