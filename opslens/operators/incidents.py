@@ -32,19 +32,20 @@ def open_incidents(detected: DataFrame, existing: DataFrame | None = None, event
     tenant_id) carries the tenant onto the incident.
     """
     c = F.col
+    numbers = ["score", "signal", "base_n", "fp_count", "fp_mean", "fp_std", "svc_errors", "svc_mean", "svc_std"]
     first = (
         detected.filter(c("anomaly_type").isNotNull())
-        .withColumn("evidence", F.to_json(evidence(thresholds)))
         .groupBy("fingerprint", "anomaly_type")
-        .agg(F.min(F.struct("ts_us", "event_id", "service", "score", "evidence")).alias("f"))
+        .agg(F.min(F.struct("ts_us", "event_id", "service", *numbers)).alias("f"))
+        .select("fingerprint", "anomaly_type", "f", "f.service", *[f"f.{x}" for x in numbers])
+        .withColumn("evidence", F.to_json(evidence(thresholds)))
     )
     out = first.select(
         ids.incident_id(c("fingerprint"), c("anomaly_type")).alias("incident_id"),
-        "fingerprint", "anomaly_type", c("f.event_id").alias("event_id"), c("f.service").alias("service"),
-        c("f.score").alias("score"), c("f.evidence").alias("evidence"),
-        F.concat(F.lit("Anomaly: "), c("anomaly_type"), F.lit(" in "), c("f.service")).alias("title"),
+        "fingerprint", "anomaly_type", c("f.event_id").alias("event_id"), "service", "score", "evidence",
+        F.concat(F.lit("Anomaly: "), c("anomaly_type"), F.lit(" in "), c("service")).alias("title"),
         F.concat(F.lit("Fingerprint "), c("fingerprint")).alias("summary"),
-        F.lit(OPEN).alias("status"), ids.severity(c("f.score")).alias("severity"),
+        F.lit(OPEN).alias("status"), ids.severity(c("score")).alias("severity"),
         F.timestamp_micros(c("f.ts_us")).alias("first_seen_at"), F.timestamp_micros(c("f.ts_us")).alias("last_seen_at"),
     )
     if existing is not None:

@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 
 from opslens.functions import text
 from opslens.functions.kernels import CosineScorer, TrigramScorer
+from opslens.session import cut_lineage
 
 RRF_K = 60
 OVERFETCH = 5
 TOP_K = 10
 TRIGRAM_THRESHOLD = 0.3
 MAX_BROADCAST_QUERIES = 512
+MAX_BROADCAST_BYTES = 64 << 20
+MAX_WINNERS = 200_000
 QUERY_BLOCK = 256
-CORPUS_BLOCK = 16_384
+CORPUS_BLOCK = 2_048
 
 # Corpus names, their tables, content rules and the filters each one allows.
 CORPORA: dict[str, tuple[str, Callable[[], Column], tuple[str, ...]]] = {
@@ -101,7 +104,12 @@ def _score_batch(keeper: _Keeper, scorer, qids: np.ndarray, qby: np.ndarray | No
     for rows, queries in groups:
         if len(rows) and len(queries):
             s = scorer.scores(feature, rows, queries)
-            r, q = np.nonzero(scorer.keep(s))
+            keep = scorer.keep(s)
+            if len(rows) > keeper.k:
+                # only rows at or under a query's k-th score in this batch can matter; ties stay in
+                ranked = np.where(keep & ~np.isnan(s), s, np.inf)
+                keep &= ranked <= np.partition(ranked, keeper.k - 1, axis=0)[keeper.k - 1]
+            r, q = np.nonzero(keep)
             keeper.add(qids[queries[q]], ids[rows[r]], s[r, q])
 
 
@@ -134,7 +142,7 @@ def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str |
             )
 
     head = q.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
-    if head.num_rows <= MAX_BROADCAST_QUERIES:
+    if head.num_rows <= MAX_BROADCAST_QUERIES and head.nbytes <= MAX_BROADCAST_BYTES:
         block = q.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +211,14 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshol
     return out.select("query_id", "id", (-F.col("score")).alias("similarity"), "rnk")
 
 
+def _pin(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries evaluated once: a local table and True when few, else a checkpointed one and False."""
+    head = queries.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
+    if head.num_rows <= MAX_BROADCAST_QUERIES and head.nbytes <= MAX_BROADCAST_BYTES:
+        return queries.sparkSession.createDataFrame(head, queries.schema), True
+    return cut_lineage(queries), False
+
+
 def rrf(left: DataFrame, right: DataFrame, k0: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; a missing side adds nothing."""
     l = left.select("query_id", "id", F.col("rnk").alias("vec_rank"))
@@ -220,14 +236,17 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, top_k: int = TOP_K, ove
                   by: str | None = None) -> DataFrame:
     """Filter, both top lists, fusion, final cut: (query_id, id, content, score, corpus, rnk).
 
-    Filters go in before the ranking. The content is fetched last, for the winners only.
+    Filters go in before the ranking. The content is fetched last, for the winners only; with a query set
+    of checked size these are ``top_k`` rows per query, which are sent to the corpus and not the reverse.
     """
     c = corpus_filter(corpus, corpus_name, filters) if corpus_name else equality_filter(corpus, allowed, filters)
     k = top_k * overfetch
+    queries, few = _pin(queries)
     fused = rrf(vector_topk(queries, c, k, by), lexical_topk(queries, c, k, threshold, by), k0)
     win = W.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), F.col("id").asc())
     top = fused.withColumn("rnk", F.row_number().over(win)).filter(F.col("rnk") <= top_k)
-    return top.join(c.select("id", "content"), "id").select(
+    top = F.broadcast(top) if few and top_k <= MAX_WINNERS // MAX_BROADCAST_QUERIES else top
+    return c.select("id", "content").join(top, "id").select(
         "query_id", "id", "content", F.col("rrf_score").alias("score"),
         F.lit(corpus_view(corpus_name)[0] if corpus_name else None).cast("string").alias("corpus"), "rnk",
     )
@@ -239,7 +258,7 @@ def anomaly_context(anomalies: DataFrame, corpus: DataFrame, embed: Callable[[Da
 
     Equal questions are asked once per (service, text) and the answers joined back.
     """
-    asked = anomalies.withColumn(
+    asked = cut_lineage(anomalies.select("incident_id", "service", "fingerprint", "template")).withColumn(
         "text", F.when(F.length(F.trim(F.coalesce("template", F.lit("")))) > 0, F.col("template")).otherwise(F.col("fingerprint"))
     ).withColumn("query_id", F.sha2(F.concat_ws("\u0001", "service", "text"), 256))
     distinct = embed(asked.select("query_id", F.col("service").alias("repo"), "text").dropDuplicates(["query_id"]))
