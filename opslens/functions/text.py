@@ -53,11 +53,16 @@ WINDOW_SECONDS = 300
 
 
 def normalize(c: Column) -> Column:
-    """Message to template: ids, addresses, durations and numbers become placeholders."""
-    out = F.coalesce(c, F.lit(""))
-    for pattern, token in TOKEN_RULES:
+    """Message to template: ids, addresses, durations and numbers become placeholders.
+
+    Every rule but the first needs a digit, so text without one skips the rest.
+    """
+    raw = F.coalesce(c, F.lit(""))
+    pattern, token = TOKEN_RULES[0]
+    first = out = F.regexp_replace(raw, pattern, token)
+    for pattern, token in TOKEN_RULES[1:]:
         out = F.regexp_replace(out, pattern, token)
-    return out
+    return F.when(raw.rlike("[0-9]"), out).otherwise(first)
 
 
 def _text_or_null_word(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import prompts
 from opslens.functions.text import anchor_context, extract_json
+from opslens.session import cut_lineage
 
 # Gates, weights, states.
 MIN_CONFIDENCE = 0.4
@@ -210,7 +211,8 @@ def resolve_incidents(incidents: DataFrame, fn: Completer | None = None, tz: str
     """
     live = incidents.filter("is_anomaly")
     asked = persona_prompts(fan_out(live), F.col("requirement"), F.col("stack_trace"), F.col("code_context"))
-    found = parse_findings(complete(asked.select("incident_id", "role", "prompt"), "prompt", fn).drop("prompt"))
+    # written down: the answers feed several steps and must not be asked for twice
+    found = cut_lineage(parse_findings(complete(asked.select("incident_id", "role", "prompt"), "prompt", fn).drop("prompt")))
     verdicts = consensus(found, incidents=live)
     lists = (
         found.join(verdicts.select("incident_id", "primary_layer"), "incident_id").groupBy("incident_id").agg(

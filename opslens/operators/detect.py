@@ -35,6 +35,7 @@ from opslens.operators.windows import (
     slot_stats,
     slots_per_window,
     std_of,
+    with_event_time,
 )
 from opslens.session import cut_lineage
 
@@ -62,7 +63,7 @@ def slot_tables(df: DataFrame, slot_s: int, history: DataFrame | None,
 
     The service slots are needed anyway; written down once, they also tell which slots are crowded.
     """
-    marked = mark_slots(df, slot_s)
+    marked = mark_slots(with_event_time(df), slot_s)
     plain = service_slots(marked.withColumn("_cut", F.lit(0)))
     cuts = None
     if max_slot_rows is not None:

@@ -9,6 +9,7 @@ over events.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,6 +98,12 @@ def baseline(counts: DataFrame, keys: Sequence[str] = FP_KEYS, n: int = BASELINE
     )
 
 
+def with_event_time(df: DataFrame) -> DataFrame:
+    """A missing event time becomes the ingest time, else the moment of this call."""
+    times = [F.col("occurred_at"), *([F.col("ingested_at")] if "ingested_at" in df.columns else [])]
+    return df.withColumn("occurred_at", F.coalesce(*times, F.lit(datetime.now(timezone.utc))))
+
+
 def mark_slots(df: DataFrame, slot_s: int = SLOT_SECONDS) -> DataFrame:
     """The narrow columns the detector works on, with the slot of each event."""
     us = epoch_us(F.col("occurred_at"))

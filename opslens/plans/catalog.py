@@ -19,6 +19,7 @@ from opslens.operators import windows as win
 from opslens.operators.detect import Thresholds, detect, detect_windows
 from opslens.plans import views as v
 from opslens.sources import envelopes as env
+from opslens.session import cut_lineage
 from opslens.sources import logs as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +361,11 @@ def _hourly(s, d) -> DataFrame:
     return detect(v.event_keys(s, d), window_s=3600, n=168)
 
 
+def _hourly_once(s, d) -> DataFrame:
+    """For queries that read the detections more than once."""
+    return cut_lineage(_hourly(s, d))
+
+
 @query
 def open_incidents(s, d):
     i = inc.open_incidents(_hourly(s, d), events=src.with_tenant(v.logs(s, d)))
@@ -375,7 +381,7 @@ def stub_tickets(s, d):
 
 @query
 def ticket_upsert(s, d):
-    found = _hourly(s, d)
+    found = _hourly_once(s, d)
     old = inc.open_incidents(found.filter(c("ts_us") < HALF)).withColumn("status", lit("CLOSED"))
     new = inc.open_incidents(found.filter(c("ts_us") >= HALF))
     return inc.upsert_incidents(new, old).select("incident_id", "event_id", "status", "severity")
@@ -383,7 +389,7 @@ def ticket_upsert(s, d):
 
 @query
 def event_audit(s, d):
-    found = _hourly(s, d)
+    found = _hourly_once(s, d)
     return inc.audit_rows(found, inc.open_incidents(found)).select("event_id", "execution_id", "run_key", "status", us("started_at").alias("started_us"))
 
 
@@ -671,7 +677,7 @@ def throughput_rate(s, d):
 
 @query
 def terminal_states(s, d):
-    found = _hourly(s, d)
+    found = _hourly_once(s, d)
     return met.terminal_states(inc.audit_rows(found, inc.open_incidents(found)))
 
 

@@ -29,14 +29,18 @@ def store_rows(df: DataFrame) -> DataFrame:
 
 
 def ingest_logs(df: DataFrame, path: str, partition_col: str = "event_date", fmt: str = "parquet",
-                rows_per_file: int = 5_000_000) -> None:
+                rows_per_file: int = 5_000_000, rebalance: bool = False) -> None:
     """Append a batch to the day-partitioned log table.
 
-    No shuffle: each task writes the days it holds; the record limit keeps files readable when one day
-    holds most of the batch.
+    Log batches mostly come in time order, so each task writes the few days it holds and nothing is
+    shuffled; the record limit keeps files readable when one day holds most of the batch. ``rebalance``
+    is for batches that mix many days: it gathers days into well-sized files and splits a crowded day.
     """
+    rows = store_rows(df)
+    if rebalance:
+        rows = rows.hint("rebalance", partition_col)
     (
-        store_rows(df).write.mode("append").format(fmt)
+        rows.write.mode("append").format(fmt)
         .option("maxRecordsPerFile", rows_per_file).partitionBy(partition_col).save(path)
     )
 

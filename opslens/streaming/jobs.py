@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from opslens.functions.text import WINDOW_SECONDS, epoch_us
 from opslens.operators import incidents as inc
@@ -25,8 +24,9 @@ from opslens.operators.windows import (
     is_error,
     session_start,
     slot_counts,
+    with_event_time,
 )
-from opslens.sources.envelopes import PREPROCESSED_SCHEMA, split_poison, flatten, to_envelope, write_envelopes
+from opslens.sources.envelopes import PREPROCESSED_SCHEMA, flatten, split_poison, to_envelope, write_envelopes
 from opslens.sources.logs import preprocess
 
 COUNT_WATERMARK = "26 hours"
@@ -80,25 +80,26 @@ def start_preprocess(decoded: DataFrame, good_sink: tuple[str, dict], dlq_sink:
     return (w.trigger(**trigger) if trigger else w).start()
 
 
-def _epochs(spark: SparkSession, path: str, after: int, before: int) -> DataFrame | None:
-    """Rows written by epochs strictly between two numbers; None while there are none."""
-    try:
-        df = spark.read.parquet(path).filter((F.col("epoch") > after) & (F.col("epoch") < before)).drop("epoch")
-    except AnalysisException:
-        return None
-    return df
-
-
 def _put(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _latest_base(spark: SparkSession, path: str, before: int) -> int:
-    try:
-        row = spark.read.parquet(path).filter(F.col("epoch") < before).agg(F.max("epoch")).first()
-    except AnalysisException:
-        return -1
-    return -1 if row[0] is None else int(row[0])
+def _epochs(spark: SparkSession, path: str, first: int, last: int) -> DataFrame | None:
+    """Rows of the epochs first..last; None for an empty range. A missing folder is an error, not an empty one."""
+    folders = [f"{path}/epoch={e}" for e in range(first, last + 1)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def _state(spark: SparkSession, state: str, name: str, epoch: int, every: int) -> DataFrame | None:
+    """What ``name`` held before ``epoch``: the last folded copy and the epochs after it.
+
+    Which copy that is follows from the epoch number, so at most ``every`` folders are opened however long
+    the stream has run, and a replayed batch reads what it read the first time.
+    """
+    base = epoch // every * every - 1
+    parts = [_epochs(spark, f"{state}/{name}_base", base, base) if base >= 0 else None, _epochs(spark, f"{state}/{name}", base + 1, epoch - 1)]
+    parts = [p for p in parts if p is not None]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True) if len(parts) == 2 else (parts[0] if parts else None)
 
 
 def compact_history(slots: DataFrame, cutoff_us: int) -> DataFrame:
@@ -113,15 +114,6 @@ def compact_history(slots: DataFrame, cutoff_us: int) -> DataFrame:
     return recent.select("service", "fingerprint", "slot", "cnt", "err", "first_us", "last_us").unionByName(folded)
 
 
-def _history(spark: SparkSession, state: str, epoch: int) -> DataFrame | None:
-    base = _latest_base(spark, f"{state}/base", epoch)
-    parts = [p for p in (_epochs(spark, f"{state}/base", base - 1, base + 1) if base >= 0 else None,
-                         _epochs(spark, f"{state}/slots", base, epoch)) if p is not None]
-    if not parts:
-        return None
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def start_detect(
     sdf: DataFrame,
     state: str,
@@ -148,32 +140,37 @@ def start_detect(
 
     def carry(fresh: DataFrame, epoch: int) -> None:
         _put(fresh, f"{state}/slots", epoch)
-        if compact_every and epoch % compact_every == compact_every - 1:
-            rows = _history(spark, state, epoch + 1)
-            newest = rows.agg(F.max("last_us")).first()[0] if rows is not None else None
-            if newest is not None:
-                _put(compact_history(rows, newest - keep_us), f"{state}/base", epoch)
+        if epoch % compact_every == compact_every - 1:
+            rows = _state(spark, state, "slots", epoch, compact_every)
+            now = _epochs(spark, f"{state}/slots", epoch, epoch)
+            rows = now if rows is None else rows.unionByName(now)
+            newest = rows.agg(F.max("last_us")).first()[0]
+            _put(compact_history(rows, (newest or 0) - keep_us), f"{state}/slots_base", epoch)
+            if mode == "event":
+                ids_ = [x.select("incident_id") for x in (_state(spark, state, "incidents", epoch, compact_every),
+                                                          _epochs(spark, f"{state}/incidents", epoch, epoch)) if x is not None]
+                _put(ids_[0] if len(ids_) == 1 else ids_[0].unionByName(ids_[1]), f"{state}/incidents_base", epoch)
 
     def by_event(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        found = detect(batch, thresholds, window_s, n, slot_s, _history(spark, state, epoch))
+        batch = with_event_time(batch).persist()
+        found = detect(batch, thresholds, window_s, n, slot_s, _state(spark, state, "slots", epoch, compact_every))
         _put(found, f"{state}/detections", epoch)
-        found = spark.read.parquet(f"{state}/detections/epoch={epoch}")
-        known = _epochs(spark, f"{state}/incidents", -1, epoch)
+        found = _epochs(spark, f"{state}/detections", epoch, epoch)
+        known = _state(spark, state, "incidents", epoch, compact_every)
         new = inc.open_incidents(found, known, batch if "tenant_id" in batch.columns else None, thresholds)
         _put(new, f"{state}/incidents", epoch)
-        new = spark.read.parquet(f"{state}/incidents/epoch={epoch}")
+        new = _epochs(spark, f"{state}/incidents", epoch, epoch)
         _put(inc.stub_tickets(new), f"{state}/tickets", epoch)
         _put(inc.audit_rows(found, new), f"{state}/audit", epoch)
         if on_tickets is not None:
-            on_tickets(spark.read.parquet(f"{state}/tickets/epoch={epoch}"), epoch)
+            on_tickets(_epochs(spark, f"{state}/tickets", epoch, epoch), epoch)
         carry(slot_counts(batch, slot_s), epoch)
         batch.unpersist()
 
     def by_window(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         slots = batch.withColumns({"fresh": F.lit(True), "cut": F.lit(0)})
-        past = _history(spark, state, epoch)
+        past = _state(spark, state, "slots", epoch, compact_every)
         if past is not None:
             slots = slots.unionByName(past.withColumns({"fresh": F.lit(False), "cut": F.lit(0)}))
         svc = slots.groupBy("service", "slot", "cut", "fresh").agg(F.sum("err").alias("err"))

@@ -144,3 +144,9 @@ def test_result_does_not_depend_on_row_order_or_partitions(spark):
     a = sorted(map(tuple, detect(df).select("event_id", "fp_count", "svc_errors", "anomaly_type").collect()), key=str)
     b = sorted(map(tuple, detect(df.orderBy(F.rand(3)).repartition(9)).select("event_id", "fp_count", "svc_errors", "anomaly_type").collect()), key=str)
     assert a == b
+
+
+def test_missing_time_counts_as_now(spark):
+    df = burst(spark, 10).withColumn("occurred_at", F.when(F.col("event_id") > 3, F.col("occurred_at")))
+    got = {r["event_id"]: r for r in detect(df).collect()}
+    assert len(got) == 10 and got[3]["fp_count"] == 4 and got[9]["fp_count"] == 6 and got[0]["svc_mean"] is not None
