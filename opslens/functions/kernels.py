@@ -31,9 +31,13 @@ def fake_vectors(texts: list[str], dim: int) -> np.ndarray:
 
 
 def list_matrix(col: pa.Array) -> np.ndarray:
-    """A column of equal-length float lists as a float64 matrix."""
+    """A column of equal-length number lists as a float64 matrix; a missing list is a zero row."""
+    valid = col.is_valid().to_numpy(zero_copy_only=False)
+    n = int(valid.sum())
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
+    out = np.zeros((len(col), len(flat) // n if n else 0))
+    out[valid] = flat.reshape(n, -1) if n else 0
+    return out
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ class CosineScorer:
 
     def scores(self, feature: pa.Array, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
         c = unit_rows(list_matrix(feature.take(pa.array(rows))))
-        if not c.size:
+        if not c.size or not self.q.size:
             return np.full((len(rows), len(queries)), np.nan)
         return np.round(1.0 - c @ self.q[queries].T, SCORE_DIGITS)
 

@@ -70,24 +70,20 @@ def _text_or_null_word(c: Column) -> Column:
     return F.coalesce(c, F.lit("null"))
 
 
+def _digest(*parts: Column) -> Column:
+    """sha256 that is never null, so a join on it adds no null check that would run the text rules again."""
+    return F.coalesce(F.sha2(F.concat(*parts), 256), F.lit(""))
+
+
 def fingerprint(service: Column, level: Column, template: Column) -> Column:
     """Stream-side fingerprint: sha256 of ``service:level:template``."""
-    return F.sha2(
-        F.concat(
-            _text_or_null_word(service), F.lit(":"),
-            _text_or_null_word(level), F.lit(":"),
-            _text_or_null_word(template),
-        ),
-        256,
-    )
+    colon = F.lit(":")
+    return _digest(_text_or_null_word(service), colon, _text_or_null_word(level), colon, _text_or_null_word(template))
 
 
 def ingest_fingerprint(service: Column, level: Column, norm: Column) -> Column:
     """Store-side fingerprint: the same parts without separators."""
-    return F.sha2(
-        F.concat(_text_or_null_word(service), _text_or_null_word(level), _text_or_null_word(norm)),
-        256,
-    )
+    return _digest(_text_or_null_word(service), _text_or_null_word(level), _text_or_null_word(norm))
 
 
 def parse_log(c: Column, pattern: str = "java") -> Column:

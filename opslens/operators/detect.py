@@ -98,56 +98,38 @@ def event_context(
     fp = session_start(slot_stats(slots, FP_KEYS, "cnt", per, n), FP_KEYS, idle_reset_s).filter("fresh")
     svc = slot_stats(svc_slots, SVC_KEYS, "err", per, n).filter("fresh")
 
-    none_long, none_dec = F.lit(None).cast("bigint"), F.lit(None).cast("decimal(28,0)")
-    events = marked.select(
-        "service", "fingerprint", F.col("_slot").alias("slot"), F.col("_cut").alias("cut"),
-        F.lit(2).alias("rank"), "ts_us", "event_id",
-        F.lit(1).cast("bigint").alias("d_fp"), F.col("err").alias("d_err"),
-        none_long.alias("fp_s"), none_dec.alias("fp_q"), none_long.alias("first_seen_us"),
-        none_long.alias("svc_s"), none_dec.alias("svc_q"),
-    )
-    no_event = F.lit(None).cast(df.schema["event_id"].dataType)
-    svc_heads = svc.select(
-        "service", F.lit(None).cast("string").alias("fingerprint"), "slot", "cut",
-        F.lit(0).alias("rank"), none_long.alias("ts_us"), no_event.alias("event_id"),
-        F.lit(0).cast("bigint").alias("d_fp"), F.col("before").cast("bigint").alias("d_err"),
-        none_long.alias("fp_s"), none_dec.alias("fp_q"), none_long.alias("first_seen_us"),
-        F.col("base_s").cast("bigint").alias("svc_s"), F.col("base_q").alias("svc_q"),
-    )
-    fp_heads = fp.select(
-        "service", "fingerprint", "slot", "cut",
-        F.lit(1).alias("rank"), none_long.alias("ts_us"), no_event.alias("event_id"),
-        F.col("before").cast("bigint").alias("d_fp"), F.lit(0).cast("bigint").alias("d_err"),
-        F.col("base_s").cast("bigint").alias("fp_s"), F.col("base_q").alias("fp_q"), "first_seen_us",
-        none_long.alias("svc_s"), none_dec.alias("svc_q"),
-    )
-
-    # the service frame comes first: its partitioning also satisfies the finer fingerprint frame
+    # heads carry their numbers in one struct, which costs an event row a single null
+    fp_stat = F.struct(F.col("base_s").cast("bigint").alias("s"), F.col("base_q").alias("q"), F.col("first_seen_us").alias("seen"))
+    svc_stat = F.struct(F.col("base_s").cast("bigint").alias("s"), F.col("base_q").alias("q"))
+    no_fp = F.lit(None).cast("struct<s:bigint,q:decimal(28,0),seen:bigint>").alias("fp_stat")
+    no_svc = F.lit(None).cast("struct<s:bigint,q:decimal(28,0)>").alias("svc_stat")
+    no_event = [F.lit(None).cast("bigint").alias("ts_us"), F.lit(None).cast(df.schema["event_id"].dataType).alias("event_id")]
+    one, zero, before = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.col("before").cast("bigint")
+
+    def layer(src: DataFrame, rank: int, fp_col: Column, at: list, d_fp: Column, d_err: Column, stats: list[Column]) -> DataFrame:
+        return src.select("slot", "service", "cut", fp_col.alias("fingerprint"), F.lit(rank).alias("rank"), *at,
+                          d_fp.alias("d_fp"), d_err.alias("d_err"), *stats)
+
+    svc_heads = layer(svc, 0, F.lit(None).cast("string"), no_event, zero, before, [no_fp, svc_stat.alias("svc_stat")])
+    fp_heads = layer(fp, 1, F.col("fingerprint"), no_event, before, zero, [fp_stat.alias("fp_stat"), no_svc])
+    events = layer(marked.withColumnsRenamed({"_slot": "slot", "_cut": "cut"}), 2, F.col("fingerprint"), ["ts_us", "event_id"], one,
+                   F.col("err"), [no_fp, no_svc])
+
+    # The service frame comes first: its partitioning also satisfies the finer fingerprint frame. The slot
+    # leads the keys because a number sorts faster than names.
     order = ("rank", "ts_us", "event_id")
-    by_svc = W.partitionBy("service", "slot", "cut").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    by_fp = W.partitionBy("service", "slot", "cut", "fingerprint").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    by_svc = W.partitionBy("slot", "service", "cut").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    by_fp = W.partitionBy("slot", "service", "cut", "fingerprint").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = svc_heads.unionByName(fp_heads).unionByName(events)
-    out = out.select(
-        "*",
-        F.sum("d_err").over(by_svc).alias("svc_errors"),
-        F.first("svc_s", ignorenulls=True).over(by_svc).alias("svc_sum"),
-        F.first("svc_q", ignorenulls=True).over(by_svc).alias("svc_sq"),
-    )
-    out = out.select(
-        "*",
-        F.sum("d_fp").over(by_fp).alias("fp_count"),
-        F.first("fp_s", ignorenulls=True).over(by_fp).alias("fp_sum"),
-        F.first("fp_q", ignorenulls=True).over(by_fp).alias("fp_sq"),
-        F.first("first_seen_us", ignorenulls=True).over(by_fp).alias("seen_us"),
-    )
-    return out.filter(F.col("rank") == 2).select(
-        "event_id", "service", "fingerprint", "ts_us",
-        int_div(F.col("slot"), per).alias("window_id"),
-        F.col("d_err").alias("is_error"), "fp_count", "svc_errors",
-        F.lit(n).cast("bigint").alias("base_n"),
-        mean_of(F.col("fp_sum"), n).alias("fp_mean"), std_of(F.col("fp_sum"), F.col("fp_sq"), n).alias("fp_std"),
-        mean_of(F.col("svc_sum"), n).alias("svc_mean"), std_of(F.col("svc_sum"), F.col("svc_sq"), n).alias("svc_std"),
-        F.col("seen_us").alias("first_seen_us"),
+    out = out.select("*", F.sum("d_err").over(by_svc).alias("svc_errors"), F.first("svc_stat", ignorenulls=True).over(by_svc).alias("sv"))
+    out = out.select("*", F.sum("d_fp").over(by_fp).alias("fp_count"), F.first("fp_stat", ignorenulls=True).over(by_fp).alias("fb"))
+    c = F.col
+    return out.filter(c("rank") == 2).select(
+        "event_id", "service", "fingerprint", "ts_us", int_div(c("slot"), per).alias("window_id"),
+        c("d_err").alias("is_error"), "fp_count", "svc_errors", F.lit(n).cast("bigint").alias("base_n"),
+        mean_of(c("fb.s"), n).alias("fp_mean"), std_of(c("fb.s"), c("fb.q"), n).alias("fp_std"),
+        mean_of(c("sv.s"), n).alias("svc_mean"), std_of(c("sv.s"), c("sv.q"), n).alias("svc_std"),
+        c("fb.seen").alias("first_seen_us"),
     )
 
 

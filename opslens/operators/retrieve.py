@@ -194,10 +194,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: str |
     """Exact nearest rows by cosine distance: (query_id, id, distance, rnk), ties broken by id.
 
     ``queries``: query_id, vector; ``corpus``: id, vector. Distances are rounded to nine digits so that
-    ranks do not depend on the batching; a zero vector has no distance and ranks last.
+    ranks do not depend on the batching; a zero or missing vector has no distance and ranks last.
     """
-    q = queries.withColumn("feature", F.col("vector").cast("array<double>"))
-    c = corpus.withColumn("feature", F.col("vector").cast("array<double>"))
+    q = queries.withColumn("feature", F.col("vector"))
+    c = corpus.withColumn("feature", F.col("vector"))
     out = _ranked(_topk(q, c, CosineScorer, k, by), k)
     return out.withColumnRenamed("score", "distance")
 

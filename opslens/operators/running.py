@@ -105,7 +105,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column
         *at, F.lit(0).alias("_rank"), *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_d_{n}") for n in values]
     )
     rows = marked.select("*", F.lit(1).alias("_rank"), *[F.col(f"_v_{n}").alias(f"_d_{n}") for n in values])
-    by = W.partitionBy(*at).orderBy("_rank", ts_us, row_id).rowsBetween(W.unboundedPreceding, 0)
+    by = W.partitionBy("_slot", *keys, "_cut").orderBy("_rank", ts_us, row_id).rowsBetween(W.unboundedPreceding, 0)
     out = heads.unionByName(rows, allowMissingColumns=True)
     out = out.select("*", *[F.sum(f"_d_{n}").over(by).alias(n) for n in values])
     return out.filter(F.col("_rank") == 1).select(*df.columns, *values)

@@ -21,7 +21,7 @@ SLOT_SECONDS = 10
 BASELINE_WINDOWS = 288
 IDLE_RESET_SECONDS = 172_800
 COLD_SECONDS = 86_400
-FP_KEYS = ("service", "fingerprint")
+FP_KEYS = ("fingerprint", "service")
 SVC_KEYS = ("service",)
 
 

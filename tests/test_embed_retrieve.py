@@ -153,3 +153,10 @@ def test_stored_corpus_replaces_only_touched_buckets(spark, tmp_path):
     assert len(got) == 200 and (got["k3"]["content"], got["k3"]["sample_count"]) == ("last", 3) and got["k4"]["content"] == "t4"
     assert got["k3"]["embedding"] == [float(x) for x in fake_vectors(["last"], 4)[0]]
     assert len(files & set(spark.read.parquet(path).inputFiles())) >= 7
+
+
+def test_missing_vectors_rank_last(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<float>")
+    c = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 0.0])], "id bigint, vector array<float>").coalesce(1)
+    assert [r["id"] for r in ret.vector_topk(q, c, 4).orderBy("rnk").collect()] == [4, 3, 1, 2]
+    assert [r["id"] for r in ret.vector_topk(q, c, 2).orderBy("rnk").collect()] == [4, 3]
