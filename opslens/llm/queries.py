@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import binpack, chat, hosts, packing
+from opslens.llm import binpack, chat, hosts, licenses, packing, pii, toxicity
 from opslens.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pii_disclosure(s, d):
+    """Personal data of every document, and the terms that disclose it."""
+    return pii.report(table(s, d, "documents"))
+
+
+@query
+def op2_toxicity_nbsvm(s, d):
+    """Toxicity score of every document."""
+    docs = table(s, d, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(s, d, "labels")))
+
+
+@query
+def op3_license_index(s, d):
+    """Licence phrases and notices of every document."""
+    return licenses.scan(table(s, d, "documents"))
+
+
 @query
 def op4_cost_packing(s, d):
     """Pieces of all documents, balanced by attention cost."""
