@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import binpack, chat, hosts, licenses, packing, pii, toxicity
+from opslens.llm import binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, toxicity
 from opslens.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def op4_cost_packing(s, d):
     return packing.pack(table(s, d, "documents"))
 
 
+@query
+def op5_qgram_decontamination(s, d):
+    """Benchmark items found in documents."""
+    return decontaminate.find(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
 @query
 def op6_host_reputation(s, d):
     """Verdict on every page."""
@@ -60,12 +66,24 @@ def op7_chat_windows(s, d):
     return chat.digest(chat.windows(all_))
 
 
+@query
+def op8_dartminhash(s, d):
+    """Near-duplicate class of every document."""
+    return dartminhash.classes(table(s, d, "documents"))
+
+
 @query
 def op9_packed_matrix(s, d):
     """Every document's ids in packed rows of 2048."""
     return binpack.pack_matrix(table(s, d, "documents"))
 
 
+@query
+def op10_metric_join(s, d):
+    """Links and components of all vectors."""
+    return metricjoin.near_duplicates(table(s, d, "embeddings"))
+
+
 _RULES = ", ".join(f"('{says}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')"
                    for says, rule in hosts.RULES)
 _TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABELS)

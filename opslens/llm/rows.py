@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens.session import cut_lineage as cut  # noqa: F401  (checkpoint in the shared folder)
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
