@@ -15,7 +15,8 @@ map-side, so a large group of copies is reduced before it is shuffled.
 Chance of a pair of similarity 0.8 to share a bucket: 1 - (1 - 0.8**5)**24 = 0.9999.
 
 Null texts are empty, texts without a word are equal to each other; rows without doc_id have a null class and are never
-linked; rows of one id are one document; an empty table gives no rows; texts are read whole.
+linked; rows of one id are one document, compared by
+one of its texts if they differ; an empty table gives no rows; texts are read whole.
 """
 
 from __future__ import annotations
@@ -159,12 +160,17 @@ def links(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> tuple[
     pairs = keyed.join(lead, "key").select("doc_id", F.explode("leads").alias("lead")).where("doc_id <> lead")
     pairs = cut(pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(weighted_sets(docs.join(nodes, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    sets = cut(weighted_sets(docs.join(nodes, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("units").alias("units")))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("ub")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("units").alias("ua")), "a")
     shared = F.size(F.array_intersect("ua", "ub"))
     alike = shared / (F.size("ua") + F.size("ub") - shared)
-    return made, reps, cut(both.where(alike >= threshold).select("a", "b"))
+    # rows of one id with different texts are one document: their classes are joined
+    several = made.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")
+    same_id = made.join(several, "doc_id", "left_semi").join(reps, "set_hash").select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return made, reps, cut(both.where(alike >= threshold).select("a", "b").unionByName(same_id))
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
