@@ -129,13 +129,15 @@ def unknown_corpus(df: DataFrame) -> DataFrame:
 
 
 def reduce_requests(df: DataFrame, corpus: str) -> DataFrame:
-    """The net effect of a batch on each key: last text and hash win, requests are counted."""
+    """The net effect of a batch on each key: last text and hash win, requests are counted, the last time is kept."""
     keys = CORPUS_KEYS[corpus.upper()]
     usable, _ = split_keyless(corpus_requests(df, corpus), corpus)
+    if "ts_us" not in usable.columns:
+        usable = usable.withColumn("ts_us", F.lit(None).cast("bigint"))
     last = F.max(F.struct("seq", "text", "content_hash")).alias("l")
-    return usable.groupBy(*keys).agg(last, F.count(F.lit(1)).alias("n")).select(
+    return usable.groupBy(*keys).agg(last, F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("last_seen_us")).select(
         *keys, F.col("l.text").alias("content"), F.col("l.content_hash").alias("content_hash"),
-        F.col("l.seq").alias("seq"), F.col("n").alias("sample_count"),
+        F.col("l.seq").alias("seq"), F.col("n").alias("sample_count"), "last_seen_us",
     )
 
 
@@ -143,7 +145,8 @@ def upsert_corpus(existing: DataFrame | None, new: DataFrame, corpus: str, vecto
     """The corpus after a batch of requests.
 
     The batch is reduced to one row per key before vectors are attached, so a hot text or key meets the
-    join once. LOGS keeps counting; CODE keeps its stored content (only the vector is replaced).
+    join once. LOGS keeps counting; CODE keeps its stored content (only the vector is replaced). A batch
+    without vectors, or a request whose vector is missing, leaves the stored vector as it is.
     """
     return merge_corpus(existing, batch_rows(new, corpus, vectors), corpus)
 
@@ -157,23 +160,29 @@ def batch_rows(new: DataFrame, corpus: str, vectors: DataFrame | None = None) ->
 
 
 def merge_corpus(existing: DataFrame | None, batch: DataFrame, corpus: str) -> DataFrame:
-    """Stored rows and batch rows as one row per key."""
+    """Stored rows and batch rows as one row per key; either side may lack vectors or times."""
     keys = list(CORPUS_KEYS[corpus.upper()])
-    carried = ["content", "content_hash", "seq", "sample_count", *(["embedding"] if "embedding" in batch.columns else [])]
     if existing is None:
-        return batch.select(*keys, *carried)
-    both = existing.select(*keys, *carried).unionByName(batch.select(*keys, *carried))
-    last = F.max_by(F.struct(*[c for c in carried if c != "sample_count"]), F.col("seq")).alias("l")
-    out = both.groupBy(*keys).agg(last, F.sum("sample_count").alias("sample_count"), F.max("content").alias("_any"))
+        both = batch
+    else:
+        both = existing.unionByName(batch, allowMissingColumns=True)
+    if "last_seen_us" not in both.columns:
+        both = both.withColumn("last_seen_us", F.lit(None).cast("bigint"))
+    vector = ["embedding"] if "embedding" in both.columns else []
+    carried = ["content", "content_hash", "seq", "sample_count", "last_seen_us", *vector]
+    if existing is None:
+        return both.select(*keys, *carried)
+    last = F.max_by(F.struct("content", "content_hash", "seq"), F.col("seq")).alias("l")
+    newest = [F.expr("max_by(embedding, seq) FILTER (WHERE embedding IS NOT NULL)").alias(x) for x in vector]
+    out = both.groupBy(*keys).agg(last, F.sum("sample_count").alias("sample_count"), F.max("content").alias("_any"),
+                                  F.max("last_seen_us").alias("last_seen_us"), *newest)
     content = F.col("_any") if corpus.upper() == "CODE" else F.col("l.content")
-    return out.select(
-        *keys, content.alias("content"), *[F.col(f"l.{c}").alias(c) for c in carried if c not in ("content", "sample_count")],
-        "sample_count",
-    ).select(*keys, *carried)
+    return out.select(*keys, content.alias("content"), F.col("l.content_hash").alias("content_hash"),
+                      F.col("l.seq").alias("seq"), "sample_count", "last_seen_us", *vector)
 
 
 def store_corpus(spark: SparkSession, path: str, new: DataFrame, corpus: str, vectors: DataFrame | None = None,
-                 buckets: int = 256) -> None:
+                 buckets: int | None = None) -> None:
     """Upsert a batch of requests into the stored corpus at ``path``."""
     rows = batch_rows(new, corpus, vectors)
     upsert_table(spark, path, rows, CORPUS_KEYS[corpus.upper()], lambda old, b: merge_corpus(old, b, corpus), buckets)

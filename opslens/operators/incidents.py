@@ -28,15 +28,16 @@ def open_incidents(detected: DataFrame, existing: DataFrame | None = None, event
     """One row per new incident: its first report in (time, event id) order.
 
     The earliest report is a partial aggregate, so the many reports of a hot incident collapse before
-    the shuffle. ``existing`` removes incidents that already have a ticket. ``events`` (event_id,
-    tenant_id) carries the tenant onto the incident.
+    the shuffle. ``existing`` removes incidents that already have a ticket. The tenant of the opening event
+    comes along if ``detected`` has it; else ``events`` (event_id, tenant_id) is asked for the few incidents.
     """
     c = F.col
+    own = ["tenant_id"] if "tenant_id" in detected.columns else []
     numbers = ["score", "signal", "base_n", "fp_count", "fp_mean", "fp_std", "svc_errors", "svc_mean", "svc_std"]
     first = (
         detected.filter(c("anomaly_type").isNotNull())
         .groupBy("fingerprint", "anomaly_type")
-        .agg(F.min(F.struct("ts_us", "event_id", "service", *numbers)).alias("f"))
+        .agg(F.min(F.struct("ts_us", "event_id", "service", *numbers, *own)).alias("f"))
         .select("fingerprint", "anomaly_type", "f", "f.service", *[f"f.{x}" for x in numbers])
         .withColumn("evidence", F.to_json(evidence(thresholds)))
     )
@@ -47,11 +48,14 @@ def open_incidents(detected: DataFrame, existing: DataFrame | None = None, event
         F.concat(F.lit("Fingerprint "), c("fingerprint")).alias("summary"),
         F.lit(OPEN).alias("status"), ids.severity(c("score")).alias("severity"),
         F.timestamp_micros(c("f.ts_us")).alias("first_seen_at"), F.timestamp_micros(c("f.ts_us")).alias("last_seen_at"),
+        *[c(f"f.{x}").alias(x) for x in own],
     )
     if existing is not None:
         out = out.join(existing.select("incident_id"), "incident_id", "left_anti")
-    if events is not None:
-        out = out.join(events.select("event_id", "tenant_id"), "event_id", "left")
+    if events is not None and not own:
+        # inner first: the few incidents may travel to the events, not the reverse
+        tenants = events.select("event_id", "tenant_id").join(out.select("event_id"), "event_id")
+        out = out.join(tenants, "event_id", "left")
     return out
 
 

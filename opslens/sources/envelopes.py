@@ -212,11 +212,11 @@ def read_envelopes(spark: SparkSession, fmt: str, options: dict[str, str], paylo
 
 
 def write_envelopes(df: DataFrame, fmt: str, options: dict[str, str], checkpoint: str | None = None,
-                    trigger: dict | None = None):
+                    trigger: dict | None = None, mode: str = "append"):
     """Write keyed records; a streaming frame starts a query with its own checkpoint."""
     out = df if fmt == "kafka" else df.withColumn("headers", F.to_json(F.transform("headers", lambda h: F.struct(h["key"].alias("key"), F.decode(h["value"], "UTF-8").alias("value")))))
     if not df.isStreaming:
-        out.write.format(fmt).options(**options).mode("append").save()
+        out.write.format(fmt).options(**options).mode(mode).save()
         return None
     if checkpoint is None:
         raise ValueError("a streaming write needs a checkpoint folder")

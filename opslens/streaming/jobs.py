@@ -60,21 +60,39 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
+def _replayable(sink: tuple[str, dict], epoch: int) -> tuple[str, dict, str]:
+    """A file sink gets a folder per epoch that a replay overwrites; a broker can only be appended to."""
+    fmt, options = sink
+    if fmt == "kafka" or "path" not in options:
+        return fmt, options, "append"
+    return fmt, {**options, "path": f"{options['path']}/epoch={epoch}"}, "overwrite"
+
+
 def start_preprocess(decoded: DataFrame, good_sink: tuple[str, dict], dlq_sink: tuple[str, dict], checkpoint: str,
                      trigger: dict | None = None) -> StreamingQuery:
-    """Decoded envelopes in; parsed logs and dead letters out, to two sinks in one pass over each batch."""
+    """Decoded envelopes in; parsed logs and dead letters out, to two sinks in one pass over each batch.
+
+    A replayed batch rewrites its own folder in a file sink. A Kafka sink may hold its records twice then:
+    readers pass them through ``dedupe_stream`` on the message id.
+    """
 
     def both(batch: DataFrame, epoch: int) -> None:
         batch.persist()
+        try:
+            _both(batch, epoch)
+        finally:
+            batch.unpersist()
+
+    def _both(batch: DataFrame, epoch: int) -> None:
         good, dead = split_poison(batch)
         parsed = preprocess(flatten(good))
         out = to_envelope(
             parsed, PREPROCESSED_SCHEMA, "fingerprint", message_id=F.col("event_id"), trace=F.col("trace_id"), tenant=F.col("tenant_id"),
             payload=F.struct("service", "level", "message", "template", "fingerprint"),
         )
-        write_envelopes(out, *good_sink)
-        write_envelopes(dead.select("key", "value", "topic", "partition", "headers"), *dlq_sink)
-        batch.unpersist()
+        for rows, sink in ((out, good_sink), (dead.select("key", "value", "topic", "partition", "headers"), dlq_sink)):
+            fmt, options, mode = _replayable(sink, epoch)
+            write_envelopes(rows, fmt, options, mode=mode)
 
     w = decoded.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
@@ -103,17 +121,31 @@ def _state(spark: SparkSession, state: str, name: str, epoch: int, every: int) -
 
 
 def compact_history(slots: DataFrame, cutoff_us: int) -> DataFrame:
-    """Slots older than the cutoff folded into one empty slot per key that keeps its first-seen mark."""
+    """Slots older than the cutoff folded into one empty slot per key that keeps its first-seen mark.
+
+    A key that had fallen silent a whole idle-reset span before the cutoff starts anew when it returns, so
+    nothing is kept of it.
+    """
     recent = slots.filter(F.col("last_us") >= cutoff_us)
     old = slots.filter(F.col("last_us") < cutoff_us).withColumns({"window_id": F.col("slot"), "fresh": F.lit(True), "cut": F.lit(0)})
     marks = session_start(old).groupBy("service", "fingerprint").agg(
         F.max("first_seen_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("slot").alias("slot")
-    )
+    ).filter(F.col("last_us") >= cutoff_us - IDLE_RESET_SECONDS * 1_000_000)
     zero = F.lit(0).cast("bigint")
     folded = marks.select("service", "fingerprint", "slot", zero.alias("cnt"), zero.alias("err"), "first_us", "last_us")
     return recent.select("service", "fingerprint", "slot", "cnt", "err", "first_us", "last_us").unionByName(folded)
 
 
+def _middle(slots: DataFrame) -> int | None:
+    """The time that half of a batch's slots have reached: single stamps far ahead or behind do not move it."""
+    return slots.agg(F.percentile_approx("last_us", 0.5)).first()[0]
+
+
+def _of_services(past: DataFrame | None, batch: DataFrame) -> DataFrame | None:
+    """History of the services in the batch only: a service's error counts need all its fingerprints."""
+    return None if past is None else past.join(batch.select("service").distinct(), "service", "left_semi")
+
+
 def start_detect(
     sdf: DataFrame,
     state: str,
@@ -125,6 +157,7 @@ def start_detect(
     slot_s: int = SLOT_SECONDS,
     watermark: str = COUNT_WATERMARK,
     compact_every: int = 50,
+    max_ahead_s: int | None = None,
     trigger: dict | None = None,
     on_tickets: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
@@ -133,7 +166,9 @@ def start_detect(
     ``event``: every event is judged against the counts of all earlier batches and of its own batch before
     it, as in ``detect``; writes detections, incidents, tickets and audit rows. ``window``: windows are
     judged once, when the watermark closes them. Carried between batches is the slot table only; every
-    ``compact_every`` batches it is folded to the length of the baseline.
+    ``compact_every`` batches it is folded to the length of the baseline, counted back from the middle of
+    the newest batch. With ``max_ahead_s``, events stamped further than that ahead of the clock are put aside
+    in ``quarantine``.
     """
     spark = sdf.sparkSession
     keep_us = max(n * window_s, IDLE_RESET_SECONDS) * 1_000_000
@@ -144,39 +179,51 @@ def start_detect(
             rows = _state(spark, state, "slots", epoch, compact_every)
             now = _epochs(spark, f"{state}/slots", epoch, epoch)
             rows = now if rows is None else rows.unionByName(now)
-            newest = rows.agg(F.max("last_us")).first()[0]
-            _put(compact_history(rows, (newest or 0) - keep_us), f"{state}/slots_base", epoch)
+            reached = _middle(now)
+            # an empty batch says nothing about the time: everything is kept until the next fold
+            folded = rows if reached is None else compact_history(rows, reached - keep_us)
+            _put(folded, f"{state}/slots_base", epoch)
             if mode == "event":
                 ids_ = [x.select("incident_id") for x in (_state(spark, state, "incidents", epoch, compact_every),
                                                           _epochs(spark, f"{state}/incidents", epoch, epoch)) if x is not None]
                 _put(ids_[0] if len(ids_) == 1 else ids_[0].unionByName(ids_[1]), f"{state}/incidents_base", epoch)
 
     def by_event(batch: DataFrame, epoch: int) -> None:
-        batch = with_event_time(batch).persist()
-        found = detect(batch, thresholds, window_s, n, slot_s, _state(spark, state, "slots", epoch, compact_every))
-        _put(found, f"{state}/detections", epoch)
-        found = _epochs(spark, f"{state}/detections", epoch, epoch)
-        known = _state(spark, state, "incidents", epoch, compact_every)
-        new = inc.open_incidents(found, known, batch if "tenant_id" in batch.columns else None, thresholds)
-        _put(new, f"{state}/incidents", epoch)
-        new = _epochs(spark, f"{state}/incidents", epoch, epoch)
-        _put(inc.stub_tickets(new), f"{state}/tickets", epoch)
-        _put(inc.audit_rows(found, new), f"{state}/audit", epoch)
-        if on_tickets is not None:
-            on_tickets(_epochs(spark, f"{state}/tickets", epoch, epoch), epoch)
-        carry(slot_counts(batch, slot_s), epoch)
-        batch.unpersist()
+        batch = with_event_time(batch)
+        if max_ahead_s is not None:
+            ahead = F.col("occurred_at") > F.current_timestamp() + F.make_dt_interval(secs=F.lit(max_ahead_s))
+            _put(batch.filter(ahead), f"{state}/quarantine", epoch)
+            batch = batch.filter(~F.coalesce(ahead, F.lit(False)))
+        batch = batch.persist()
+        try:
+            past = _of_services(_state(spark, state, "slots", epoch, compact_every), batch)
+            found = detect(batch, thresholds, window_s, n, slot_s, past)
+            _put(found, f"{state}/detections", epoch)
+            found = _epochs(spark, f"{state}/detections", epoch, epoch)
+            known = _state(spark, state, "incidents", epoch, compact_every)
+            new = inc.open_incidents(found, known, batch if "tenant_id" in batch.columns else None, thresholds)
+            _put(new, f"{state}/incidents", epoch)
+            new = _epochs(spark, f"{state}/incidents", epoch, epoch)
+            _put(inc.stub_tickets(new), f"{state}/tickets", epoch)
+            _put(inc.audit_rows(found, new), f"{state}/audit", epoch)
+            if on_tickets is not None:
+                on_tickets(_epochs(spark, f"{state}/tickets", epoch, epoch), epoch)
+            carry(slot_counts(batch, slot_s), epoch)
+        finally:
+            batch.unpersist()
 
     def by_window(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        slots = batch.withColumns({"fresh": F.lit(True), "cut": F.lit(0)})
-        past = _state(spark, state, "slots", epoch, compact_every)
-        if past is not None:
-            slots = slots.unionByName(past.withColumns({"fresh": F.lit(False), "cut": F.lit(0)}))
-        svc = slots.groupBy("service", "slot", "cut", "fresh").agg(F.sum("err").alias("err"))
-        _put(detect_slots(slots, svc, thresholds, window_s, n, slot_s), f"{state}/verdicts", epoch)
-        carry(batch, epoch)
-        batch.unpersist()
+        batch = batch.persist()
+        try:
+            slots = batch.withColumns({"fresh": F.lit(True), "cut": F.lit(0)})
+            past = _of_services(_state(spark, state, "slots", epoch, compact_every), batch)
+            if past is not None:
+                slots = slots.unionByName(past.withColumns({"fresh": F.lit(False), "cut": F.lit(0)}))
+            svc = slots.groupBy("service", "slot", "cut", "fresh").agg(F.sum("err").alias("err"))
+            _put(detect_slots(slots, svc, thresholds, window_s, n, slot_s), f"{state}/verdicts", epoch)
+            carry(batch, epoch)
+        finally:
+            batch.unpersist()
 
     if mode == "event":
         src, fn = sdf, by_event

@@ -155,6 +155,40 @@ def test_stored_corpus_replaces_only_touched_buckets(spark, tmp_path):
     assert len(files & set(spark.read.parquet(path).inputFiles())) >= 7
 
 
+def test_vectors_and_times_outlive_batches_without_them(spark, tmp_path):
+    path = str(tmp_path / "t")
+    timed = spark.createDataFrame([(1, "LOGS", "k1", "a", {}, 100), (2, "LOGS", "k2", "b", {}, 200)], REQ + ", ts_us bigint")
+    one = emb.embed_requests(timed, dim=3)
+    emb.store_corpus(spark, path, timed, "LOGS", one, buckets=4)
+    emb.store_corpus(spark, path, spark.createDataFrame([(3, "LOGS", "k1", "c", {})], REQ), "LOGS")
+    emb.store_corpus(spark, path, spark.createDataFrame([(4, "LOGS", "k2", "d", {})], REQ), "LOGS", one.limit(0))
+    got = {r["fingerprint"]: r for r in spark.read.parquet(path).collect()}
+    for k, content, old, ts in (("k1", "c", "a", 100), ("k2", "d", "b", 200)):
+        assert got[k]["content"] == content and got[k]["embedding"] == [float(x) for x in fake_vectors([old], 3)[0]]
+        assert got[k]["last_seen_us"] == ts and got[k]["sample_count"] == 2
+
+
+def test_a_store_without_vectors_takes_vectors(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([(1, "LOGS", "k", "a", {})], REQ)
+    emb.store_corpus(spark, path, rows, "LOGS")
+    emb.store_corpus(spark, path, rows, "LOGS", emb.embed_requests(rows, dim=2))
+    assert [(r["sample_count"], len(r["embedding"])) for r in spark.read.parquet(path).collect()] == [(2, 2)]
+
+
+def test_stored_table_is_never_taken_for_new(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([(i, "LOGS", f"k{i}", "a", {}) for i in range(20)], REQ)
+    rows.write.parquet(path)
+    with pytest.raises(ValueError):
+        emb.store_corpus(spark, path, rows, "LOGS")
+    assert spark.read.parquet(path).count() == 20
+    other = str(tmp_path / "u")
+    emb.store_corpus(spark, other, rows, "LOGS", buckets=4)
+    with pytest.raises(ValueError):
+        emb.store_corpus(spark, other, rows, "LOGS", buckets=8)
+    emb.store_corpus(spark, other, rows, "LOGS")
+    assert spark.read.parquet(other).count() == 20
+
+
 def test_missing_vectors_rank_last(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<float>")
     c = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 0.0])], "id bigint, vector array<float>").coalesce(1)

@@ -90,6 +90,35 @@ def test_compaction_keeps_first_seen(spark, feed):
     assert marks(small) == marks(slots)
 
 
+SLOTS = "service string, fingerprint string, slot bigint, cnt bigint, err bigint, first_us bigint, last_us bigint"
+
+
+def test_a_stamp_far_ahead_does_not_move_the_cutoff(spark):
+    t = 1_700_000_000_000_000
+    rows = [("s", f"f{i}", (t // 10_000_000) + i, 5, 0, t + i, t + i) for i in range(100)]
+    slots = spark.createDataFrame(rows + [("s", "odd", 10**9, 1, 0, 10 * t, 10 * t)], SLOTS)
+    keep = 48 * 3600 * 1_000_000
+    kept = jobs.compact_history(slots, jobs._middle(slots) - keep)
+    assert kept.agg(F.sum("cnt")).first()[0] == 501
+
+
+def test_keys_silent_for_long_leave_the_state(spark):
+    day, t = 86_400_000_000, 1_700_000_000_000_000
+    rows = [("s", f"old{i}", i, 5, 0, t - 400 * day, t - 400 * day) for i in range(50)]
+    rows += [("s", "quiet", 7, 5, 0, t - 3 * day, t - 3 * day), ("s", "now", 9, 5, 0, t, t)]
+    kept = jobs.compact_history(spark.createDataFrame(rows, SLOTS), t - 2 * day).collect()
+    assert sorted((r["fingerprint"], r["cnt"]) for r in kept) == [("now", 5), ("quiet", 0)]
+
+
+def test_replayed_batch_is_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "v", [])], "key string, value string, headers array<struct<key:string,value:binary>>")
+    for _ in range(2):
+        fmt, options, mode = jobs._replayable(("parquet", {"path": str(tmp_path / "out")}), 3)
+        env.write_envelopes(rows, fmt, options, mode=mode)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert jobs._replayable(("kafka", {"topic": "t"}), 3) == ("kafka", {"topic": "t"}, "append")
+
+
 def test_dedupe_within_lifetime(spark, tmp_path):
     src = str(tmp_path / "d")
     spark.createDataFrame([("a", T0), ("a", T0 + timedelta(days=1)), ("b", T0)], "content_hash string, occurred_at timestamp").coalesce(1).write.parquet(src)
