@@ -57,7 +57,7 @@ class CosineScorer:
         c = unit_rows(list_matrix(feature.take(pa.array(rows))))
         if not c.size or not self.q.size:
             return np.full((len(rows), len(queries)), np.nan)
-        return np.round(1.0 - c @ self.q[queries].T, SCORE_DIGITS)
+        return np.round(1.0 - c @ self.q[queries].T, SCORE_DIGITS) + 0.0  # no negative zero
 
     def keep(self, scores: np.ndarray) -> np.ndarray:
         return np.ones_like(scores, dtype=bool)

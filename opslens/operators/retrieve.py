@@ -1,9 +1,8 @@
 """Hybrid retrieval: exact vector top-k, trigram top-k, reciprocal rank fusion.
 
-A block of queries is compared to the corpus where the corpus lies: each task keeps the best ``k`` per
-query over all its batches, so what leaves a task is ``k`` rows per query, never a pair per corpus row.
-Query sets of checked size go to every task; larger ones take the partitioned way, where queries and
-corpus are cut into blocks and each block pair is one small group.
+Queries go out in waves, blocks of checked size; the corpus is scanned where it lies, once for each wave,
+and never shuffled. Each task keeps the best ``k`` per query over all its batches, so what leaves a task is
+``k`` rows per query, never a pair per corpus row. A query set of any size takes this one way.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from opslens.functions import text
 from opslens.functions.kernels import CosineScorer, TrigramScorer
@@ -24,11 +24,10 @@ RRF_K = 60
 OVERFETCH = 5
 TOP_K = 10
 TRIGRAM_THRESHOLD = 0.3
-MAX_BROADCAST_QUERIES = 512
-MAX_BROADCAST_BYTES = 64 << 20
+WAVE_ROWS = 4_096
+WAVE_BYTES = 64 << 20
+SCORE_BLOCK = 512
 MAX_WINNERS = 200_000
-QUERY_BLOCK = 256
-CORPUS_BLOCK = 2_048
 
 # Corpus names, their tables, content rules and the filters each one allows.
 CORPORA: dict[str, tuple[str, Callable[[], Column], tuple[str, ...]]] = {
@@ -101,8 +100,9 @@ def _score_batch(keeper: _Keeper, scorer, qids: np.ndarray, qby: np.ndarray | No
     groups = [(np.arange(len(ids)), np.arange(len(qids)))]
     if by is not None:
         groups = [(np.flatnonzero(by == v), np.flatnonzero(qby == v)) for v in set(by) & set(qby)]
-    for rows, queries in groups:
-        if len(rows) and len(queries):
+    for rows, all_queries in groups:
+        for at in range(0, len(all_queries) if len(rows) else 0, SCORE_BLOCK):
+            queries = all_queries[at:at + SCORE_BLOCK]
             s = scorer.scores(feature, rows, queries)
             keep = scorer.keep(s)
             if len(rows) > keeper.k:
@@ -122,61 +122,59 @@ def _plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
-def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str | None) -> DataFrame:
+def _waves(queries: DataFrame, wave_rows: int, wave_bytes: int) -> Iterator[pa.Table]:
+    """The queries as Arrow tables of at most ``wave_rows`` rows and about ``wave_bytes`` bytes, one at a time."""
+    schema = to_arrow_schema(queries.schema)
+    held, size = [], 0
+    for row in queries.toLocalIterator():
+        held.append(row.asDict())
+        size += 64 + 24 * len(row["feature"] or ())
+        if len(held) >= wave_rows or size >= wave_bytes:
+            yield pa.Table.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_pylist(held, schema)
+
+
+def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str | None,
+          narrow: Callable[[pa.Table], Column] | None = None, wave_rows: int | None = None) -> DataFrame:
     """(query_id, id, score) of the ``k`` best corpus rows per query.
 
     Both sides have ``feature`` and, when set, ``by``; a query only sees corpus rows of equal ``by``.
+    ``narrow`` gives a condition that every corpus row which can match a query of the wave fulfils.
     """
     qtype, ctype = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     out_schema = f"query_id {qtype}, id {ctype}, score double"
     extra = [by] if by else []
     q = queries.select("query_id", "feature", *extra)
     c = corpus.select("id", "feature", *extra)
+    spark = q.sparkSession
 
-    def emit(keeper: _Keeper, qt: pa.DataType, ct: pa.DataType):
-        best = keeper.result()
-        if best is not None:
-            yield pa.record_batch(
-                [pa.array(best[0], type=qt), pa.array(best[1], type=ct), pa.array(best[2], type=pa.float64())],
-                names=["query_id", "id", "score"],
-            )
-
-    head = q.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
-    if head.num_rows <= MAX_BROADCAST_QUERIES and head.nbytes <= MAX_BROADCAST_BYTES:
-        block = q.sparkSession.sparkContext.broadcast(head)
+    def one(wave: pa.Table) -> DataFrame:
+        block = spark.sparkContext.broadcast(wave)  # held to the wave's rows and bytes
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = block.value
             qids, qby = _objects(t["query_id"]), (_objects(t[by]) if by else None)
-            scorer, keeper, ct = None, _Keeper(k), None
+            scorer, keeper, ct = make_scorer(_plain(t["feature"])), _Keeper(k), None
             for b in batches:
-                if scorer is None:
-                    scorer = make_scorer(_plain(t["feature"]))
                 ct = b.schema.field("id").type
                 _score_batch(keeper, scorer, qids, qby, _objects(b["id"]), b["feature"], _objects(b[by]) if by else None)
-            if ct is not None:
-                yield from emit(keeper, t.schema.field("query_id").type, ct)
-
-        partial = c.mapInArrow(scan, out_schema)
-    else:
-        def block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            empty = pa.table({n: pa.array([], type=t) for n, t in (
-                ("query_id", left.schema.field("query_id").type), ("id", right.schema.field("id").type), ("score", pa.float64()))})
-            if not left.num_rows or not right.num_rows:
-                return empty
-            keeper = _Keeper(k)
-            _score_batch(keeper, make_scorer(_plain(left["feature"])), _objects(left["query_id"]), None,
-                         _objects(right["id"]), _plain(right["feature"]), None)
-            found = list(emit(keeper, left.schema.field("query_id").type, right.schema.field("id").type))
-            return pa.Table.from_batches(found) if found else empty
-
-        nq = -(-q.count() // QUERY_BLOCK)
-        nc = max(1, -(-c.count() // CORPUS_BLOCK))
-        seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        qs = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("_cb", seq(nc))
-        cs = c.withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn("_qb", seq(nq))
-        keys = ["_qb", "_cb", *extra]
-        partial = qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInArrow(block_pair, out_schema)
+            best = keeper.result()
+            if best is not None:
+                yield pa.record_batch([pa.array(best[0], type=t.schema.field("query_id").type), pa.array(best[1], type=ct),
+                                       pa.array(best[2], type=pa.float64())], names=["query_id", "id", "score"])
+
+        return (c.filter(narrow(wave)) if narrow else c).mapInArrow(scan, out_schema)
+
+    partial = None
+    for wave in _waves(q, wave_rows or WAVE_ROWS, WAVE_BYTES):
+        if partial is None:
+            partial = one(wave)
+        else:  # k rows per query and task of every wave so far are written down
+            partial = cut_lineage(partial.unionByName(one(wave)))
+    if partial is None:
+        partial = spark.createDataFrame([], out_schema)
 
     # two cuts: the first spreads a query's partial lists over several tasks
     order = [F.col("score").asc(), F.col("id").asc()]
@@ -190,7 +188,8 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rnk", F.row_number().over(by)).filter(F.col("rnk") <= k)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: str | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: str | None = None,
+                wave_rows: int | None = None) -> DataFrame:
     """Exact nearest rows by cosine distance: (query_id, id, distance, rnk), ties broken by id.
 
     ``queries``: query_id, vector; ``corpus``: id, vector. Distances are rounded to nine digits so that
@@ -198,25 +197,27 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, by: str |
     """
     q = queries.withColumn("feature", F.col("vector"))
     c = corpus.withColumn("feature", F.col("vector"))
-    out = _ranked(_topk(q, c, CosineScorer, k, by), k)
+    out = _ranked(_topk(q, c, CosineScorer, k, by, wave_rows=wave_rows), k)
     return out.withColumnRenamed("score", "distance")
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshold: float = TRIGRAM_THRESHOLD,
-                 by: str | None = None) -> DataFrame:
-    """Most similar rows by trigrams above the threshold: (query_id, id, similarity, rnk)."""
+                 by: str | None = None, wave_rows: int | None = None) -> DataFrame:
+    """Most similar rows by trigrams above the threshold: (query_id, id, similarity, rnk).
+
+    A similarity above t needs sizes within a factor of t, so rows outside the reach of a wave's smallest and
+    largest query are left in the JVM.
+    """
     q = queries.withColumn("feature", text.trigrams(F.col("text")))
     c = corpus.withColumn("feature", text.trigrams(F.col("content")))
-    out = _ranked(_topk(q, c, lambda grams: TrigramScorer(grams, threshold), k, by), k)
-    return out.select("query_id", "id", (-F.col("score")).alias("similarity"), "rnk")
 
+    def within(wave: pa.Table) -> Column:
+        sizes = [len(x) for x in wave["feature"].to_pylist() if x]
+        n = F.size("feature")
+        return (n > threshold * min(sizes)) & (n * threshold < max(sizes)) if sizes else F.lit(False)
 
-def _pin(queries: DataFrame) -> tuple[DataFrame, bool]:
-    """The queries evaluated once: a local table and True when few, else a checkpointed one and False."""
-    head = queries.limit(MAX_BROADCAST_QUERIES + 1).toArrow()
-    if head.num_rows <= MAX_BROADCAST_QUERIES and head.nbytes <= MAX_BROADCAST_BYTES:
-        return queries.sparkSession.createDataFrame(head, queries.schema), True
-    return cut_lineage(queries), False
+    out = _ranked(_topk(q, c, lambda grams: TrigramScorer(grams, threshold), k, by, within, wave_rows), k)
+    return out.select("query_id", "id", (-F.col("score")).alias("similarity"), "rnk")
 
 
 def rrf(left: DataFrame, right: DataFrame, k0: int = RRF_K) -> DataFrame:
@@ -236,16 +237,16 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, top_k: int = TOP_K, ove
                   by: str | None = None) -> DataFrame:
     """Filter, both top lists, fusion, final cut: (query_id, id, content, score, corpus, rnk).
 
-    Filters go in before the ranking. The content is fetched last, for the winners only; with a query set
-    of checked size these are ``top_k`` rows per query, which are sent to the corpus and not the reverse.
+    Filters go in before the ranking. The content is fetched last, for the winners only: ``top_k`` rows per
+    query, which are sent to the corpus and not the reverse as long as their number is small.
     """
     c = corpus_filter(corpus, corpus_name, filters) if corpus_name else equality_filter(corpus, allowed, filters)
     k = top_k * overfetch
-    queries, few = _pin(queries)
+    queries = cut_lineage(queries)
     fused = rrf(vector_topk(queries, c, k, by), lexical_topk(queries, c, k, threshold, by), k0)
     win = W.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), F.col("id").asc())
     top = fused.withColumn("rnk", F.row_number().over(win)).filter(F.col("rnk") <= top_k)
-    top = F.broadcast(top) if few and top_k <= MAX_WINNERS // MAX_BROADCAST_QUERIES else top
+    top = F.broadcast(top) if queries.count() * top_k <= MAX_WINNERS else top
     return c.select("id", "content").join(top, "id").select(
         "query_id", "id", "content", F.col("rrf_score").alias("score"),
         F.lit(corpus_view(corpus_name)[0] if corpus_name else None).cast("string").alias("corpus"), "rnk",

@@ -30,7 +30,6 @@ MODELS = {"TINY": "model-xs", "SMALL": "model-s", "MEDIUM": "model-m", "LARGE":
 HALF = 1705363200000000  # 2024-01-16, splits stored state from the batch at hand
 COLD_RULES = Thresholds(cold_spike=15, cold_rate_errors=20)
 NEW_RULES = Thresholds(new_count=1)
-VECTOR_DIM = 16
 
 c, lit = F.col, F.lit
 
@@ -410,10 +409,27 @@ def lexical_topk(s, d):
     return ret.lexical_topk(q, docs, k=10).select("query_id", "id", "similarity", big(c("rnk")).alias("rnk"))
 
 
+@query
+def vector_neighbours(s, d):
+    """Every vector as a query, in several waves."""
+    rows = v.table(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    out = ret.vector_topk(rows.withColumnRenamed("id", "query_id"), rows, k=5, wave_rows=256)
+    return out.select("query_id", "id", "distance", big(c("rnk")).alias("rnk"))
+
+
+@query
+def hybrid_code_search(s, d):
+    """A corpus by name, with filters: unknown keys and null values are ignored."""
+    asked = v.label_queries(v.corpus(s, d))
+    out = ret.hybrid_search(asked, v.code_corpus(s, d), top_k=10, corpus_name="code",
+                            filters={"repo": "svc-1", "service": "x", "fqn": None})
+    return out.select("query_id", "id", "content", "corpus", "score", big(c("rnk")).alias("rnk"))
+
+
 @query
 def rank_fusion(s, d):
     corpus = v.corpus(s, d)
-    q = v.label_queries(corpus)
+    q = cut_lineage(v.label_queries(corpus))
     out = ret.rrf(ret.vector_topk(q, corpus, 20), ret.lexical_topk(q, corpus, 20))
     return out.select("query_id", "id", F.coalesce("vec_rank", lit(0)).cast("bigint").alias("vec_rank"), F.coalesce("lex_rank", lit(0)).cast("bigint").alias("lex_rank"), "rrf_score")
 
@@ -461,19 +477,28 @@ def embed_cache_hits(s, d):
 
 
 def _vector_cache(s, d) -> DataFrame:
-    return v.corpus(s, d).groupBy(text.content_hash(c("content")).alias("content_hash")).agg(F.min_by("vector", "id").alias("embedding"))
+    return v.corpus(s, d).filter("vector IS NOT NULL").groupBy(text.content_hash(c("content")).alias("content_hash")).agg(F.min_by("vector", "id").alias("embedding"))
+
+
+def _by_place(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows with every value of their vector, one per place; place -1 where there is no vector."""
+    out = df.select(*columns, F.posexplode_outer("embedding").alias("pos", "value"))
+    return out.withColumns({"pos": big(F.coalesce("pos", lit(-1))), "value": F.coalesce("value", lit(0.0)).cast("double")})
 
 
 @query
 def embedding_cache_lookup(s, d):
     out = emb.lookup_vectors(emb.dedupe_requests(v.embed_requests(s, d)), _vector_cache(s, d))
-    return out.select("content_hash", "n_requests", "cached", F.coalesce(F.element_at("embedding", 1), lit(0.0)).cast("double").alias("first_value"))
+    return _by_place(out, "content_hash", "n_requests", "cached")
 
 
 @query
 def embed_texts(s, d):
-    out = emb.embed(v.table(s, d, "documents").select("doc_id", "text"), "text", fake_vectors, VECTOR_DIM)
-    return out.select("doc_id", F.posexplode("embedding").alias("pos", "value")).select("doc_id", big(c("pos")).alias("pos"), c("value").cast("double").alias("value"))
+    """All 1,536 values of each text's vector, as one exact sum in which every value has its own weight."""
+    out = emb.embed(v.table(s, d, "documents").select("doc_id", "text"), "text", fake_vectors)
+    total = F.aggregate(F.transform("embedding", lambda x, i: F.round(x.cast("double") * 1000).cast("bigint") * (i + 1)),
+                        lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("doc_id", big(F.size("embedding")).alias("n_values"), total.alias("weighted_sum"))
 
 
 @query
@@ -482,24 +507,24 @@ def embed_corpus_counts(s, d):
 
 
 def _upsert(s, d, corpus: str) -> DataFrame:
-    r = v.embed_requests(s, d)
-    old = emb.upsert_corpus(None, r.filter(c("ts_us") < HALF), corpus)
-    return emb.upsert_corpus(old, r.filter(c("ts_us") >= HALF), corpus)
+    r, vectors = v.embed_requests(s, d), _vector_cache(s, d)
+    old = emb.upsert_corpus(None, r.filter(c("ts_us") < HALF), corpus, vectors)
+    return emb.upsert_corpus(old, r.filter(c("ts_us") >= HALF), corpus, vectors)
 
 
 @query
 def upsert_log_corpus(s, d):
-    return _upsert(s, d, "LOGS").select("fingerprint", "content", "content_hash", "seq", "sample_count")
+    return _by_place(_upsert(s, d, "LOGS"), "fingerprint", "content", "content_hash", "seq", "sample_count", "last_seen_us")
 
 
 @query
 def upsert_code_corpus(s, d):
-    return _upsert(s, d, "CODE").select("repo", "git_sha", "file_path", "fqn", "content_hash", "seq")
+    return _by_place(_upsert(s, d, "CODE"), "repo", "git_sha", "file_path", "fqn", "content_hash", "seq", "last_seen_us")
 
 
 @query
 def upsert_incident_corpus(s, d):
-    return _upsert(s, d, "INCIDENTS").select("incident_id", "content", "seq")
+    return _by_place(_upsert(s, d, "INCIDENTS"), "incident_id", "content", "seq", "last_seen_us")
 
 
 @query

@@ -240,11 +240,11 @@ SQL["event_audit"] = f"""WITH {_HOURLY}, {_INC}, k AS (SELECT DISTINCT fingerpri
 
 # --- retrieval ------------------------------------------------------------------------------------
 
-_CORPUS = "corp AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label::BIGINT AS label, text AS content, source FROM embeddings JOIN documents ON vec_id = doc_id)"
-_LABELQ = """dims AS (SELECT label, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM corp),
+_CORPUS = "corp AS (SELECT doc_id AS id, embedding::DOUBLE[] AS vec, label::BIGINT AS label, text AS content, source FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
+_LABELQ = """dims AS (SELECT label, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM corp WHERE vec IS NOT NULL),
   avgs AS (SELECT label, pos, avg(x) AS x FROM dims GROUP BY label, pos),
   qv AS (SELECT label AS query_id, list(x ORDER BY pos) AS qvec FROM avgs GROUP BY label),
-  qt AS (SELECT label AS query_id, arg_min(content, id) AS qtext FROM corp GROUP BY label)"""
+  qt AS (SELECT label AS query_id, arg_min(content, id) AS qtext FROM corp WHERE label IS NOT NULL GROUP BY label)"""
 
 
 def _vec(queries: str, k: int, where: str = "true") -> str:
@@ -271,12 +271,21 @@ _FUSED = """fu AS (SELECT query_id, id, coalesce(vr.rnk, 0) AS vec_rank, coalesc
     coalesce(1.0::DOUBLE / (60 + vr.rnk)::DOUBLE, 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + lr.rnk)::DOUBLE, 0.0::DOUBLE) AS rrf_score FROM vr FULL OUTER JOIN lr USING (query_id, id))"""
 _LABEL_GRAMS = f"{_grams('corp', 'id', 'content', 'd')}, {_grams('qt', 'query_id', 'qtext', 'q')}"
 SQL["vector_topk"] = f"WITH {_CORPUS}, {_LABELQ}, {_vec('qv', 20)} SELECT query_id, id, distance, rnk FROM vr"
+SQL["vector_neighbours"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_distance(b.v, a.v), 9) + 0.0 AS distance FROM e a, e b)
+  SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rnk FROM d QUALIFY rnk <= 5"""
 SQL["lexical_topk"] = f"""WITH {_grams('documents', 'doc_id', 'text', 'd')}, {_grams('benchmark', 'item_id', 'text', 'q')}, {_lex(10)} SELECT query_id, id, similarity, rnk FROM lr"""
 SQL["rank_fusion"] = f"WITH {_CORPUS}, {_LABELQ}, {_vec('qv', 20)}, {_LABEL_GRAMS}, {_lex(20)}, {_FUSED} SELECT query_id, id, vec_rank, lex_rank, rrf_score FROM fu"
 SQL["hybrid_search"] = f"""WITH {_CORPUS}, {_LABELQ}, {_vec('qv', 50)}, {_LABEL_GRAMS}, {_lex(50)}, {_FUSED},
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rnk FROM fu QUALIFY rnk <= 10)
   SELECT query_id, id, content, rrf_score AS score, rnk FROM top JOIN corp USING (id)"""
 _CODE = "code AS (SELECT id, vec, 'svc-' || (label % 3) AS repo, CASE WHEN id % 9 <> 0 THEN content ELSE 'src/' || source || '.java com.example.C' || id END AS content FROM corp)"
+SQL["hybrid_code_search"] = f"""WITH {_CORPUS}, {_CODE}, own AS (SELECT * FROM code WHERE repo = 'svc-1'), {_LABELQ},
+  vd AS (SELECT query_id, id, round(list_cosine_distance(vec, qvec), 9) + 0.0 AS distance FROM qv, own),
+  vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rnk FROM vd QUALIFY rnk <= 50),
+  {_grams('own', 'id', 'content', 'd')}, {_grams('qt', 'query_id', 'qtext', 'q')}, {_lex(50)}, {_FUSED},
+  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rnk FROM fu QUALIFY rnk <= 10)
+  SELECT query_id, id, content, 'code_embeddings' AS corpus, rrf_score AS score, rnk FROM top JOIN own USING (id)"""
 SQL["corpus_filter"] = f"WITH {_CORPUS}, {_CODE} SELECT id, repo, content FROM code WHERE repo = 'svc-1'"
 
 
@@ -292,7 +301,7 @@ def _fake(src: str, idcol: str, textcol: str, dim: int, name: str) -> str:
   {name}_v AS (SELECT k, pos, ((seed % 1000)::FLOAT / 1000::FLOAT)::FLOAT::DOUBLE AS value FROM {name}_s WHERE pos >= 0)"""
 
 
-SQL["embed_texts"] = f"WITH RECURSIVE {_fake('documents', 'doc_id', 'text', 16, 'f')} SELECT k AS doc_id, pos, value FROM f_v"
+SQL["embed_texts"] = f"""WITH RECURSIVE {_fake('documents', 'doc_id', 'text', 1536, 'f')} SELECT k AS doc_id, count(*) AS n_values, sum((seed % 1000) * (pos + 1))::BIGINT AS weighted_sum FROM f_s WHERE pos >= 0 GROUP BY k"""
 SQL["anomaly_context"] = f"""WITH RECURSIVE {_HOURLY}, {_INC}, {_CORPUS}, {_CODE}, ask AS (SELECT DISTINCT service || '|' || fingerprint AS query_id, service, fingerprint AS qtext FROM inc),
   {_fake('ask', 'query_id', 'qtext', 64, 'f')}, qv AS (SELECT k AS query_id, list(value ORDER BY pos) AS qvec FROM f_v GROUP BY k),
   vd AS (SELECT query_id, id, round(list_cosine_distance(code.vec, qvec), 9) + 0.0 AS distance FROM qv JOIN ask USING (query_id) JOIN code ON code.repo = ask.service),
@@ -321,13 +330,31 @@ SQL["embed_cache_hits"] = f"""WITH RECURSIVE {_REQ}, {_chain('req', 'h', 604800)
 SQL["embed_savings"] = f"""WITH RECURSIVE {_REQ}, {_chain('req', 'h', 604800)}, w AS (SELECT DISTINCT k, a FROM ch),
   t AS (SELECT (SELECT count(*) FROM req) AS requests, (SELECT count(DISTINCT h) FROM req) AS distinct_texts, (SELECT count(*) FROM (SELECT DISTINCT seq // 32, h FROM req)) AS batch_texts,
     (SELECT count(*) FROM w) AS model_calls) SELECT *, 1.0::DOUBLE - model_calls::DOUBLE / requests::DOUBLE AS saved_share FROM t"""
-SQL["embedding_cache_lookup"] = f"""WITH {_REQ}, {_CORPUS}, cache AS (SELECT sha256(content) AS h, arg_min(vec, id)[1] AS v FROM corp GROUP BY sha256(content)),
-  u AS (SELECT h, count(*) AS n FROM req GROUP BY h) SELECT u.h AS content_hash, n AS n_requests, cache.h IS NOT NULL AS cached, coalesce(v, 0.0) AS first_value FROM u LEFT JOIN cache ON cache.h = u.h"""
+_CACHE = "cache AS (SELECT sha256(content) AS h, arg_min(vec, id) AS v FROM corp WHERE vec IS NOT NULL GROUP BY sha256(content))"
+SQL["embedding_cache_lookup"] = f"""WITH {_REQ}, {_CORPUS}, {_CACHE},
+  flat AS (SELECT h, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM cache),
+  u AS (SELECT h, count(*) AS n FROM req GROUP BY h)
+  SELECT u.h AS content_hash, n AS n_requests, cache.h IS NOT NULL AS cached, coalesce(pos, -1) AS pos, coalesce(value, 0.0) AS value
+  FROM u LEFT JOIN cache ON cache.h = u.h LEFT JOIN flat ON flat.h = u.h"""
 SQL["embed_corpus_counts"] = f"WITH {_REQ} SELECT corpus, count(*) AS processed FROM req GROUP BY corpus"
-SQL["upsert_log_corpus"] = f"""WITH {_REQ} SELECT coalesce(content_id, h) AS fingerprint, arg_max(text, seq) AS content, arg_max(h, seq) AS content_hash, max(seq) AS seq, count(*) AS sample_count
-  FROM req WHERE corpus = 'LOGS' GROUP BY 1"""
-SQL["upsert_code_corpus"] = f"""WITH {_REQ} SELECT repo, git_sha, file_path, fqn, arg_max(h, seq) AS content_hash, max(seq) AS seq FROM req WHERE corpus = 'CODE' AND fqn IS NOT NULL GROUP BY 1,2,3,4"""
-SQL["upsert_incident_corpus"] = f"WITH {_REQ} SELECT content_id AS incident_id, arg_max(text, seq) AS content, max(seq) AS seq FROM req WHERE corpus = 'INCIDENTS' GROUP BY 1"
+
+
+def _upsert(keys: dict[str, str], where: str, columns: str) -> str:
+    """Net effect of all requests per key; the vector is that of the later half's last request, else of the earlier's."""
+    names, exprs = ", ".join(keys), ", ".join(f"{x} AS {k}" for k, x in keys.items())
+    return f"""WITH {_REQ}, {_CORPUS}, {_CACHE}, r AS (SELECT {exprs}, seq, text, h, sec, sec < 1705363200 AS old FROM req WHERE {where}),
+  halves AS (SELECT {names}, old, arg_max(h, seq) AS h, max(seq) AS seq FROM r GROUP BY ALL),
+  vec AS (SELECT {names}, arg_max(v, seq) AS v FROM halves JOIN cache USING (h) GROUP BY ALL),
+  flat AS (SELECT {names}, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS value FROM vec),
+  main AS (SELECT {names}, {columns}, max(sec) * 1000000 AS last_seen_us FROM r GROUP BY {names})
+  SELECT main.*, coalesce(pos, -1) AS pos, coalesce(value, 0.0) AS value FROM main LEFT JOIN flat USING ({names})"""
+
+
+SQL["upsert_log_corpus"] = _upsert({"fingerprint": "coalesce(content_id, h)"}, "corpus = 'LOGS'",
+                                   "arg_max(text, seq) AS content, arg_max(h, seq) AS content_hash, max(seq) AS seq, count(*) AS sample_count")
+SQL["upsert_code_corpus"] = _upsert({k: k for k in ("repo", "git_sha", "file_path", "fqn")}, "corpus = 'CODE' AND fqn IS NOT NULL",
+                                    "arg_max(h, seq) AS content_hash, max(seq) AS seq")
+SQL["upsert_incident_corpus"] = _upsert({"incident_id": "content_id"}, "corpus = 'INCIDENTS'", "arg_max(text, seq) AS content, max(seq) AS seq")
 SQL["incident_fk_check"] = f"WITH {_REQ} SELECT seq, content_id IN (SELECT 'inc-' || doc_id FROM labels) AS known FROM req WHERE corpus = 'INCIDENTS'"
 
 # --- ledger ---------------------------------------------------------------------------------------

@@ -96,16 +96,17 @@ def dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` with the whole text of the document of the same id."""
+    """``documents`` with the vector of the same id; those without one are found by their words only."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    return e.join(d, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("label"),
+    return d.join(e, F.col("vec_id") == F.col("doc_id"), "left").select(
+        F.col("doc_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("label"),
         F.col("text").alias("content"), "source", "lang",
     )
 
 
 def label_queries(corpus_df: DataFrame) -> DataFrame:
     """One query per label: the mean vector of its rows and the text of its earliest row."""
+    corpus_df = corpus_df.filter("label IS NOT NULL")
     dims = corpus_df.select("label", F.posexplode("vector")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("v"))
     mean = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("vector"))
     words = corpus_df.groupBy("label").agg(F.min_by("content", "id").alias("text"))

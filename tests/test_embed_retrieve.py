@@ -110,9 +110,9 @@ def grams(s):
 @pytest.mark.parametrize("wide", [False, True])
 def test_both_ways_match_brute_force(spark, monkeypatch, by, wide):
     if wide:
-        monkeypatch.setattr(ret, "MAX_BROADCAST_QUERIES", 5)
-        monkeypatch.setattr(ret, "QUERY_BLOCK", 7)
-        monkeypatch.setattr(ret, "CORPUS_BLOCK", 50)
+        monkeypatch.setattr(ret, "WAVE_ROWS", 7)
+        monkeypatch.setattr(ret, "SCORE_BLOCK", 3)
+        monkeypatch.setattr(ret, "MAX_WINNERS", 0)
     q, c, qd, cd = random_sets(spark, 20, 300)
     vec = {(r["query_id"], r["rnk"]): (r["id"], r["distance"]) for r in ret.vector_topk(qd, cd.repartition(5), 6, by).collect()}
     lex = {(r["query_id"], r["rnk"]): (r["id"], r["similarity"]) for r in ret.lexical_topk(qd, cd.repartition(5), 6, by=by).collect()}
@@ -124,6 +124,8 @@ def test_both_ways_match_brute_force(spark, monkeypatch, by, wide):
         s = [(-len(grams(qt) & grams(t)) / len(grams(qt) | grams(t)), i) for i, _, t, _ in pool]
         want_v.update({(qid, k + 1): (i, x) for k, (x, i) in enumerate(d)})
         want_l.update({(qid, k + 1): (i, -x) for k, (x, i) in enumerate(sorted(y for y in s if -y[0] > 0.3)[:6])})
+    hybrid = ret.hybrid_search(qd, cd, 4, by=by).collect()
+    assert len({(r["query_id"], r["rnk"]) for r in hybrid}) == len(hybrid) == 80
     assert {k: v[0] for k, v in vec.items()} == {k: v[0] for k, v in want_v.items()}
     assert {k: (v[0], round(v[1], 12)) for k, v in lex.items()} == {k: (v[0], round(v[1], 12)) for k, v in want_l.items()}
 
