@@ -230,6 +230,8 @@ def resolve_incidents(incidents: DataFrame, fn: Completer | None = None, tz: str
     out = incidents.select("incident_id", "is_anomaly").join(
         verdicts.select("incident_id", "agreed_error_type", "primary_layer", "confidence", "n_findings"), "incident_id", "left"
     )
+    record = lists.select("incident_id", F.col("suspected_files").alias("verdict_files"), "dissent_json")
+    out = out.join(record, "incident_id", "left")
     cols = ["incident_id", "cause", "title", "description", "suspected_files", "fix_suggestion", "priority_score", "calculated_severity", "routing_queue", "justification"]
     return out.withColumn("status", outcome(F.col("is_anomaly"), F.col("agreed_error_type"))).join(tickets.select(*cols), "incident_id", "left")
 
@@ -252,3 +254,20 @@ def layer_accuracy(df: DataFrame, k: int = 5) -> DataFrame:
     return precision_at_k(df, k).agg(
         F.count(F.lit(1)).alias("n"), F.avg(right).alias("layer_accuracy"), F.avg("precision_at_k").alias("precision_at_k"),
     ).withColumn("passed", (F.col("precision_at_k") >= PRECISION_GATE) & (F.col("layer_accuracy") >= LAYER_GATE))
+
+
+def incident_pipeline(incidents: DataFrame, context: DataFrame, fn: Completer | None = None, tz: str = "UTC") -> DataFrame:
+    """Opened incidents to tickets: retrieved code becomes the panel's context, then ``resolve_incidents``.
+
+    ``context`` has (incident_id, id, content, rnk), at most top-k rows an incident, as ``anomaly_context``
+    returns them. One row per incident: the consensus record with its files and dissent, and the ticket.
+    """
+    found = context.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "id", "content"))).alias("_c"))
+    rows = incidents.join(found, "incident_id", "left").select(
+        "incident_id", "service", F.col("first_seen_at").alias("created_at"), F.lit(True).alias("is_anomaly"),
+        F.col("title").alias("requirement"), F.col("summary").alias("stack_trace"),
+        F.coalesce(F.array_join(F.transform("_c", lambda x: x["content"]), "\n\n"), F.lit("")).alias("code_context"),
+        F.coalesce(F.array_join(F.transform("_c", lambda x: x["id"].cast("string")), ","), F.lit("")).alias("context_ids"),
+    )
+    rows = cut_lineage(rows)
+    return resolve_incidents(rows.drop("context_ids"), fn, tz).join(rows.select("incident_id", "context_ids"), "incident_id")

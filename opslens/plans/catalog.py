@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,6 +124,13 @@ def validate_envelopes(s, d):
     return v.records(s, d).select("partition", "offset", env.valid_envelope(c("value")).alias("valid")).withColumn("partition", big(c("partition")))
 
 
+@query
+def validate_batches(s, d):
+    """Batches of one user's entries on one day, with a small limit so that some break it."""
+    e = v.table(s, d, "events").select(F.concat_ws("/", "user_id", F.to_date("ts").cast("string")).alias("batch_id"))
+    return src.batch_errors(e, "batch_id", 3).select("batch_id", big(c("n_rows")).alias("n_rows"))
+
+
 @query
 def validate_events(s, d):
     logs = v.logs(s, d)
@@ -365,6 +373,14 @@ def _hourly_once(s, d) -> DataFrame:
     return cut_lineage(_hourly(s, d))
 
 
+@query
+def evidence_map(s, d):
+    """The numbers behind each incident's first report, key by key; hourly rules and cold rules."""
+    cold = inc.open_incidents(detect(v.event_keys(s, d), COLD_RULES, window_s=86400, n=30), thresholds=COLD_RULES)
+    both = inc.open_incidents(_hourly(s, d)).withColumn("rules", lit("hourly")).unionByName(cold.withColumn("rules", lit("cold")))
+    return both.select("rules", "incident_id", F.explode(F.from_json("evidence", "map<string,string>")).alias("key", "value"))
+
+
 @query
 def open_incidents(s, d):
     i = inc.open_incidents(_hourly(s, d), events=src.with_tenant(v.logs(s, d)))
@@ -633,10 +649,24 @@ def root_cause_shortcut(s, d):
     return out.select("incident_id", F.coalesce("cause", lit("")).alias("cause"), big(F.size("evidence")).alias("n_evidence"), F.coalesce("cause_confidence", lit(-1.0)).alias("cause_confidence"))
 
 
+def _drafter(batch: list[str]) -> list[str]:
+    """Scripted drafts that name the file behind ``cause`` if there is one."""
+    out = []
+    for p in batch:
+        own = re.search(r"own:(src\d+)", p)
+        files = f'"{own[1]}"' if own else ""
+        out.append(f'text before {{"title":"t","description":"d","suspectedFiles":[{files}],"fixSuggestion":"f"}}')
+    return out
+
+
 @query
 def draft_ticket(s, d):
-    docs = v.table(s, d, "documents").withColumn("own", F.when(c("doc_id") % 2 == 0, F.array(c("source"))).otherwise(F.array().cast("array<string>")))
-    return docs.select("doc_id", F.concat_ws(",", cons.files_or(c("own"), F.array(c("lang"), c("source")))).alias("files"))
+    docs = v.table(s, d, "documents").select(
+        "doc_id", F.when(c("doc_id") % 2 == 0, F.concat(lit("own:"), c("source"))).otherwise("none").alias("cause"),
+        lit("APPLICATION").alias("primary_layer"), F.array(c("lang")).alias("evidence"), F.array(c("text")).alias("alternatives"),
+        F.array(c("lang"), c("source")).alias("suspected_files"))
+    out = cons.draft_ticket(docs, _drafter)
+    return out.select("doc_id", "title", "description", "repro_steps", "fix_suggestion", F.concat_ws(",", "suspected_files").alias("files"))
 
 
 @query
@@ -680,6 +710,47 @@ def resolve_incidents(s, d):
                       F.concat_ws(",", "suspected_files").alias("files"))
 
 
+def _agreed(batch: list[str]) -> list[str]:
+    """Scripted answers of a panel in which the system analyst dissents."""
+    out = []
+    for p in batch:
+        if p.startswith("SYSTEM:\nYou are the "):
+            role = p[len("SYSTEM:\nYou are the "):].split(" of the on-call panel", 1)[0]
+            layer = "INFRASTRUCTURE" if role == "System Analyst" else "APPLICATION"
+            out.append(f'{{"role":"{role}","errorType":"E","layer":"{layer}","suspectedFiles":["{role[0]}.java"],"confidence":0.9,"rationale":"r"}}')
+        elif "root cause" in p:
+            out.append('{"cause":"found","evidence":["x"],"confidence":0.8,"alternatives":[]}')
+        elif "Write the ticket" in p:
+            out.append('{"title":"t","description":"d","suspectedFiles":[],"fixSuggestion":"f"}')
+        else:
+            out.append("P1")
+    return out
+
+
+@query
+def incident_pipeline(s, d):
+    """Detections to resolved tickets in one run."""
+    opened = cut_lineage(inc.open_incidents(_hourly(s, d)))
+    embedder = lambda q: emb.embed(q, "text", fake_vectors, 64, "vector")
+    context = ret.anomaly_context(opened.withColumn("template", lit("")), v.code_corpus(s, d), embedder, top_k=10)
+    out = cons.incident_pipeline(opened, context, _agreed)
+    return out.select("incident_id", "status", "context_ids", "agreed_error_type", "primary_layer", "confidence", "n_findings",
+                      F.concat_ws(",", "verdict_files").alias("files"), "dissent_json", "calculated_severity", "cause")
+
+
+@query
+def retrieval_eval(s, d):
+    """Precision at 5 of trigram search, where benchmark passages are known to stand in documents."""
+    docs = v.table(s, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"))
+    q = v.table(s, d, "benchmark").select(c("item_id").alias("query_id"), "text")
+    top = ret.lexical_topk(q, docs, k=5, threshold=0.1).join(docs, "id").join(q, "query_id")
+    hits = F.sum(F.contains("content", "text").cast("int"))
+    per = top.groupBy("query_id").agg(big(F.count(lit(1))).alias("found"), hits.alias("hits"))
+    return q.select("query_id").join(per, "query_id", "left").select(
+        "query_id", F.coalesce("found", big(lit(0))).alias("found"), F.coalesce("hits", big(lit(0))).alias("hits"),
+        (F.coalesce("hits", big(lit(0))) / lit(5.0)).alias("precision_at_5"))
+
+
 @query
 def precision_at_k(s, d):
     return cons.precision_at_k(v.eval_set(s, d)).select("doc_id", "hits", "precision_at_k", "reachable_precision")

@@ -434,7 +434,8 @@ SQL["incident_outcome"] = f"""WITH {_FIND}, {_VERD} SELECT incident_id, CASE WHE
 SQL["root_cause_shortcut"] = f"""WITH {_FIND}, {_VERD} SELECT incident_id, CASE WHEN agreed_error_type = 'REVIEW_NEEDED' THEN 'Manual review required — swarm could not reach consensus'
     WHEN agreed_error_type IN ('NullPointerException', 'TimeoutException') THEN '' ELSE 'UNHANDLED_MOCK_STATE' END AS cause, 0::BIGINT AS n_evidence,
   CASE agreed_error_type WHEN 'REVIEW_NEEDED' THEN confidence WHEN 'NullPointerException' THEN 0.92 WHEN 'TimeoutException' THEN 0.85 ELSE -1.0 END::DOUBLE AS cause_confidence FROM verd"""
-SQL["draft_ticket"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang || ',' || source END AS files FROM documents"
+SQL["draft_ticket"] = """SELECT doc_id, 't' AS title, 'd' AS description, '' AS repro_steps, 'f' AS fix_suggestion,
+  CASE WHEN doc_id % 2 = 0 THEN source ELSE lang || ',' || source END AS files FROM documents"""
 SQL["ticket_priority"] = """WITH p AS (SELECT event_id, 3 * (CASE WHEN user_id % 3 = 0 THEN 5 ELSE 2 END)
     * (CASE WHEN ts::TIME > TIME '08:00:00' AND ts::TIME < TIME '18:00:00' THEN 1 ELSE 3 END)::BIGINT AS s FROM events)
   SELECT event_id, s AS priority_score, CASE WHEN s > 30 THEN 'P0' WHEN s >= 15 THEN CASE WHEN event_id % 2 = 0 THEN 'P1' ELSE 'P2' END WHEN s > 5 THEN 'P2' ELSE 'P3' END AS calculated_severity,
@@ -468,3 +469,36 @@ SQL["dlq_tail"] = f"""WITH {_DLQ}, r AS (SELECT *, row_number() OVER (PARTITION
   SELECT "partition", "offset", key, value AS value_preview FROM r WHERE rn <= (20 + np - 1) // np ORDER BY rn, "partition" LIMIT 20"""
 SQL["dlq_backlog"] = f"""WITH {_DLQ}, p AS (SELECT topic, "partition", max("offset") + 1 - min("offset") AS n FROM dl GROUP BY ALL) SELECT topic, sum(n)::BIGINT AS backlog FROM p GROUP BY topic"""
 SQL["fingerprints_per_service"] = f"WITH {_PARSED} SELECT service, fingerprint, count(*) AS cnt FROM parsed GROUP BY ALL"
+SQL["validate_batches"] = """SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS batch_id, count(*) AS n_rows FROM events GROUP BY 1 HAVING count(*) > 3"""
+SQL["retrieval_eval"] = f"""WITH {_grams('documents', 'doc_id', 'text', 'd')}, {_grams('benchmark', 'item_id', 'text', 'q')}, {_lex(5).replace('> 0.3', '> 0.1')},
+  h AS (SELECT query_id, count(*) AS found, count(*) FILTER (contains(d.text, b.text)) AS hits FROM lr JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id GROUP BY query_id)
+  SELECT item_id AS query_id, coalesce(found, 0) AS found, coalesce(hits, 0) AS hits, coalesce(hits, 0) / 5.0::DOUBLE AS precision_at_5 FROM benchmark LEFT JOIN h ON query_id = item_id"""
+
+
+def _evidence(rules: str, chain: str, n: int, spike: int, rate: int) -> str:
+    """Keys and values of the first report of each incident under one set of rules."""
+    num = lambda x: f"({x})::DECIMAL(28,6)::VARCHAR"
+    kinds = {
+        "service": ("true", "service"), "fingerprint": ("true", "fingerprint"),
+        "strategy": ("rule <= 3", "signal"), "threshold": ("rule IN (1, 3)", f"CASE rule WHEN 1 THEN {num(spike)} ELSE {num(rate)} END"),
+        "current": ("rule <> 3", f"CASE WHEN rule IN (5, 6) THEN {num('svc_errors')} ELSE {num('fp_count')} END"),
+        "current_service_errors": ("rule = 3", num("svc_errors")), "zScore": ("rule IN (4, 5)", num("score")),
+        "ratio": ("rule = 6", num("score")), "signal": ("rule IN (5, 6)", "signal"),
+        "mean": ("rule >= 4", f"CASE WHEN rule IN (5, 6) THEN {num('svc_mean')} ELSE {num('fp_mean')} END"),
+        "stdDev": ("rule IN (4, 5)", f"CASE rule WHEN 5 THEN {num('svc_std')} ELSE {num('fp_std')} END"), "n": ("rule >= 4", num(n)),
+    }
+    parts = " UNION ALL ".join(f"SELECT incident_id, '{k}' AS key, {x} AS value FROM inc WHERE {cond}" for k, (cond, x) in kinds.items())
+    return f"SELECT '{rules}' AS rules, * FROM (WITH {chain}, {_INC} {parts})"
+
+
+SQL["evidence_map"] = " UNION ALL ".join([
+    _evidence("hourly", _HOURLY, 168, 50, 40),
+    _evidence("cold", f"{_KEYS}, {_detect('ek', 86400, 30, cold_spike=15, cold_err=20)}", 30, 15, 20),
+])
+SQL["incident_pipeline"] = f"""WITH ctx AS ({SQL['anomaly_context']}), ids AS (SELECT incident_id, string_agg(id::VARCHAR, ',' ORDER BY rnk) AS context_ids FROM ctx GROUP BY incident_id),
+  opened AS (WITH {_HOURLY}, {_INC} SELECT incident_id, service, us FROM inc),
+  p AS (SELECT *, make_timestamp(us)::TIME AS t FROM opened)
+  SELECT incident_id, 'TICKETED' AS status, coalesce(context_ids, '') AS context_ids, 'E' AS agreed_error_type, 'APPLICATION' AS primary_layer, 0.9::DOUBLE AS confidence, 5::BIGINT AS n_findings,
+    'B.java,D.java,F.java' AS files, '[{{"role":"System Analyst","minorityView":"r"}}]' AS dissent_json,
+    CASE WHEN t > TIME '08:00:00' AND t < TIME '18:00:00' THEN 'P2' ELSE 'P1' END AS calculated_severity, 'found' AS cause
+  FROM p LEFT JOIN ids USING (incident_id)"""
