@@ -61,18 +61,27 @@ def training_ids(labels: DataFrame, sample_rows: int) -> DataFrame:
     return same.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
-def logistic(cols: np.ndarray, row: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int):
-    """Weights and bias of a ridge logistic regression over sparse rows (row[i] holds column cols[i] of value scale)."""
+def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int, step_rows: int = 1000):
+    """Weights and bias of a ridge logistic regression; row i has the value scale[j] in its columns j.
+
+    Adam steps on the whole sample; gradients are summed over groups of ``step_rows`` rows, which bounds what is held.
+    """
     n, m = len(y), len(scale)
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))  # both classes weigh the same
-    value = scale[cols]
+    groups = []
+    for a in range(0, n, step_rows):
+        part = rows[a:a + step_rows]
+        groups.append((slice(a, a + len(part)), np.concatenate(part).astype(np.int32),
+                       np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])))
     w, b = np.zeros(m), 0.0
     mw, mb, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
-    for t in range(1, rounds + 1):  # Adam steps on the whole sample
-        z = np.bincount(row, weights=value * w[cols], minlength=n) + b
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw = np.bincount(cols, weights=value * g[row], minlength=m) + ridge * w
-        gb = g.sum()
+    for t in range(1, rounds + 1):
+        gw, gb, scaled = ridge * w, 0.0, scale * w
+        for at, cols, row in groups:
+            z = np.bincount(row, weights=scaled[cols], minlength=at.stop - at.start) + b
+            g = share[at] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at])
+            gw += scale * np.bincount(cols, weights=g[row], minlength=m)
+            gb += g.sum()
         mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
         vw, vb = 0.999 * vw + 0.001 * gw * gw, 0.999 * vb + 0.001 * gb * gb
         step = 0.05 / (1 + t / 50)
@@ -81,7 +90,7 @@ def logistic(cols: np.ndarray, row: np.ndarray, scale: np.ndarray, y: np.ndarray
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, features: int = 20_000, least_docs: int = 5,
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, features: int = 8_000, least_docs: int = 5,
           smooth: float = 1.0, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float] | None:
     """(one number per bucket, bias), from a bounded sample of labelled rows; None without rows of both kinds."""
     ids = cut(training_ids(labels, sample_rows))
@@ -98,18 +107,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, feat
         if n.any():
             yield pa.RecordBatch.from_pydict({"n": [n.astype("<i8").tobytes()], "got": [got.astype("<i4").tobytes()]})
 
-    def total(batches):
-        n, got = np.zeros(2, np.int64), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for a, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n += np.frombuffer(a, "<i8")
-                got += np.frombuffer(g, "<i4").reshape(2, BUCKETS)
-        yield pa.RecordBatch.from_pydict({"n": [n.tobytes()], "got": [got.astype("<i4").tobytes()]})
-
-    # the sample is bounded, and so are its tasks and the one array of counts per task
-    kinds = "n binary, got binary"
-    sums = rows.repartition(8).mapInArrow(counts, kinds).coalesce(1).mapInArrow(total, kinds).first()
-    n, got = np.frombuffer(sums["n"], "<i8"), np.frombuffer(sums["got"], "<i4").reshape(2, BUCKETS).astype(float)
+    # the sample is bounded, and so are its eight tasks, each with one array of counts
+    rows = rows.repartition(8)
+    sums = rows.mapInArrow(counts, "n binary, got binary").collect()
+    n = sum((np.frombuffer(r["n"], "<i8") for r in sums), np.zeros(2, np.int64))
+    got = sum((np.frombuffer(r["got"], "<i4").reshape(2, BUCKETS) for r in sums), np.zeros((2, BUCKETS)))
     if not n.all():
         return None
     ratio = np.log((got[1] + smooth) / (n[1] + 2 * smooth)) - np.log((got[0] + smooth) / (n[0] + 2 * smooth))
@@ -127,11 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, feat
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "cols": [x[x >= 0].astype("<i4").tobytes()
                                                                                 for x in found]})
 
-    sample = rows.repartition(8).mapInArrow(chosen, "toxic int, cols binary").collect()  # at most sample_rows rows
-    parts = [np.frombuffer(r["cols"], "<i4") for r in sample]
-    y = np.array([r["toxic"] for r in sample], float)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in parts])
-    w, b = logistic(np.concatenate(parts).astype(np.int64), row, ratio[kept], y, ridge, rounds)
+    sample = rows.mapInArrow(chosen, "toxic int, cols binary").collect()  # at most sample_rows rows
+    w, b = logistic([np.frombuffer(r["cols"], "<i4") for r in sample], ratio[kept],
+                    np.array([r["toxic"] for r in sample], float), ridge, rounds)
     table = np.zeros(BUCKETS, np.float32)
     table[kept] = w * ratio[kept]
     return table, float(b)
