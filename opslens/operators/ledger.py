@@ -6,11 +6,12 @@ exact and do not depend on the order in which tasks add them up.
 
 from __future__ import annotations
 
-import datetime as dt
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,87 +105,61 @@ def response_cache_hits(calls: DataFrame, ttl_s: int = RESPONSE_TTL_SECONDS) ->
     return cache_hits(src, "prompt_hash", ttl_s, row_id="call_id", writes=F.col("status") != "FAILED")
 
 
-def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float = USD_PER_1K, slot_s: int = 60) -> DataFrame:
-    """Replay of the budget check over each day: adds spent_before, decision, level and charged tokens.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the open calls of each day in order; gives back those that fit. Holds one batch and one number."""
+    today, rest = None, 0
+    for b in batches:
+        day = b.column(0).cast(pa.int32()).to_numpy()
+        start, est, charge = (b.column(i).to_numpy() for i in (3, 4, 5))
+        fit = []
+        for lo, hi in zip(*(x.tolist() for x in _runs(day))):
+            if day[lo] != today:
+                today, rest = day[lo], int(start[lo])
+            at = lo
+            while at < hi:
+                ahead = np.flatnonzero(est[at:min(hi, at + 4096)] < rest)
+                if not len(ahead):
+                    at = min(hi, at + 4096)
+                    continue
+                at += int(ahead[0])
+                fit.append(at)
+                rest -= int(charge[at])
+                at += 1
+        yield b.select(["day", "ts_us", "call_id"]).take(pa.array(fit, pa.int64()))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(x)) + 1
+    return np.r_[0, edge], np.r_[edge, len(x)]
 
-    A denied call spends nothing, which changes every later decision of its day. Instead of walking a day
-    call by call, whole stretches are settled at once:
 
-    * the first stretch runs up to the first call that no longer fits; all before it are admitted;
-    * from then on, with ``R`` tokens left and ``T = R/2``: calls of ``R`` or more can never fit again and
-      fall away; calls under ``T`` fit for as long as more than ``T`` is left; the stretch ends at the
-      first larger call that fits, or at the call that brings the rest to ``T`` or less.
+def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float = USD_PER_1K, slot_s: int = 60) -> DataFrame:
+    """Replay of the budget check over each day: adds spent_before, decision, level and charged tokens.
 
-    Each stretch is one running sum over the calls still open, all days at once, and halves what is left,
-    so their number grows with the logarithm of the budget. Only one row per day comes back to the
-    driver. Needs charged >= estimate for that bound, not for a right result.
+    A denied call spends nothing, which changes every later decision of its day. Up to the first call that does
+    not fit, all are admitted: one distributed running sum finds that call and what is left then. Later calls whose
+    estimate reaches what is left can never fit and fall away. The others depend on each other in order, so they are
+    walked: their narrow rows are sorted by day and time and stream through one task for each day, which holds a
+    batch and a number. Two running sums and one walk, whatever the estimates; nothing comes back to the driver.
     """
     c = F.col
     bound = token_bound(limit, EXHAUSTED_AT, usd_per_1k) if limit > 0 else 0
     src = calls.withColumn("day", F.to_date("ts")).withColumn("charge", charged_tokens())
     src = with_slots(src, ["day"], "ts_us", "call_id", slot_s)
-    id_type = src.schema["call_id"].dataType.simpleString()
-    spark = src.sparkSession
-
-    segments: list[tuple] = []
-    open_calls = src.select("day", "_slot", "_cut", "ts_us", "call_id", c("est_tokens").alias("est"), "charge")
-    state: dict[dt.date, tuple] = {}
-    first = True
-    while True:
-        if first:
-            cand = open_calls.filter(c("est") < bound).withColumn("rest", F.lit(bound).cast("bigint")).withColumn("half", F.lit(bound).cast("bigint"))
-        else:
-            rows = [(d, *s) for d, s in state.items()]
-            if not rows:
-                break
-            st = spark.createDataFrame(rows, f"day date, p_ts bigint, p_id {id_type}, rest bigint, half bigint")
-            cand = open_calls.join(F.broadcast(st), "day").filter(
-                (c("est") < c("rest")) & (F.struct("ts_us", "call_id") > F.struct("p_ts", "p_id"))
-            ).drop("p_ts", "p_id")
-        small = c("est") < c("half")
-        run = running_sums(cand, ["day"], {"used": F.when(small, c("charge")).otherwise(0)}, "ts_us", "call_id")
-        before = c("rest") - (c("used") - F.when(small, c("charge")).otherwise(0))
-        if first:
-            ends = run.filter(c("est") >= before).select("day", "ts_us", "call_id", before.alias("left"), F.lit(False).alias("fits"))
-        else:
-            shrinks = small & (c("charge") > 0) & (c("rest") - c("used") <= c("half"))
-            fits = ~small & (c("est") < before)
-            ends = run.filter(shrinks | fits).select(
-                "day", "ts_us", "call_id", F.when(fits, before - c("charge")).otherwise(c("rest") - c("used")).alias("left"), F.lit(True).alias("fits")
-            )
-        found = ends.groupBy("day").agg(F.min(F.struct("ts_us", "call_id", "left", "fits")).alias("e")).select("day", "e.*").collect()
-        ended = {r["day"]: r for r in found}
-        days = [r["day"] for r in open_calls.select("day").distinct().collect()] if first else list(state)
-        nxt: dict[dt.date, tuple] = {}
-        for d in days:
-            lo = (None, None) if first else state[d][:2]
-            half = bound if first else state[d][3]
-            e = ended.get(d)
-            if e is None:
-                segments.append((d, *lo, None, None, half, False))
-                continue
-            segments.append((d, *lo, e["ts_us"], e["call_id"], half, e["fits"]))
-            if e["left"] > 0:
-                nxt[d] = (e["ts_us"], e["call_id"], e["left"], max(e["left"] // 2, 1))
-        if first and nxt:
-            # later stretches only concern calls that still fit; settle them on a cut-down copy
-            most = max(s[2] for s in nxt.values())
-            open_calls = cut_lineage(open_calls.filter((c("est") < most) & c("day").isin(list(nxt))))
-        state, first = nxt, False
-
-    seg = spark.createDataFrame(
-        segments, f"day date, lo_ts bigint, lo_id {id_type}, hi_ts bigint, hi_id {id_type}, half bigint, hi_in boolean"
-    )
-    seg = seg.groupBy("day").agg(F.collect_list(F.struct("lo_ts", "lo_id", "hi_ts", "hi_id", "half", "hi_in")).alias("segs"))
-    at = F.struct(c("ts_us").alias("a"), c("call_id").alias("b"))
-
-    def admitted(s: Column) -> Column:
-        lo, hi = F.struct(s["lo_ts"].alias("a"), s["lo_id"].alias("b")), F.struct(s["hi_ts"].alias("a"), s["hi_id"].alias("b"))
-        inside = (s["lo_ts"].isNull() | (at > lo)) & (s["hi_ts"].isNull() | (at < hi)) & (c("est_tokens") < s["half"])
-        return F.coalesce(inside, F.lit(False)) | F.coalesce(s["hi_in"] & (at == hi), F.lit(False))
-
-    marked = src.join(F.broadcast(seg), "day").withColumn("admitted", F.exists("segs", admitted)).drop("segs")
-    marked = marked.withColumn("charged", F.when(c("admitted"), c("charge")).otherwise(F.lit(0).cast("bigint")))
+    at = F.struct("ts_us", "call_id")
+
+    narrow = cut_lineage(src.select("day", "_slot", "_cut", "ts_us", "call_id", c("est_tokens").alias("est"), "charge"))
+    run = running_sums(narrow, ["day"], {"used": c("charge")}, "ts_us", "call_id")
+    first = run.filter(c("est") >= bound - (c("used") - c("charge"))).groupBy("day").agg(
+        F.min(F.struct("ts_us", "call_id", (bound - (c("used") - c("charge"))).alias("rest"))).alias("p"))
+    first = cut_lineage(first.select("day", F.struct("p.ts_us", "p.call_id").alias("p"), c("p.rest").alias("rest")))
+    open_calls = narrow.join(first, "day").filter((at > c("p")) & (c("est") < c("rest")))
+    walked = open_calls.select("day", "ts_us", "call_id", "rest", "est", "charge").repartition("day").sortWithinPartitions(
+        "day", "ts_us", "call_id").mapInArrow(_fold, narrow.select("day", "ts_us", "call_id").schema)
+
+    marked = src.join(first, "day", "left").join(walked.withColumn("_fits", F.lit(True)), ["day", "ts_us", "call_id"], "left")
+    admitted = c("p").isNull() | (at < c("p")) | c("_fits").isNotNull()
+    marked = marked.withColumn("charged", F.when(admitted, c("charge")).otherwise(F.lit(0).cast("bigint"))).drop("p", "rest", "_fits")
     out = running_sums(marked, ["day"], {"_upto": c("charged")}, "ts_us", "call_id")
     spent = c("_upto") - c("charged")
     projected = spent + c("est_tokens")
