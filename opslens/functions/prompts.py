@@ -11,10 +11,6 @@ PERSONA = (
     "Answer in JSON with role, errorType, layer, suspectedFiles, confidence, rationale."
 )
 PERSONA_INPUT = "\n\nUSER:\nPROJECT REQUIREMENT:\n{{projectRequirement}}\n\nSTACK TRACE:\n{{stackTrace}}\n\nCODE:\n{{codeContext}}"
-CONSENSUS = (
-    "SYSTEM:\nReconcile the panel's findings. Answer in JSON with agreedErrorType, primaryLayer, suspectedFiles, confidence, dissent.\n\n"
-    "USER:\nREQUIREMENT:\n{{projectRequirement}}\n\nFINDINGS:\n{{swarmPerspectivesJson}}"
-)
 ROOT_CAUSE = (
     "SYSTEM:\nState the root cause. Answer in JSON with cause, evidence, confidence, alternatives.\n\n"
     "USER:\nERROR TYPE: {{agreedErrorType}}\nLAYER: {{primaryLayer}}\nCONFIDENCE: {{swarmConfidence}}\n"

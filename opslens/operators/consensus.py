@@ -26,7 +26,6 @@ ROOT_CAUSE_SCHEMA = "cause string, evidence array<string>, confidence double, al
 TICKET_SCHEMA = "title string, description string, reproSteps string, suspectedFiles array<string>, fixSuggestion string"
 
 # tier asked for at each step
-STEP_TIERS = {"persona": "SMALL", "consensus": "MEDIUM", "root_cause": "LARGE", "ticket": "SMALL", "priority": "SMALL"}
 
 Completer = Callable[[list[str]], list[str]]
 
@@ -196,6 +195,7 @@ def prioritize(df: DataFrame, service_col: str = "service", ts_col: str = "creat
     s = F.col("priority_score")
     tie = F.when(F.contains(F.coalesce(F.col(tiebreak_col), F.lit("")), F.lit("P1")), "P1").otherwise("P2")
     sev = F.when(s > 30, "P0").when(s >= 15, tie).when(s > 5, "P2").otherwise("P3")
+    # Severities and texts of the priority contract.
     why = F.when(s.between(15, 30), F.concat(F.lit("LLM mediated tiebreaker adjustment. Base score: "), s.cast("string"))).otherwise(
         F.concat(F.lit("Deterministic score metrics: "), s.cast("string"))
     )

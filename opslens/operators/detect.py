@@ -54,6 +54,7 @@ class Thresholds:
     cold_rate_errors: float = 40.0
 
 
+# The name of the cold rules, and the keys of the evidence map in ``evidence``.
 COLD_STRATEGY = "cold_start_24h_static"
 
 

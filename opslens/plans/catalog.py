@@ -231,7 +231,7 @@ def extract_json_texts(s, d):
 
 @query
 def stack_anchor(s, d):
-    trace = F.concat(lit("java.lang.NullPointerException\n\tat org.acme."), c("source"), lit(".Pet.getOwner(Pet.java:42)\n"), c("text"))
+    trace = F.concat(lit("java.lang.NullPointerException\n\tat org.acme."), c("source"), lit(".Ledger.closeBook(Ledger.java:88)\n"), c("text"))
     docs = v.table(s, d, "documents").withColumn("trace", F.when(c("doc_id") % 4 != 0, trace).otherwise(c("text")))
     return docs.select("doc_id", text.anchor_context(c("trace"), c("lang")).alias("context"))
 
@@ -702,7 +702,7 @@ def resolve_incidents(s, d):
         F.concat(lit("inc-"), c("doc_id").cast("string")).alias("incident_id"),
         F.when(c("source") == "src1", cons.TOP_SERVICE).otherwise(c("source")).alias("service"),
         F.timestamp_micros(lit(1704067200000000) + c("doc_id") * 3600000000).alias("created_at"),
-        F.coalesce("is_anomaly", lit(True)).alias("is_anomaly"), lit("Incident investigation").alias("requirement"),
+        F.coalesce("is_anomaly", lit(True)).alias("is_anomaly"), lit("Find out what broke").alias("requirement"),
         c("text").alias("stack_trace"), c("lang").alias("code_context"),
     )
     out = cons.resolve_incidents(docs, _panel)

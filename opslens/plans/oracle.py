@@ -115,10 +115,11 @@ SQL["incident_ids"] = f"""WITH {_PARSED}, f AS (SELECT fingerprint, {_incident('
 SQL["extract_json_payload"] = f"""WITH {_RECORDS} SELECT "partition", "offset", CASE WHEN event_id % 10 = 0 THEN 'answer: ' || value || ' done' ELSE value END AS payload FROM rec"""
 SQL["extract_json_texts"] = """SELECT page_id, CASE WHEN instr(html, '{') > 0 AND length(html) - instr(reverse(html), '}') + 1 > instr(html, '{') AND instr(html, '}') > 0
   THEN substr(html, instr(html, '{'), length(html) - instr(reverse(html), '}') + 2 - instr(html, '{')) ELSE html END AS payload FROM pages"""
-SQL["stack_anchor"] = """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN '--- CRITICAL STACK CONTEXT MATCHED FOR CLASS org.acme.' || source || '.Pet ---' || chr(10) || lang
+SQL["stack_anchor"] = """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN '--- CRITICAL STACK CONTEXT MATCHED FOR CLASS org.acme.' || source || '.Ledger ---' || chr(10) || lang
   WHEN regexp_matches(text, 'at\\s+[a-zA-Z0-9._$]+\\.[a-zA-Z0-9_$]+\\(') THEN '--- CRITICAL STACK CONTEXT MATCHED FOR CLASS '
     || regexp_extract(text, 'at\\s+([a-zA-Z0-9._$]+)\\.([a-zA-Z0-9_$]+)\\(', 1) || ' ---' || chr(10) || lang ELSE lang END AS context FROM documents"""
 SQL["render_prompts"] = "SELECT doc_id, lang || ' reads ' || text || ' for ' || source AS prompt FROM documents WHERE NOT contains(text, '{{source}}') UNION ALL SELECT doc_id, lang || ' reads ' || replace(text, '{{source}}', source) || ' for ' || source FROM documents WHERE contains(text, '{{source}}')"
+# The stand-in answers of prompts.py, as the driver's SQL needs them.
 _STUB_NP = '{"file":"PaymentService.java","method":"process","issue":"Null pointer on parameter paymentId","fix":"Add objects requireNonNull check","confidence":0.92}'
 _STUB_TO = '{"file":"DatabasePool.java","method":"getConnection","issue":"Connection pool depletion","fix":"Increase max pool sizes to 50","confidence":0.85}'
 SQL["stub_completion"] = f"""WITH p AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' NullPointerException' WHEN 1 THEN ' TimeoutException' ELSE '' END AS prompt FROM documents),

@@ -15,7 +15,6 @@ TICKETS_SCHEMA = "tickets.new.v1"
 RAW_TOPIC = "logs.raw"
 PREPROCESSED_TOPIC = "logs.preprocessed"
 TICKETS_TOPIC = "tickets.new"
-EMBED_TOPIC = "embed.requests"
 DLQ_TOPICS = ("logs.raw.dlq", "logs.preprocessed.dlq", "tickets.new.dlq")
 MAX_ERROR_CHARS = 900
 

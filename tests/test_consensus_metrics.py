@@ -16,9 +16,9 @@ def panel(spark, rows):
 
 def test_majority_keeps_the_dissent(spark):
     f = panel(spark, [
-        ("Backend Engineer", "NullPointerException", "DATA_ACCESS", [], 0.90, "Trace line 12"),
-        ("Full Stack Engineer", "NullPointerException", "DATA_ACCESS", [], 0.85, "Agreed"),
-        ("DevOps Engineer", "TimeoutException", "INFRASTRUCTURE", [], 0.55, "DB lagging"),
+        ("Backend Engineer", "IllegalStateException", "DATA_ACCESS", [], 0.90, "The lock is held twice"),
+        ("Full Stack Engineer", "IllegalStateException", "DATA_ACCESS", [], 0.85, "Same here"),
+        ("DevOps Engineer", "TimeoutException", "INFRASTRUCTURE", [], 0.55, "Slow disks"),
     ])
     v = cons.consensus(f)
     r = v.first()
@@ -56,12 +56,12 @@ def test_priority(spark, service, hour, tie, want):
 def scripted(prompts):
     out = []
     for p in prompts:
-        npe = "NullPointerException" in p or "Pet.java" in p
-        files, layer, err = (["Pet.java"], "APPLICATION", "NullPointerException") if npe else ([], "APPLICATION", "Unknown")
+        npe = "NullPointerException" in p or "Ledger.java" in p
+        files, layer, err = (["Ledger.java"], "APPLICATION", "NullPointerException") if npe else ([], "APPLICATION", "Unknown")
         if "charter" in p.lower():
             out.append(json.dumps({"role": "x", "errorType": err, "layer": layer, "suspectedFiles": files, "confidence": 0.9 if npe else 0.1, "rationale": "r"}))
         elif "root cause" in p:
-            out.append(json.dumps({"cause": "NullPointerException in Pet", "evidence": ["Pet.java"], "confidence": 0.9, "alternatives": []}))
+            out.append(json.dumps({"cause": "NullPointerException in Ledger", "evidence": ["Ledger.java"], "confidence": 0.9, "alternatives": []}))
         elif "Write the ticket" in p:
             out.append(json.dumps({"title": "NPE", "description": "## Root Cause Analysis", "suspectedFiles": [], "fixSuggestion": "guard"}))
         else:
@@ -70,12 +70,12 @@ def scripted(prompts):
 
 
 def test_incident_to_prioritised_ticket(spark):
-    trace = "java.lang.NullPointerException\n\tat org.app.owner.Pet.getOwner(Pet.java:42)"
+    trace = "java.lang.NullPointerException\n\tat org.acme.book.Ledger.closeBook(Ledger.java:88)"
     rows = [("a", "payment-service", datetime(2026, 5, 19, 22), True, "req", trace, "code"), ("b", "s", datetime(2026, 5, 19, 12), True, "req", "weird", ""),
             ("c", "s", datetime(2026, 5, 19, 12), False, "req", trace, "")]
     df = spark.createDataFrame(rows, "incident_id string, service string, created_at timestamp, is_anomaly boolean, requirement string, stack_trace string, code_context string")
     out = {r["incident_id"]: r for r in cons.resolve_incidents(df, scripted).collect()}
-    assert out["a"]["status"] == "TICKETED" and out["a"]["calculated_severity"] == "P0" and out["a"]["suspected_files"] == ["Pet.java"] and out["a"]["n_findings"] == 5
+    assert out["a"]["status"] == "TICKETED" and out["a"]["calculated_severity"] == "P0" and out["a"]["suspected_files"] == ["Ledger.java"] and out["a"]["n_findings"] == 5
     assert out["b"]["status"] == "DEGRADED" and out["b"]["title"] is None
     assert out["c"]["status"] == "DISCARDED" and out["c"]["n_findings"] is None
 

@@ -75,17 +75,17 @@ def test_upserts_by_corpus(spark):
 
 def code_rows(spark):
     rows = [
-        (1, "repo", "sha", "PaymentService.java", "com.example#pay1", 'public void processPayment() { throw new NullPointerException("E_PAY_42"); }', [0.0] * 1536),
-        (2, "repo", "sha", "PaymentService.java", "com.example#pay2", "public void processPaymentWithRetry() { /* fallback connection pool trace */ }", [0.0] * 1536),
+        (1, "repo", "sha", "Shelf.java", "org.acme#put", 'void storeParcel(Box b) { fail("SHELF_17 is full"); }', [0.0] * 1536),
+        (2, "repo", "sha", "Shelf.java", "org.acme#putAgain", "void storeParcelLater(Queue q) { /* waits for a free shelf */ }", [0.0] * 1536),
         (3, "other", "sha", "X.java", "com.example#x", None, [0.0] * 1536),
     ]
     return spark.createDataFrame(rows, "id bigint, repo string, git_sha string, file_path string, fqn string, content string, vector array<float>")
 
 
 def test_exact_token_row_first_with_zero_vectors(spark):
-    q = spark.createDataFrame([(1, "E_PAY_42 processPayment", [0.0] * 1536)], "query_id bigint, text string, vector array<float>")
+    q = spark.createDataFrame([(1, "SHELF_17 storeParcel", [0.0] * 1536)], "query_id bigint, text string, vector array<float>")
     out = ret.hybrid_search(q, code_rows(spark), corpus_name="CODE").orderBy("rnk").collect()
-    assert "E_PAY_42" in out[0]["content"] and out[0]["corpus"] == "code_embeddings"
+    assert "SHELF_17" in out[0]["content"] and out[0]["corpus"] == "code_embeddings"
     assert {r["id"]: r["content"] for r in out}[3] == "X.java com.example#x"
     kept = ret.hybrid_search(q, code_rows(spark), corpus_name="code", filters={"repo": "other", "service": "x", "fqn": None})
     assert [r["id"] for r in kept.collect()] == [3]
@@ -139,7 +139,7 @@ def test_rrf_is_symmetric(spark):
 
 
 def test_anomaly_context_only_sees_its_service(spark):
-    an = spark.createDataFrame([("i1", "repo", "fp", "processPayment failed"), ("i2", "other", "com.example x", " ")], "incident_id string, service string, fingerprint string, template string")
+    an = spark.createDataFrame([("i1", "repo", "fp", "storeParcel failed"), ("i2", "other", "com.example x", " ")], "incident_id string, service string, fingerprint string, template string")
     out = ret.anomaly_context(an, code_rows(spark), lambda d: emb.embed(d, "text", dim=1536, out_col="vector")).collect()
     assert {(r["incident_id"], r["id"]) for r in out} == {("i1", 1), ("i1", 2), ("i2", 3)}
 
