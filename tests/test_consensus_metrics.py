@@ -22,9 +22,9 @@ def test_majority_keeps_the_dissent(spark):
     ])
     v = cons.consensus(f)
     r = v.first()
-    assert (r["agreed_error_type"], r["primary_layer"], r["votes"]) == ("NullPointerException", "DATA_ACCESS", 2)
+    assert (r["agreed_error_type"], r["primary_layer"], r["votes"]) == ("IllegalStateException", "DATA_ACCESS", 2)
     d = cons.dissent(f, v).collect()
-    assert [(x["role"], x["minority_view"]) for x in d] == [("DevOps Engineer", "DB lagging")]
+    assert [(x["role"], x["minority_view"]) for x in d] == [("DevOps Engineer", "Slow disks")]
 
 
 def test_review_gates(spark):

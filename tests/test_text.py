@@ -87,7 +87,7 @@ def test_json_anchor_preview(spark):
     assert one(spark, text.extract_json(F.lit('say {"a":{"b":1}} end'))) == '{"a":{"b":1}}'
     assert one(spark, text.extract_json(F.lit("} {"))) == "} {"
     trace = "java.lang.X\n\tat org.acme.book.Ledger.closeBook(Ledger.java:88)"
-    assert one(spark, text.anchor_context(F.lit(trace), F.lit("code"))).startswith("--- CRITICAL STACK CONTEXT MATCHED FOR CLASS org.app.owner.Pet ---\n")
+    assert one(spark, text.anchor_context(F.lit(trace), F.lit("code"))).startswith("--- CRITICAL STACK CONTEXT MATCHED FOR CLASS org.acme.book.Ledger ---\n")
     assert one(spark, text.preview(F.lit("x" * 5000))) == "x" * 4096 + "…"
 
 
