@@ -8,9 +8,12 @@ dart with the probability of their weighted Jaccard similarity. A document with
 doubled. The k = bands x rows coordinates are joined by bands.
 
 Documents of equal shingle sets are joined first, by their hash, and one of them goes on. In every band bucket all
-documents are held against two of them (the least id, and the least hashed id), never all against all; such candidates
-are verified on the exact weighted sets, and the links that remain are followed to classes. Counts per bucket meet
-map-side, so a large group of copies is reduced before it is shuffled.
+documents are held against two of them (the least id, and the least hashed id); such candidates are verified on the
+exact weighted sets, and verified links are followed to classes. A bucket that then still holds several classes is
+settled exactly: its documents outside its largest class are held, in blocks, against all of its documents, which stream
+past; a block reports the links that join classes, at most one for each join. So every pair that shares a bucket ends in
+one class if it is similar, and no pair within a class is looked at again. Counts per bucket meet map-side, so a large
+group of copies is reduced before it is shuffled.
 
 Chance of a pair of similarity 0.8 to share a bucket: 1 - (1 - 0.8**5)**24 = 0.9999.
 
@@ -157,7 +160,8 @@ def links(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> tuple[
     lead = keyed.groupBy("key").agg(F.min("doc_id").alias("one"), F.min(F.struct(hashed.alias("h"), "doc_id")).alias("s"),
                                     F.count("*").alias("n")).where("n > 1").select(
         "key", F.array_distinct(F.array("one", "s.doc_id")).alias("leads"))
-    pairs = keyed.join(lead, "key").select("doc_id", F.explode("leads").alias("lead")).where("doc_id <> lead")
+    shared_keys = cut(keyed.join(lead, "key"))
+    pairs = shared_keys.select("doc_id", F.explode("leads").alias("lead")).where("doc_id <> lead")
     pairs = cut(pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = cut(weighted_sets(docs.join(nodes, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("units").alias("units")))
@@ -170,7 +174,76 @@ def links(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> tuple[
         F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi").select("doc_id")
     same_id = made.join(several, "doc_id", "left_semi").join(reps, "set_hash").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return made, reps, cut(both.where(alike >= threshold).select("a", "b").unionByName(same_id))
+    found = cut(both.where(alike >= threshold).select("a", "b").unionByName(same_id))
+    return made, reps, cut(found.unionByName(between_classes(shared_keys, components(found), sets, threshold)))
+
+
+def between_classes(keyed: DataFrame, label: DataFrame, sets: DataFrame, threshold: float,
+                    block: int = 256) -> DataFrame:
+    """(a, b): verified links that join classes within buckets which hold several of them.
+
+    ``keyed`` has (key, doc_id), ``label`` the classes so far (node, component), ``sets`` the weighted sets.
+    """
+    rows = cut(keyed.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("class")))
+    mixed = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).where(
+        "classes > 1 and all > 2").select("key", F.col("top.class").alias("largest"),
+                                          F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("tiles"))
+    own = rows.join(mixed, "key")
+    home = own.where("class <> largest").select(
+        "key", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int").alias("tile"), F.lit(0).alias("role"), "doc_id", "class")
+    seen = own.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("role"),
+                      "doc_id", "class")
+    sent = home.unionByName(seen).join(sets, "doc_id").select("key", "tile", "role", "doc_id", "class", "units")
+
+    def run(batches):
+        at, homes, index, found = None, [], None, []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for k, (key, tile, role, doc, cls) in enumerate(zip(*cols)):
+                if (key, tile) != at:
+                    at, homes, index = (key, tile), [], None
+                units_ = batch.column(5)[k].values.to_numpy()
+                if role == 0:
+                    homes.append((doc, cls, units_))
+                elif homes:
+                    index = index or Tile(homes)
+                    found += index.visit(doc, cls, units_, threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+                found = []
+
+    return sent.repartition("key", "tile").sortWithinPartitions("key", "tile", "role", "doc_id").mapInArrow(
+        run, "a long, b long")
+
+
+class Tile:
+    """Documents of one block with an index of their units, and which classes have been joined here."""
+
+    def __init__(self, homes):
+        self.doc, self.cls = [h[0] for h in homes], np.array([h[1] for h in homes])
+        self.size = np.array([len(h[2]) for h in homes])
+        unit, home = np.concatenate([h[2] for h in homes]), np.repeat(np.arange(len(homes)), self.size)
+        by = np.argsort(unit, kind="stable")
+        self.unit, self.home, self.up = unit[by], home[by], {}
+
+    def root(self, c):
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+    def visit(self, doc, cls, units_, threshold: float):
+        lo, hi = np.searchsorted(self.unit, units_, "left"), np.searchsorted(self.unit, units_, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(self.home[at], minlength=len(self.doc))
+        alike = shared / (self.size + len(units_) - shared)
+        for h in np.flatnonzero((alike >= threshold) & (self.cls != cls)):
+            a, b = self.root(int(self.cls[h])), self.root(cls)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                yield self.doc[h], doc
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
