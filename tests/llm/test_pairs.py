@@ -185,3 +185,24 @@ def test_metric_join_without_rows_or_ids(spark):
         type(got[0])(vec_id=None, n_links=0, component_id=None, kept=False),
         type(got[0])(vec_id=5, n_links=1, component_id=5, kept=True),
         type(got[0])(vec_id=5, n_links=1, component_id=5, kept=True)]))
+
+
+def test_classes_that_only_chains_join(spark):
+    """Long chains of copies: neighbours are similar, ends are not, and no document is similar to all."""
+    rnd = random.Random(11)
+    rows = []
+    for c in range(3):
+        words = prose(rnd, 120).split()
+        for k in range(60):
+            words = words[:]
+            words[rnd.randrange(120)] = f"step{c}x{k}"
+            rows.append((1000 * c + k, " ".join(words)))
+    rnd.shuffle(rows)
+    doc, unit = dartminhash.units(Words([t.encode() for _, t in rows], Powers()))
+    sets = [set(unit[doc == i].tolist()) for i in range(len(rows))]
+    ids = [r[0] for r in rows]
+    links = [(ids[a], ids[b]) for a, b in itertools.combinations(range(len(rows)), 2)
+             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(ids, links)
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.classes(documents(spark, rows)).collect()}
+    assert got == want
