@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from opslens.functions import text
 from opslens.functions.kernels import CosineScorer, TrigramScorer
-from opslens.session import cut_lineage
+from opslens.session import cut_lineage, spread
 
 RRF_K = 60
 OVERFETCH = 5
@@ -137,11 +137,12 @@ def _waves(queries: DataFrame, wave_rows: int, wave_bytes: int) -> Iterator[pa.T
 
 
 def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str | None,
-          narrow: Callable[[pa.Table], Column] | None = None, wave_rows: int | None = None) -> DataFrame:
+          narrow: Callable[[pa.Table], Callable[[Column], Column]] | None = None, wave_rows: int | None = None) -> DataFrame:
     """(query_id, id, score) of the ``k`` best corpus rows per query.
 
     Both sides have ``feature`` and, when set, ``by``; a query only sees corpus rows of equal ``by``.
-    ``narrow`` gives a condition that every corpus row which can match a query of the wave fulfils.
+    ``narrow`` gives a condition on ``feature`` that every corpus row which can match a query of the wave
+    fulfils; other rows leave the JVM without their feature.
     """
     qtype, ctype = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
     out_schema = f"query_id {qtype}, id {ctype}, score double"
@@ -159,13 +160,19 @@ def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str |
             scorer, keeper, ct = make_scorer(_plain(t["feature"])), _Keeper(k), None
             for b in batches:
                 ct = b.schema.field("id").type
+                b = b.filter(b["feature"].is_valid()) if narrow else b
                 _score_batch(keeper, scorer, qids, qby, _objects(b["id"]), b["feature"], _objects(b[by]) if by else None)
             best = keeper.result()
             if best is not None:
                 yield pa.record_batch([pa.array(best[0], type=t.schema.field("query_id").type), pa.array(best[1], type=ct),
                                        pa.array(best[2], type=pa.float64())], names=["query_id", "id", "score"])
 
-        return (c.filter(narrow(wave)) if narrow else c).mapInArrow(scan, out_schema)
+        own = c
+        if narrow:
+            # inside one expression, so that the feature is made once; a filter would make it again
+            fits = narrow(wave)
+            own = c.withColumn("feature", F.transform(F.array("feature"), lambda x: F.when(fits(x), x))[0])
+        return own.mapInArrow(scan, out_schema)
 
     partial = None
     for wave in _waves(q, wave_rows or WAVE_ROWS, WAVE_BYTES):
@@ -209,12 +216,12 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, threshol
     largest query are left in the JVM.
     """
     q = queries.withColumn("feature", text.trigrams(F.col("text")))
-    c = corpus.withColumn("feature", text.trigrams(F.col("content")))
+    c = spread(corpus).withColumn("feature", text.trigrams(F.col("content")))
 
-    def within(wave: pa.Table) -> Column:
-        sizes = [len(x) for x in wave["feature"].to_pylist() if x]
-        n = F.size("feature")
-        return (n > threshold * min(sizes)) & (n * threshold < max(sizes)) if sizes else F.lit(False)
+    def within(wave: pa.Table) -> Callable[[Column], Column]:
+        sizes = [len(x) for x in wave["feature"].to_pylist() if x] or [0]
+        least, most = threshold * min(sizes), max(sizes) / threshold if threshold > 0 else float("inf")
+        return lambda grams: (F.size(grams) > least) & (F.size(grams) < most)
 
     out = _ranked(_topk(q, c, lambda grams: TrigramScorer(grams, threshold), k, by, within, wave_rows), k)
     return out.select("query_id", "id", (-F.col("score")).alias("similarity"), "rnk")

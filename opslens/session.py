@@ -43,3 +43,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors do not replay it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions before costly work on each row, where the input has fewer files than there are cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
