@@ -13,7 +13,7 @@ import types
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 
 def vocabulary_path(path: str | None) -> str:
