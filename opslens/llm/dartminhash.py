@@ -179,32 +179,34 @@ def links(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> tuple[
 
 
 def between_classes(keyed: DataFrame, label: DataFrame, sets: DataFrame, threshold: float,
-                    block: int = 256) -> DataFrame:
+                    block: int = 256, stream: int = 1024) -> DataFrame:
     """(a, b): verified links that join classes within buckets which hold several of them.
 
-    ``keyed`` has (key, doc_id), ``label`` the classes so far (node, component), ``sets`` the weighted sets.
+    ``keyed`` has (key, doc_id), ``label`` the classes so far (node, component), ``sets`` the weighted sets. A task
+    holds about ``block`` documents and about ``stream`` pass it, however large the bucket is.
     """
     rows = cut(keyed.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("class")))
     mixed = rows.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).where(
         "classes > 1 and all > 2").select("key", F.col("top.class").alias("largest"),
-                                          F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("tiles"))
+                                          F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("tiles"),
+                                          F.ceil(F.col("all") / stream).cast("int").alias("parts"))
     own = rows.join(mixed, "key")
-    home = own.where("class <> largest").select(
-        "key", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int").alias("tile"), F.lit(0).alias("role"), "doc_id", "class")
-    seen = own.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("role"),
-                      "doc_id", "class")
-    sent = home.unionByName(seen).join(sets, "doc_id").select("key", "tile", "role", "doc_id", "class", "units")
+    each = {k: F.explode(F.sequence(F.lit(0), F.col(f"{k}s") - 1)).alias(k) for k in ("tile", "part")}
+    mine = {k: F.pmod(F.xxhash64("doc_id", F.lit(k)), f"{k}s").cast("int").alias(k) for k in ("tile", "part")}
+    home = own.where("class <> largest").select("key", mine["tile"], each["part"], F.lit(0).alias("role"), "doc_id", "class")
+    seen = own.select("key", each["tile"], mine["part"], F.lit(1).alias("role"), "doc_id", "class")
+    sent = home.unionByName(seen).join(sets, "doc_id").select("key", "tile", "part", "role", "doc_id", "class", "units")
 
     def run(batches):
         at, homes, index, found = None, [], None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for k, (key, tile, role, doc, cls) in enumerate(zip(*cols)):
-                if (key, tile) != at:
-                    at, homes, index = (key, tile), [], None
-                units_ = batch.column(5)[k].values.to_numpy()
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for k, (key, tile, part, role, doc, cls) in enumerate(zip(*cols)):
+                if (key, tile, part) != at:
+                    at, homes, index = (key, tile, part), [], None
+                units_ = batch.column(6)[k].values.to_numpy()
                 if role == 0:
                     homes.append((doc, cls, units_))
                 elif homes:
@@ -214,8 +216,8 @@ def between_classes(keyed: DataFrame, label: DataFrame, sets: DataFrame, thresho
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
                 found = []
 
-    return sent.repartition("key", "tile").sortWithinPartitions("key", "tile", "role", "doc_id").mapInArrow(
-        run, "a long, b long")
+    dealt = sent.repartition("key", "tile", "part").sortWithinPartitions("key", "tile", "part", "role", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 class Tile:

@@ -187,8 +187,10 @@ def test_metric_join_without_rows_or_ids(spark):
         type(got[0])(vec_id=5, n_links=1, component_id=5, kept=True)]))
 
 
-def test_classes_that_only_chains_join(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_classes_that_only_chains_join(spark, monkeypatch, block):
     """Long chains of copies: neighbours are similar, ends are not, and no document is similar to all."""
+    monkeypatch.setattr(dartminhash.between_classes, "__defaults__", (block, block))
     rnd = random.Random(11)
     rows = []
     for c in range(3):
