@@ -1,14 +1,16 @@
 """Personal data: patterns first, then terms that disclose them.
 
-The patterns (email, ip, card, phone) name protected entities. How strongly a term discloses an entity is estimated from
-co-occurrence in the corpus: over documents, ``PMI(entity; term) / IC(entity)``, where a term co-occurs with an entity if
-it stands within ``window`` words of a mention. A term whose ratio reaches ``threshold`` with at least ``least_contexts``
-different contexts is generalised to its initial, from ``remove_from`` on removed, wherever it stands near a mention of
-that entity.
-
-Work: one pass finds mentions and the terms near them (rows as many as those words). Terms that reach the least number of
-contexts are marked in a bit table of fixed size, with which a second pass counts in how many documents each of them
-stands; a full table only lets more words through to the exact count. No document text is shuffled for the report.
+The patterns (email, ip, card, phone) name protected entities: the value itself and those parts of it that recur in other
+values (``entities_of``: domain and name parts of an address, network, telephone exchange). How strongly a term discloses
+an entity is estimated from co-occurrence in the corpus: over documents, ``PMI(entity; term) / IC(entity)``, where a term
+co-occurs with an entity if it stands within ``window`` words of a mention. The share of the term's documents in which it
+does so is smoothed by one more document that holds the entity as often as any. A term whose ratio reaches ``threshold``,
+near the entity in at least ``least_texts`` documents of different text, is generalised to its initial, from
+``remove_from`` on removed, wherever it stands near a mention of that entity.
+
+Work: one pass finds mentions and the terms near them (rows as many as those words and entities). Terms that reach the
+least number of texts are marked in a bit table of fixed size, with which a second pass counts in how many documents each
+of them stands; a full table only lets more words through to the exact count. No document text is shuffled for the report.
 
 Null texts are empty; overlapping spans are all reported, and replaced as one; rows with the same id and text share one
 result; rows without id are reported like others; an empty table gives no rows; texts are read whole.
@@ -16,7 +18,6 @@ result; rows without id are reported like others; an empty table gives no rows;
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -36,6 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+NAME = re.compile(r"[^\x00-\x60\x7B-\x7F]{2,}")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TABLE_BITS = 22
@@ -80,6 +82,18 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entities_of(kind: int, value: str) -> list[str]:
+    """What a mention stands for: the value in one spelling, and the parts of it that other values share."""
+    value, digits = value.translate(LOWER), re.sub("[^0-9]", "", value)
+    if kind == 0:
+        local, _, domain = value.partition("@")
+        return [f"email:{value}", f"domain:{domain}", *(f"name:{n}" for n in dict.fromkeys(NAME.findall(local)))]
+    if kind == 1:
+        parts = [p.lstrip("0") or "0" for p in value.split(".")]
+        return [f"ip:{'.'.join(parts)}", f"net:{'.'.join(parts[:3])}"]
+    return [f"card:{digits}"] if kind == 2 else [f"phone:{digits}", f"exchange:{digits[:-4]}"]
+
+
 def near(text: str, start: int, end: int, window: int, reach: int) -> list[tuple[int, int]]:
     """Words within ``window`` words of a span, looked for ``reach`` characters away at most; a cut word is left out."""
     lo, hi = max(0, start - reach), min(len(text), end + reach)
@@ -91,37 +105,36 @@ def near(text: str, start: int, end: int, window: int, reach: int) -> list[tuple
 
 
 def mentions(docs: DataFrame, *, window: int = 10, least_letters: int = 4) -> DataFrame:
-    """One row per document: counts, base spans, and the terms near each mention."""
-    kinds = ("doc_id long, text_hash long, base string, n array<long>, near array<struct<entity:string,context:long,"
-             "term:string,start:long,end:long>>")
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()),
-                                    ("start", pa.int64()), ("end", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), near_type]
+    """One row per document: counts, base spans, the entities held, and the terms near each mention."""
+    kinds = ("doc_id long, text_hash long, base string, n array<long>, held array<string>, near array<struct<"
+             "entity:string,term:string,start:long,end:long>>")
+    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()),
+                                    ("end", pa.int64())]))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), near_type]
 
     def terms(body, found):
         covered = [(a, b) for a, _, b in found]
         for a, kind, b in found:
             words = [(x, y, body[x:y].translate(LOWER)) for x, y in near(body, a, b, window, 40 * window)
                      if y - x >= least_letters and not any(x < q and p < y for p, q in covered)]
-            context = int.from_bytes(hashlib.blake2b(" ".join(w for *_, w in words).encode(), digest_size=8).digest(),
-                                     "big", signed=True)
-            for x, y, w in words:
-                yield {"entity": f"{KINDS[kind]}:{body[a:b].lower()}", "context": context, "term": w, "start": x,
-                       "end": y}
+            for entity in entities_of(kind, body[a:b]):
+                for x, y, w in words:
+                    yield {"entity": entity, "term": w, "start": x, "end": y}
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(lo, 1000), [[], [], []]
+                part, out = batch.slice(lo, 1000), [[], [], [], []]
                 for body in part.column(1):
                     body = body.as_py()
                     found = spans_of(body)
                     out[0].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found))
                     out[1].append([sum(k == i for _, k, _ in found) for i in range(len(KINDS))])
-                    out[2].append(list(terms(body, found)))
+                    out[2].append(sorted({e for a, k, b in found for e in entities_of(k, body[a:b])}))
+                    out[3].append(list(terms(body, found)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), *map(pa.array, out, types[2:])],
-                    names=["doc_id", "text_hash", "base", "n", "near"])
+                    names=["doc_id", "text_hash", "base", "n", "held", "near"])
 
     return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, kinds)
 
@@ -170,26 +183,27 @@ def document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return texts(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, *, threshold: float = 0.8, least_contexts: int = 3,
+def disclosing(found: DataFrame, docs: DataFrame, *, threshold: float = 0.8, least_texts: int = 2,
                remove_from: float = 0.95) -> DataFrame:
     """(entity, term) pairs over the threshold with what stands for the term: its initial, or nothing."""
-    rows = found.select("doc_id", "text_hash", F.explode("near").alias("m")).select(
-        "doc_id", "text_hash", "m.entity", "m.context", "m.term")
-    per_doc = rows.distinct()
-    pairs = cut(per_doc.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-                .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-                .where(F.col("contexts") >= least_contexts))
+    per_doc = found.select("doc_id", "text_hash", F.explode("near").alias("m")).select(
+        "doc_id", "text_hash", "m.entity", "m.term").distinct()
+    pairs = cut(per_doc.groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+                .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+                .where(F.col("texts") >= least_texts))
     table = bit_table(pairs.select("term").distinct())
     if not table.any():
         return docs.sparkSession.createDataFrame([], "entity string, term string, action string")
-    log_n = F.log(F.lit(float(found.count())))
-    entities = rows.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(
+    n = F.lit(float(found.count()))
+    entities = found.select("doc_id", "text_hash", F.explode("held").alias("entity")).groupBy("entity").agg(
         F.count("*").alias("n_entity"))
     n_term = document_counts(docs, table)
-    # the share of the entity's information content that the term gives away; a term in a document counts once
-    both = F.log(F.least("n_both", "n_entity", "n_term"))
-    ratio = (log_n + both - F.log("n_term") - F.log("n_entity")) / (log_n - F.log("n_entity"))
-    judged = pairs.join(entities, "entity").join(n_term, "term").withColumn("ratio", ratio)
+    # the share of the entity's information content that the term gives away; a term in a document counts once. An
+    # entity that every document holds has no content to give away
+    p = F.col("n_entity") / n
+    share = (F.least("n_both", "n_entity", "n_term") + p) / (F.col("n_term") + F.lit(1.0))
+    judged = pairs.join(entities.where(F.col("n_entity") < n), "entity").join(n_term, "term").withColumn(
+        "ratio", F.log(share / p) / -F.log(p))
     return judged.where(F.col("ratio") >= threshold).select(
         "entity", "term", F.when(F.col("ratio") < remove_from, F.concat(F.substring("term", 1, 1), F.lit("."))).otherwise(
             "").alias("action"))

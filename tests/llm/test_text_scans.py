@@ -52,6 +52,26 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert clean.columns == documents(spark, rows).columns and len(texts) == len(rows)
 
 
+def test_terms_of_recurring_parts_are_found(spark):
+    rnd = random.Random(4)
+    # each address occurs once; its domain and the name in it recur, with a firm beside the one and a nickname beside
+    # the other; a word that stands near mentions in one text only, copied or not, discloses nothing
+    rows = [(i, f"{prose(rnd, 30)} hooli person{chr(97 + i)}.x{i}@hooli.example.com {prose(rnd, 30)}") for i in range(6)]
+    rows += [(50 + i, f"{prose(rnd, 30)} bobbykins robert{i}@mail{i}.example.com {prose(rnd, 30)}") for i in range(6)]
+    rows += [(90 + i, f"{prose(random.Random(9), 30)} onceonly single.one@solo.example.com") for i in range(4)]
+    rows += [(100 + i, prose(rnd, 60)) for i in range(400)]
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, rows)).collect()}
+    for i, word in [(0, "hooli"), (5, "hooli"), (50, "bobbykins"), (55, "bobbykins")]:
+        at = dict(rows)[i].index(word)
+        assert f"term:{at}:{at + len(word)}" in got[i]["spans"].split(",")
+    assert got[90]["n_term"] == 0 and sum(r["n_term"] for r in got.values()) < 20
+
+
+def test_every_document_may_hold_the_entity(spark):
+    got = pii.report(documents(spark, [(i, f"word{i} names one@solo.example.com") for i in range(4)])).collect()
+    assert [r["n_term"] for r in got] == [0] * 4
+
+
 def test_pii_awkward_rows(spark):
     rows = awkward() + [(9, "a@b.cc a@b.cc 1.2.3.4"), (9, "a@b.cc a@b.cc 1.2.3.4"), (9, "+1 555 010 0199")]
     got = pii.report(documents(spark, rows)).collect()
