@@ -5,12 +5,14 @@ values (``entities_of``: domain and name parts of an address, network, telephone
 an entity is estimated from co-occurrence in the corpus: over documents, ``PMI(entity; term) / IC(entity)``, where a term
 co-occurs with an entity if it stands within ``window`` words of a mention. The share of the term's documents in which it
 does so is smoothed by one more document that holds the entity as often as any. A term whose ratio reaches ``threshold``,
-near the entity in at least ``least_texts`` documents of different text, is generalised to its initial, from
-``remove_from`` on removed, wherever it stands near a mention of that entity.
+near the entity in at least ``least_texts`` documents of different text, discloses it. It is generalised to its initial at
+each of its places in every document that holds the entity; from ``remove_from`` on it is removed from all documents.
+The window serves the estimate only, and words of any length can be terms; a run of characters outside ASCII is one word.
 
 Work: one pass finds mentions and the terms near them (rows as many as those words and entities). Terms that reach the
 least number of texts are marked in a bit table of fixed size, with which a second pass counts in how many documents each
-of them stands; a full table only lets more words through to the exact count. No document text is shuffled for the report.
+of them stands, and so are the disclosing ones for a third pass that finds their places; a full table only lets more words
+through to the exact joins. No document text is shuffled for the report.
 
 Null texts are empty; overlapping spans are all reported, and replaced as one; rows with the same id and text share one
 result; rows without id are reported like others; an empty table gives no rows; texts are read whole.
@@ -94,32 +96,36 @@ def entities_of(kind: int, value: str) -> list[str]:
     return [f"card:{digits}"] if kind == 2 else [f"phone:{digits}", f"exchange:{digits[:-4]}"]
 
 
-def near(text: str, start: int, end: int, window: int, reach: int) -> list[tuple[int, int]]:
-    """Words within ``window`` words of a span, looked for ``reach`` characters away at most; a cut word is left out."""
-    lo, hi = max(0, start - reach), min(len(text), end + reach)
-    left = [m.span() for m in TERM.finditer(text[lo:start].translate(LOWER))]
-    right = [m.span() for m in TERM.finditer(text[end:hi].translate(LOWER))]
-    left = [(lo + a, lo + b) for a, b in left if a or not lo]
-    right = [(end + a, end + b) for a, b in right if end + b < hi or hi == len(text)]
-    return left[-window:] + right[:window]
+def clear(found, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the words touch no base span."""
+    if not found:
+        return np.ones(len(start), bool)
+    at = np.searchsorted([a for a, *_ in found], end) - 1
+    return (at < 0) | (np.maximum.accumulate([b for *_, b in found])[at] <= start)
 
 
-def mentions(docs: DataFrame, *, window: int = 10, least_letters: int = 4) -> DataFrame:
+def near(text: str, found, window: int):
+    """(span, words) for each base span: the words within ``window`` words of it that touch no base span."""
+    low = text.translate(LOWER)
+    words = np.fromiter((x for m in TERM.finditer(low) for x in m.span()), np.int64).reshape(-1, 2)
+    start, end = words.T
+    free = clear(found, start, end)
+    for a, kind, b in found:
+        i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b)
+        at = np.concatenate([np.arange(max(0, i - window), i), np.arange(j, min(j + window, len(words)))])
+        yield (a, kind, b), {low[start[x]:end[x]] for x in at[free[at]]}
+
+
+def mentions(docs: DataFrame, *, window: int = 10) -> DataFrame:
     """One row per document: counts, base spans, the entities held, and the terms near each mention."""
     kinds = ("doc_id long, text_hash long, base string, n array<long>, held array<string>, near array<struct<"
-             "entity:string,term:string,start:long,end:long>>")
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()),
-                                    ("end", pa.int64())]))
+             "entity:string,term:string>>")
+    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
     types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), near_type]
 
     def terms(body, found):
-        covered = [(a, b) for a, _, b in found]
-        for a, kind, b in found:
-            words = [(x, y, body[x:y].translate(LOWER)) for x, y in near(body, a, b, window, 40 * window)
-                     if y - x >= least_letters and not any(x < q and p < y for p, q in covered)]
-            for entity in entities_of(kind, body[a:b]):
-                for x, y, w in words:
-                    yield {"entity": entity, "term": w, "start": x, "end": y}
+        return sorted({(e, w) for (a, kind, b), words in near(body, found, window)
+                       for e in entities_of(kind, body[a:b]) for w in words})
 
     def run(batches):
         for batch in batches:
@@ -131,7 +137,7 @@ def mentions(docs: DataFrame, *, window: int = 10, least_letters: int = 4) -> Da
                     out[0].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found))
                     out[1].append([sum(k == i for _, k, _ in found) for i in range(len(KINDS))])
                     out[2].append(sorted({e for a, k, b in found for e in entities_of(k, body[a:b])}))
-                    out[3].append(list(terms(body, found)))
+                    out[3].append([{"entity": e, "term": w} for e, w in terms(body, found)] if found else [])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), *map(pa.array, out, types[2:])],
                     names=["doc_id", "text_hash", "base", "n", "held", "near"])
@@ -209,21 +215,63 @@ def disclosing(found: DataFrame, docs: DataFrame, *, threshold: float = 0.8, lea
             "").alias("action"))
 
 
-def analyse(docs: DataFrame, *, window: int = 10, least_letters: int = 4, **how) -> DataFrame:
-    """(doc_id, text_hash, base, n, extra): ``extra`` has the spans of disclosing terms and what stands for them."""
-    found = cut(mentions(docs, window=window, least_letters=least_letters))
-    told = disclosing(found, docs, **how)
-    rows = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("m")).select(
-        "doc_id", "text_hash", "m.entity", "m.term", "m.start", "m.end")
-    hits = rows.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(
+def places(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, term, start, end): every word outside base spans whose bit is set, in characters."""
+    def run(batches):
+        powers, shift = Powers(), np.uint64(64 - TABLE_BITS)
+        for batch in batches:
+            body = batch.column(1).cast(pa.binary())
+            for a, b in slices(batch, 1):
+                part = body.slice(a, b - a).to_pylist()
+                w = Words(part, powers)
+                at = np.flatnonzero(table[(w.hash >> shift).astype(np.int64)])
+                if not len(at):
+                    continue
+                # characters before each byte: all bytes but those that carry one on
+                chars = np.zeros(len(w.buf) + 1, np.int64)
+                np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
+                doc, keep = w.doc[at], np.ones(len(at), bool)
+                start, end = (chars[x[at]] - chars[w.at[doc]] for x in (w.start, w.end))
+                for lo, hi in zip(first := np.flatnonzero(np.diff(doc, prepend=-1)), [*first[1:], len(doc)]):
+                    keep[lo:hi] = clear(spans_of(part[doc[lo]].decode()), start[lo:hi], end[lo:hi])
+                at, doc, start, end = at[keep], doc[keep], start[keep], end[keep]
+                terms = [w.buf[w.start[i]:w.end[i]].tobytes().decode("utf-8", "replace") for i in at]
+                rows = pa.array(doc + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(terms, pa.string()),
+                     pa.array(start), pa.array(end)], names=["doc_id", "text_hash", "term", "start", "end"])
+
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_hash long, term string, start long, end long")
+
+
+def same_document(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (
+        F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+
+
+def marked(found: DataFrame, docs: DataFrame, told: DataFrame, table: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, extra): the places of removed terms in all documents, of others where their entity is held."""
+    at = cut(places(docs, table).join(told.groupBy("term").agg(F.min("action").alias("action")), "term"))
+    held = found.select("doc_id", "text_hash", F.explode("held").alias("entity")).distinct()
+    some = at.where("action <> ''").join(told.select("term", "entity"), "term").alias("a").join(
+        held.alias("h"), (F.col("a.entity") == F.col("h.entity")) & same_document("a", "h"), "left_semi").drop("entity")
+    return at.where("action = ''").unionByName(some).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("extra"))
+
+
+def analyse(docs: DataFrame, *, window: int = 10, **how) -> DataFrame:
+    """(doc_id, text_hash, base, n, extra): ``extra`` has the spans of disclosing terms and what stands for them."""
+    found = cut(mentions(docs, window=window))
+    told = cut(disclosing(found, docs, **how))
     left = found.select("doc_id", "text_hash", "base", "n")
     none = F.array().cast("array<struct<start:long,end:long,action:string>>")
-    # most documents mention nothing: they need no lookup
-    quiet = left.where("base = ''").withColumn("extra", none)
-    loud = left.where("base <> ''").alias("l").join(hits.alias("h"), F.col("l.doc_id").eqNullSafe(F.col("h.doc_id")) & (
-        F.col("l.text_hash") == F.col("h.text_hash")), "left").select("l.*", F.coalesce("h.extra", none).alias("extra"))
-    return quiet.unionByName(loud)
+    table = bit_table(told.select("term").distinct())
+    if not table.any():
+        return left.withColumn("extra", none)
+    hits = marked(found, docs, told, table)
+    return left.alias("l").join(hits.alias("h"), same_document("l", "h"), "left").select(
+        "l.*", F.coalesce("h.extra", none).alias("extra"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -258,7 +306,7 @@ def redact(text: str, base: str, extra) -> str:
 
 def sanitise(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The rows with sanitised texts, all columns kept; texts without spans stay as they are."""
-    found = analyse(docs, **how).where("base <> ''").dropDuplicates(["doc_id", "text_hash"]).select(
+    found = analyse(docs, **how).where("base <> '' or size(extra) > 0").dropDuplicates(["doc_id", "text_hash"]).select(
         F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("base").alias("_pii_base"),
         F.col("extra").alias("_pii_extra"))
     names = docs.columns

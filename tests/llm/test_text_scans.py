@@ -67,6 +67,27 @@ def test_terms_of_recurring_parts_are_found(spark):
     assert got[90]["n_term"] == 0 and sum(r["n_term"] for r in got.values()) < 20
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    rnd = random.Random(11)
+    long = "\u4e00" * 500
+    # far from the mention, in texts without any, short, in another alphabet, in capitals after characters of two bytes,
+    # and longer than any reach; "halfway" stands in other texts too, so it goes from its holders
+    rows = [(i, f"Éé LI {prose(rnd, 40)} li {long} \u738b halfway me{i} only.one@solo.example.com {prose(rnd, 40)} halfway li")
+            for i in range(30)]
+    rows += [(50, f"ééé Li {prose(rnd, 9)} \u738b."), (51, f"{prose(rnd, 9)} {long}"), (None, "só li")]
+    rows += [(60 + i, f"halfway {prose(rnd, 60)}") for i in range(10)] + [(100 + i, prose(rnd, 60)) for i in range(400)]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.report(docs).collect()}
+    for i, text in rows[:33]:
+        for word in ("li", long, "\u738b", *["halfway"] * (i in range(30))):
+            places = [f"term:{m.start()}:{m.end()}" for m in re.finditer(rf"\b{word}\b", text.lower())]
+            assert set(places) <= set(got[i]), (i, word[:9])
+    assert got[60] == [""]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(w not in clean[i].lower().split() for i in (0, 29, 50, 51, None) for w in ("li", long, "\u738b", "\u738b."))
+    assert "halfway" not in clean[0] and " h. " in clean[0] and clean[60] == dict(rows)[60]
+
+
 def test_every_document_may_hold_the_entity(spark):
     got = pii.report(documents(spark, [(i, f"word{i} names one@solo.example.com") for i in range(4)])).collect()
     assert [r["n_term"] for r in got] == [0] * 4
