@@ -5,9 +5,10 @@ is its inverse document frequency over all documents. Then every text is read on
 
 * a phrase that must stand word for word is looked up by its rarest word; each place of that word gives a start, and the
   other words must stand at their relative places (all places are found);
-* for longer notices the file's ``anchors`` rarest licence words are looked up in the postings; every occurrence points
-  to a start of each template it occurs in, and starts named by enough different words are scored by the share of the
-  template's rarity that stands at its place, and need the template's key phrases within it.
+* a longer notice is looked up by its own rarest words, as many as it takes that no text can reach ``least_share``
+  without one of them at its place; each of their occurrences points to a start, and every start is scored by the share
+  of the template's rarity that stands at its place, and needs ``least_votes`` different words there and the template's
+  key phrases within it. So no notice is lost, whatever else stands in the file.
 
 Null and empty texts have no words; a repeated row is scanned alike; ties of rarity go to the earlier word in the
 template list; an empty table gives no rows; texts are read whole.
@@ -55,7 +56,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", p
 
 
 class Index:
-    """Postings of the templates, and the rarity of their words once it is known."""
+    """The templates by words, and the rarity of their words once it is known."""
 
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         self.phrases = [(label, text.split()) for label, text in phrases]
@@ -65,12 +66,17 @@ class Index:
             for w in words:
                 seen.setdefault(w, len(seen))
         self.words, self.id = list(seen), seen
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.notices):
-            for place, w in enumerate(words):
-                self.postings.setdefault(seen[w], []).append((t, place))
         self.rarity = np.ones(len(self.words))
 
+    def lookup(self, want: np.ndarray, least_share: float) -> np.ndarray:
+        """The rarest of these words without which less than the share of rarity is left; a start needs one of them."""
+        weight, used = self.rarity[want], np.zeros(len(want), bool)
+        for v in want[np.argsort(-weight, kind="stable")]:
+            if weight[~used].sum() < (least_share - 1e-9) * weight.sum():
+                break
+            used |= want == v
+        return np.flatnonzero(used)
+
     def places(self, ids: np.ndarray, doc: np.ndarray, words: list[str]) -> np.ndarray:
         """Starts at which these words stand consecutively in one text; the rarest word is looked up first."""
         want = np.array([self.id[w] for w in words])
@@ -105,8 +111,8 @@ def document_frequency(docs: DataFrame, index: Index) -> tuple[int, np.ndarray]:
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(n_words)], np.int64)
 
 
-def scan(docs: DataFrame, *, phrases=PHRASES, notices=NOTICES, anchors: int = 8, least_votes: int = 3,
-         least_share: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, phrases=PHRASES, notices=NOTICES, least_votes: int = 3, least_share: float = 0.7,
+         key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document."""
     index = Index(phrases, notices)
     n, df = document_frequency(docs, index)
@@ -114,7 +120,6 @@ def scan(docs: DataFrame, *, phrases=PHRASES, notices=NOTICES, anchors: int = 8,
 
     def run(batches):
         lookup, powers = Lookup(index.words), Powers()
-        rank = np.argsort(np.argsort(-index.rarity, kind="stable"))
         for batch in batches:
             body = batch.column(1).cast(pa.binary())
             for a, b in slices(batch, 1):
@@ -126,7 +131,7 @@ def scan(docs: DataFrame, *, phrases=PHRASES, notices=NOTICES, anchors: int = 8,
                     for p in index.places(ids, w.doc, words):
                         base[w.doc[p]].append((int(w.index[p]), label))
                         score[w.doc[p]] = 1.0
-                for d, label, share in notices_in(index, w, ids, rank, anchors, least_votes, least_share):
+                for d, label, share in notices_in(index, w, ids, least_votes, least_share):
                     also[d].add(label)
                     score[d] = max(score[d], share)
                 yield record({
@@ -141,45 +146,39 @@ def scan(docs: DataFrame, *, phrases=PHRASES, notices=NOTICES, anchors: int = 8,
     return texts(docs, key, text).mapInArrow(run, SCAN)
 
 
-def notices_in(index: Index, w: Words, ids, rank, anchors: int, least_votes: int, least_share: float):
-    """(document, label, share of rarity) of the notices that the rare words of each text point to."""
-    size = len(index.words)
-    # a notice needs its key phrases, so only texts with the rarest key word of some notice can hold one
-    gates = {max((index.id[x] for key in keys for x in key), key=lambda v: index.rarity[v]) for *_, keys in index.notices}
-    open_ = np.zeros(len(w.at), bool)
-    open_[w.doc[np.flatnonzero(np.isin(ids, list(gates)))]] = True
-    hit = np.flatnonzero(ids >= 0)
-    hit = hit[open_[w.doc[hit]]]
-    if not len(hit):
-        return
-    pair = np.unique(w.doc[hit] * size + rank[ids[hit]])  # a text's licence words, rarest first
-    doc = pair // size
-    first = np.searchsorted(doc, doc)
-    chosen = pair[np.arange(len(pair)) - first < anchors]
-    used = hit[np.isin(w.doc[hit] * size + rank[ids[hit]], chosen)]
-    starts, template, word = [], [], []
-    for v in np.unique(ids[used]):
-        at = used[ids[used] == v]
-        for t, place in index.postings.get(int(v), ()):
-            starts.append(at - place)
-            template.append(np.full(len(at), t))
-            word.append(np.full(len(at), v))
-    if not starts:
-        return
-    starts, template, word = map(np.concatenate, (starts, template, word))
-    ok = starts >= 0
-    votes = np.unique(np.stack([starts[ok], template[ok], word[ok]]), axis=1)
-    spot, n = np.unique(votes[:2], axis=1, return_counts=True)
-    for (p, t), k in zip(spot.T, n):
-        label, words, keys = index.notices[t]
+def notices_in(index: Index, w: Words, ids, least_votes: int, least_share: float):
+    """(document, label, greatest share of rarity) of the notices in each text."""
+    first, last = np.cumsum(w.count) - w.count, np.cumsum(w.count)
+    for label, words, keys in index.notices:
         want = np.array([index.id[x] for x in words])
-        if k < min(least_votes, len(set(words))) or p >= len(ids):
+        phrases = [np.array([index.id[x] for x in key]) for key in keys]
+        # a notice needs its key phrases, so only texts with the rarest key word can hold it
+        gate = max((v for phrase in phrases for v in phrase), key=lambda v: index.rarity[v])
+        open_ = np.zeros(len(w.at), bool)
+        open_[w.doc[ids == gate]] = True
+        if not open_.any():
             continue
-        got = ids[p:p + len(words)]
-        same = (got == want[:len(got)]) & (w.doc[p:p + len(words)] == w.doc[p])
-        weight = index.rarity[want]
-        share = float(weight[:len(got)][same].sum() / weight.sum())
-        if share >= least_share and all(
-            len(index.places(got, w.doc[p:p + len(words)], key)) for key in keys
-        ):
-            yield int(w.doc[p]), label, share
+        hit = np.flatnonzero(ids >= 0)
+        hit = hit[open_[w.doc[hit]]]
+        spots = []
+        for place in index.lookup(want, least_share):
+            at = hit[ids[hit] == want[place]]
+            spots.append(np.stack([w.doc[at], at - place]))
+        doc, start = np.unique(np.concatenate(spots, axis=1), axis=1)
+        weight, of = index.rarity[want], {v: np.flatnonzero(want == v) for v in np.unique(want)}
+        best = np.zeros(len(w.at))
+        for a in range(0, len(doc), 4096):
+            d = doc[a:a + 4096]
+            at = start[a:a + 4096, None] + np.arange(len(want))
+            inside = (at >= first[d, None]) & (at < last[d, None])
+            got = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], -1)
+            same = got == want
+            share = np.where(same, weight, 0.0).sum(axis=1) / weight.sum()
+            votes = sum(same[:, places].any(axis=1) for places in of.values())
+            ok = (share >= least_share) & (votes >= min(least_votes, len(of)))
+            for phrase in phrases:
+                starts = range(len(want) - len(phrase) + 1)
+                ok[ok] = np.any([(got[ok, o:o + len(phrase)] == phrase).all(axis=1) for o in starts], axis=0)
+            np.maximum.at(best, d[ok], share[ok])
+        for d in np.flatnonzero(best):
+            yield int(d), label, float(best[d])

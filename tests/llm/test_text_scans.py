@@ -137,6 +137,28 @@ def test_notices_need_their_key_phrases(spark):
     assert got[3][0].split(",") == ["gpl", "gpl-notice"] and got[4][0] == "mit,mit-release"
 
 
+def test_files_with_several_notices_keep_them_all(spark):
+    rnd = random.Random(12)
+    notices = [(label, text) for label, text, _ in licenses.NOTICES]
+    pairs = [(a, b) for a in notices for b in notices if a != b]
+    rows = [(i, f"{a[1]}. {b[1]}") for i, (a, b) in enumerate(pairs)]
+    rows.append((1000, ". ".join(text for _, text in notices)))
+    # rarer licence words than those of the notice in a very long text, and notices at its ends, one of them cut
+    words = licenses.Index().words
+    noise = [" ".join(rnd.choice(words) + rnd.choice([" ", " x "]) for _ in range(30_000)) for _ in range(2)]
+    rows.append((1001, f"{notices[0][1]} x {noise[0]} x {notices[2][1]} x {noise[1]} x {notices[10][1]}"))
+    rows.append((1002, notices[8][1].split(" ", 2)[2]))
+    # in most texts the words of notices are common
+    rows += [(2000 + i, rnd.choice(notices)[1]) for i in range(300)] + [(3000 + i, prose(rnd, 20)) for i in range(300)]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, rows)).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert {a[0], b[0]} <= set(got[i]["labels"].split(",")), (a[0], b[0])
+        assert got[i]["score"] == 1.0
+    assert {label for label, _ in notices} <= set(got[1000]["labels"].split(","))
+    assert {notices[0][0], notices[2][0], notices[10][0]} <= set(got[1001]["labels"].split(","))
+    assert got[1002]["labels"] == "mit-notice" and 0.7 <= got[1002]["score"] < 1
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = random.Random(7)
     rows, marks = [], []
