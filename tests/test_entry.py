@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -23,3 +26,14 @@ def test_flagship(spark):
 def test_query_matches_sql(spark, name):
     msg, _, _ = compare(spark, open_duckdb(SF), SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert msg.startswith("ok"), msg
+
+
+def test_the_rest_stands_alone(tmp_path):
+    """Without the folders of the training-data operators all other queries still register."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    assert not (copy / "opslens" / "llm").exists()
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), "False", str(len(oracle.SQL))], said.stderr
