@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, toxicity
+from opslens.llm import (
+    binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, tokencount, toxicity,
+)
 from opslens.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +86,12 @@ def op10_metric_join(s, d):
     return metricjoin.near_duplicates(table(s, d, "embeddings"))
 
 
+@query
+def op11_token_resync(s, d):
+    """Token counts of every document."""
+    return tokencount.count_tokens(table(s, d, "documents"))
+
+
 _RULES = ", ".join(f"('{says}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')"
                    for says, rule in hosts.RULES)
 _TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABELS)
