@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm import (
-    binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, tokencount, toxicity,
+    binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, termtree, tokencount,
+    toxicity,
 )
 from opslens.llm.rows import table
 
@@ -92,6 +93,12 @@ def op11_token_resync(s, d):
     return tokencount.count_tokens(table(s, d, "documents"))
 
 
+@query
+def op12_term_tree(s, d):
+    """The 50 best documents of every benchmark item."""
+    return termtree.rank(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
 _RULES = ", ".join(f"('{says}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')"
                    for says, rule in hosts.RULES)
 _TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABELS)
@@ -141,3 +148,21 @@ SELECT page_id, said.host, path, rule,
          AS verdict
 FROM said LEFT JOIN h USING (host)
 """
+
+_TERMS = (f"regexp_extract_all(translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'), "
+          f"'{termtree.TERM.pattern}')")
+SQL["op12_term_tree"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(t) AS term FROM docs) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs),
+m AS (SELECT r, 100 - 50 + ((50 * len(t) * n_docs) // n_terms) AS m FROM docs, s WHERE len(t) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                                 * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r), s GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored WHERE score > 0) WHERE rank <= 50
+"""
