@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.llm import (
-    binpack, chat, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, termtree, tokencount,
-    toxicity,
+    binpack, chat, collocations, dartminhash, decontaminate, hosts, licenses, metricjoin, packing, pii, termtree,
+    tokencount, toxicity,
 )
 from opslens.llm.rows import table
 
@@ -99,6 +99,12 @@ def op12_term_tree(s, d):
     return termtree.rank(table(s, d, "documents"), table(s, d, "benchmark"))
 
 
+@query
+def op13_tile_collocations(s, d):
+    """Each language's 2000 best phrases of two and three words."""
+    return collocations.mine(table(s, d, "documents"))
+
+
 _RULES = ", ".join(f"('{says}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')"
                    for says, rule in hosts.RULES)
 _TWO = ", ".join(f"'{x}'" for x in hosts.TWO_LABELS)
@@ -166,3 +172,35 @@ SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
       FROM scored WHERE score > 0) WHERE rank <= 50
 """
+
+SQL["op13_tile_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws
+  FROM documents),
+grams AS (SELECT lang, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+       FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM pieces)),
+f1 AS (SELECT lang, a, count(*) AS n FROM grams GROUP BY ALL),
+f2 AS (SELECT lang, a, b, count(*) AS n FROM grams WHERE b IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, a, b, c, count(*) AS n FROM grams WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, a, b, max(n) AS most FROM (
+             SELECT lang, a, b, n FROM f3 UNION ALL SELECT lang, b, c, n FROM f3) GROUP BY ALL),
+two AS (SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.n AS a, x.n AS l, y.n AS r,
+               (1000000 * f2.n::HUGEINT * f2.n) // (x.n::HUGEINT * y.n) AS score
+        FROM f2 JOIN f1 x ON f2.lang = x.lang AND f2.a = x.a JOIN f1 y ON f2.lang = y.lang AND f2.b = y.a
+        LEFT JOIN longer k ON f2.lang = k.lang AND f2.a = k.a AND f2.b = k.b
+        WHERE f2.n >= 10 AND (k.most IS NULL OR 100 * k.most < 50 * f2.n)),
+cuts AS (SELECT f3.*, x.n AS l1, yz.n AS r1, xy.n AS l2, z.n AS r2,
+                (1000000 * f3.n::HUGEINT * f3.n) // (x.n::HUGEINT * yz.n) AS s1,
+                (1000000 * f3.n::HUGEINT * f3.n) // (xy.n::HUGEINT * z.n) AS s2
+         FROM f3 JOIN f1 x ON f3.lang = x.lang AND f3.a = x.a JOIN f1 z ON f3.lang = z.lang AND f3.c = z.a
+         JOIN f2 xy ON f3.lang = xy.lang AND f3.a = xy.a AND f3.b = xy.b
+         JOIN f2 yz ON f3.lang = yz.lang AND f3.b = yz.a AND f3.c = yz.b),
+both_ AS (SELECT * FROM two UNION ALL
+          SELECT lang, a || ' ' || b || ' ' || c, n, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END,
+                 CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM both_)
+JOIN total USING (lang) WHERE rank <= 2000
+"""
