@@ -13,17 +13,20 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opslens.functions.text import content_hash
-from opslens.operators.running import running_sums, with_slots
+from opslens.operators.running import MAX_SLOT_ROWS, running_sums, with_slots
 from opslens.operators.ttl import cache_hits
+from opslens.operators.windows import int_div
 from opslens.session import cut_lineage
 
 # Price, limit, lifetimes, level bounds.
 USD_PER_1K = 0.0001
 DAILY_LIMIT_USD = 50.0
 RESPONSE_TTL_SECONDS = 86_400
+STRETCH_CALLS = 100_000
 DEGRADED_AT, CRITICAL_AT, EXHAUSTED_AT = 0.70, 0.90, 1.00
 TIERS = ("TINY", "SMALL", "MEDIUM", "LARGE")
 
@@ -105,16 +108,103 @@ def response_cache_hits(calls: DataFrame, ttl_s: int = RESPONSE_TTL_SECONDS) ->
     return cache_hits(src, "prompt_hash", ttl_s, row_id="call_id", writes=F.col("status") != "FAILED")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks the open calls of each day in order; gives back those that fit. Holds one batch and one number."""
-    today, rest = None, 0
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the rows whose keys are equal, for sorted keys."""
+    n = len(keys[0])
+    if not n:
+        return []
+    edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return list(zip([0, *edge.tolist()], [*edge.tolist(), n]))
+
+
+class Stretch:
+    """What a run of calls makes of every budget left, from 1 to ``most``: pieces [lo, next lo) with what they lose.
+
+    A call that fits (estimate under what is left) takes its charge off; so each piece is a shift, a call splits the
+    piece its estimate falls in, and neighbours of equal loss are one. A budget of nothing stays as it is.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.lo, self.lost = np.array([1], np.int64), np.array([0], np.int64)
+        self.top = most
+
+    def add(self, est: np.ndarray, charge: np.ndarray) -> None:
+        at = 0
+        while at < len(est):
+            ahead = np.flatnonzero((est[at:at + 4096] < self.top) & (charge[at:at + 4096] != 0))
+            if not len(ahead):
+                at += 4096
+                continue
+            at += int(ahead[0])
+            self._one(int(est[at]), int(charge[at]))
+            at += 1
+
+    def _one(self, est: int, charge: int) -> None:
+        end = np.append(self.lo[1:], self.most + 1)
+        first = est + self.lost + 1  # the least budget of each piece, before the run, that the call fits
+        whole, split = first <= self.lo, (first > self.lo) & (first < end)
+        lo = np.concatenate([self.lo, first[split]])
+        lost = np.concatenate([np.where(whole, self.lost + charge, self.lost), self.lost[split] + charge])
+        order = np.argsort(lo)
+        lo, lost = lo[order], lost[order]
+        keep = np.r_[True, lost[1:] != lost[:-1]]
+        self.lo, self.lost = lo[keep], lost[keep]
+        self.top = int((np.append(self.lo[1:], self.most + 1) - 1 - self.lost).max())
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each stretch's map of budgets; holds one batch and one map."""
+    now, made = None, None
+
+    def out():
+        n = len(made.lo)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * n, pa.int32()).cast(pa.date32()), pa.array([now[1]] * n, pa.int64()),
+                                           pa.array(made.lo), pa.array(made.lost)], names=["day", "stretch", "lo", "lost"])
+
+    for b in batches:
+        day = b.column(0).cast(pa.int32()).to_numpy()
+        stretch, rest, est, charge = (b.column(i).to_numpy() for i in (1, 2, 3, 4))
+        for lo, hi in _runs(day, stretch):
+            if (day[lo], stretch[lo]) != now:
+                if made:
+                    yield out()
+                now, made = (day[lo], stretch[lo]), Stretch(int(rest[lo]))
+            made.add(est[lo:hi], charge[lo:hi])
+    if made:
+        yield out()
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left at the start of each stretch, by the maps before it; holds one number and the end of one map."""
+    today = stretch = None
+    rest, lost = 0, 0
+    for b in batches:
+        day = b.column(0).cast(pa.int32()).to_numpy()
+        no, lo, off, start = (b.column(i).to_numpy() for i in (1, 2, 3, 4))
+        rows = []
+        for a, z in _runs(day, no):
+            if (day[a], no[a]) != (today, stretch):
+                rest = int(start[a]) if day[a] != today else rest - lost
+                today, stretch, lost = day[a], no[a], 0
+                rows.append((today, stretch, rest))
+            at = np.searchsorted(lo[a:z], rest, side="right") - 1  # pieces may come in more than one batch
+            if at >= 0:
+                lost = int(off[a + at])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()).cast(pa.date32()), *(
+            pa.array([int(r[i]) for r in rows], pa.int64()) for i in (1, 2))], names=["day", "stretch", "rest"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the calls of each stretch in order; gives back those that fit. Holds one batch and one number."""
+    now, rest = None, 0
     for b in batches:
         day = b.column(0).cast(pa.int32()).to_numpy()
-        start, est, charge = (b.column(i).to_numpy() for i in (3, 4, 5))
+        stretch, start, est, charge = (b.column(i).to_numpy() for i in (1, 2, 3, 4))
         fit = []
-        for lo, hi in zip(*(x.tolist() for x in _runs(day))):
-            if day[lo] != today:
-                today, rest = day[lo], int(start[lo])
+        for lo, hi in _runs(day, stretch):
+            if (day[lo], stretch[lo]) != now:
+                now, rest = (day[lo], stretch[lo]), int(start[lo])
             at = lo
             while at < hi:
                 ahead = np.flatnonzero(est[at:min(hi, at + 4096)] < rest)
@@ -128,24 +218,45 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["day", "ts_us", "call_id"]).take(pa.array(fit, pa.int64()))
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(x)) + 1
-    return np.r_[0, edge], np.r_[edge, len(x)]
-
+def fitting_calls(open_calls: DataFrame, stretch_calls: int) -> DataFrame:
+    """(day, ts_us, call_id) of the calls that fit, of (day, _slot, _cut, ts_us, call_id, rest, est, charge).
 
-def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float = USD_PER_1K, slot_s: int = 60) -> DataFrame:
+    ``rest`` is what the day has left in front of its first open call. A day's calls are cut into stretches of about
+    ``stretch_calls``, at the ends of slots. Each stretch is summed up alone, as a map from what is left to what is
+    left then; the maps, one short table a stretch, are followed in order; then all stretches are walked at once.
+    """
+    slots = open_calls.groupBy("day", "_slot", "_cut").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("day").orderBy("_slot", "_cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    stretches = slots.withColumn("stretch", int_div(before, stretch_calls)).drop("n")
+    order = ["day", "stretch", "ts_us", "call_id"]
+    rows = cut_lineage(open_calls.join(stretches, ["day", "_slot", "_cut"]).select(*order, "rest", "est", "charge"))
+
+    def sorted_by_stretch(df: DataFrame) -> DataFrame:
+        return df.repartition("day", "stretch").sortWithinPartitions(*order).select(
+            "day", "stretch", "rest", "est", "charge", "ts_us", "call_id")
+
+    maps = sorted_by_stretch(rows).mapInArrow(_summaries, "day date, stretch long, lo long, lost long")
+    first = rows.groupBy("day").agg(F.min("rest").alias("rest"))
+    starts = cut_lineage(maps.join(first, "day").repartition("day").sortWithinPartitions("day", "stretch", "lo").select(
+        "day", "stretch", "lo", "lost", "rest").mapInArrow(_starts, "day date, stretch long, rest long"))
+    ids = rows.select("day", "ts_us", "call_id").schema
+    return sorted_by_stretch(rows.drop("rest").join(starts, ["day", "stretch"])).mapInArrow(_walk, ids)
+
+
+def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float = USD_PER_1K, slot_s: int = 60,
+          stretch_calls: int = STRETCH_CALLS) -> DataFrame:
     """Replay of the budget check over each day: adds spent_before, decision, level and charged tokens.
 
     A denied call spends nothing, which changes every later decision of its day. Up to the first call that does
     not fit, all are admitted: one distributed running sum finds that call and what is left then. Later calls whose
-    estimate reaches what is left can never fit and fall away. The others depend on each other in order, so they are
-    walked: their narrow rows are sorted by day and time and stream through one task for each day, which holds a
-    batch and a number. Two running sums and one walk, whatever the estimates; nothing comes back to the driver.
+    estimate reaches what is left can never fit and fall away. The others depend on each other in order; they are
+    settled in stretches (``fitting_calls``), so a day's calls run in as many tasks as it has stretches. Estimates
+    and charges are whole numbers of at least 0.
     """
     c = F.col
     bound = token_bound(limit, EXHAUSTED_AT, usd_per_1k) if limit > 0 else 0
     src = calls.withColumn("day", F.to_date("ts")).withColumn("charge", charged_tokens())
-    src = with_slots(src, ["day"], "ts_us", "call_id", slot_s)
+    src = with_slots(src, ["day"], "ts_us", "call_id", slot_s, min(MAX_SLOT_ROWS, stretch_calls))
     at = F.struct("ts_us", "call_id")
 
     narrow = cut_lineage(src.select("day", "_slot", "_cut", "ts_us", "call_id", c("est_tokens").alias("est"), "charge"))
@@ -154,10 +265,9 @@ def admit(calls: DataFrame, limit: float = DAILY_LIMIT_USD, usd_per_1k: float =
         F.min(F.struct("ts_us", "call_id", (bound - (c("used") - c("charge"))).alias("rest"))).alias("p"))
     first = cut_lineage(first.select("day", F.struct("p.ts_us", "p.call_id").alias("p"), c("p.rest").alias("rest")))
     open_calls = narrow.join(first, "day").filter((at > c("p")) & (c("est") < c("rest")))
-    walked = open_calls.select("day", "ts_us", "call_id", "rest", "est", "charge").repartition("day").sortWithinPartitions(
-        "day", "ts_us", "call_id").mapInArrow(_fold, narrow.select("day", "ts_us", "call_id").schema)
+    fits = fitting_calls(open_calls, stretch_calls)
 
-    marked = src.join(first, "day", "left").join(walked.withColumn("_fits", F.lit(True)), ["day", "ts_us", "call_id"], "left")
+    marked = src.join(first, "day", "left").join(fits.withColumn("_fits", F.lit(True)), ["day", "ts_us", "call_id"], "left")
     admitted = c("p").isNull() | (at < c("p")) | c("_fits").isNotNull()
     marked = marked.withColumn("charged", F.when(admitted, c("charge")).otherwise(F.lit(0).cast("bigint"))).drop("p", "rest", "_fits")
     out = running_sums(marked, ["day"], {"_upto": c("charged")}, "ts_us", "call_id")
@@ -190,16 +300,41 @@ def route(tier: Column, level: Column, decision: Column, models: Mapping[str, st
     return model.otherwise(missing)
 
 
-def gateway(calls: DataFrame, models: Mapping[str, str], limit: float = DAILY_LIMIT_USD, ttl_s: int = RESPONSE_TTL_SECONDS) -> DataFrame:
+def gateway(calls: DataFrame, models: Mapping[str, str], limit: float = DAILY_LIMIT_USD, ttl_s: int = RESPONSE_TTL_SECONDS,
+            stretch_calls: int = STRETCH_CALLS) -> DataFrame:
     """Every call through cache, budget and routing: adds is_hit, decision, level, model, charged.
 
-    Only cache misses reach the budget. ``status`` is the outcome of calls that were sent.
+    Only cache misses spend. ``status`` is the outcome of calls that were sent. A sent call that fails stores nothing;
+    a denied one is answered by the stub, whose answer is stored whatever the call's status. So the cache decides which
+    calls ask for budget, and the budget decides which failing calls store an answer. Both are replayed in turn: the
+    cache takes a failing call as denied if the spend that the last replay had at its time leaves no room for it, until
+    a replay changes none of these. What happens at a moment depends on earlier moments only, so every round settles
+    all calls up to the first difference at least, and what the rounds end in is the replay call by call. Without
+    failing calls one round is enough.
     """
-    marked = response_cache_hits(calls, ttl_s)
-    sent = admit(marked.filter("NOT is_hit"), limit).withColumn("model", route(F.col("tier"), F.col("level"), F.col("decision"), models))
-    zero = F.lit(0).cast("bigint")
-    hits = marked.filter("is_hit").select(
-        *marked.columns, F.lit("CACHED").alias("decision"), F.lit(None).cast("string").alias("level"), zero.alias("charged"),
-        F.lit("cache").alias("model"),
-    )
-    return hits.unionByName(sent.select(*hits.columns))
+    c = F.col
+    failing = c("status") == "FAILED"
+    bound = token_bound(limit) if limit > 0 else 0
+    src = calls.withColumn("prompt_hash", content_hash(c("prompt")))
+    own = src.columns
+    none = F.lit(0).cast("bigint")
+    stubbed, known = None, 0
+    while True:
+        rows = src.withColumn("_stub", F.lit(False)) if stubbed is None else src.join(
+            stubbed.withColumn("_stub", F.lit(True)), "call_id", "left")
+        stores = ~failing | F.coalesce("_stub", F.lit(False))
+        marked = cut_lineage(cache_hits(rows, "prompt_hash", ttl_s, row_id="call_id", writes=stores).drop("_stub"))
+        # a hit asks for nothing and is charged nothing, but learns the spend of its time as all others do
+        asks = {name: F.when(c("is_hit"), none).otherwise(c(name)) for name in ("est_tokens", "tokens_in", "tokens_out")}
+        asked = marked.select("*", c("est_tokens").alias("_est"), c("tokens_in").alias("_in"), c("tokens_out").alias("_out")).withColumns(asks)
+        priced = cut_lineage(admit(asked, limit, stretch_calls=stretch_calls))
+        denied = priced.filter(failing & (c("spent_before") + c("_est") >= bound)).select("call_id")
+        now = denied.count()
+        if now == known and (now == 0 or denied.join(stubbed, "call_id", "left_anti").isEmpty()):
+            break
+        stubbed, known = denied, now
+    priced = priced.withColumns({"est_tokens": c("_est"), "tokens_in": c("_in"), "tokens_out": c("_out")})
+    sent = priced.filter("NOT is_hit").withColumn("model", route(c("tier"), c("level"), c("decision"), models))
+    hits = priced.filter("is_hit").withColumns({"decision": F.lit("CACHED"), "level": F.lit(None).cast("string"), "charged": none, "model": F.lit("cache")})
+    names = [*own, "is_hit", "decision", "level", "charged", "model"]
+    return hits.select(*names).unionByName(sent.select(*names))

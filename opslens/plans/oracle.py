@@ -360,11 +360,12 @@ SQL["incident_fk_check"] = f"WITH {_REQ} SELECT seq, content_id IN (SELECT 'inc-
 
 # --- ledger ---------------------------------------------------------------------------------------
 
-_CALLS = """calls AS (SELECT conv_id * 1000 + turn AS call_id, 'Classify a ' || role || ' message of about ' || (length(text) // 200) || ' hundred words' AS prompt, 'agent-' || (turn % 3) AS agent,
-  ['TINY', 'SMALL', 'MEDIUM', 'LARGE'][(conv_id + turn) % 4 + 1] AS tier, (conv_id + turn) % 17 = 0 AS failed, length(text) // 4 AS est, length(text) // 4 + turn % 3 AS tin,
-  length(text) // 8 + 5 AS tout, 1704067200 + conv_id * 3600 + turn * 60 AS sec, CASE WHEN (conv_id + turn) % 17 = 0 THEN length(text) // 4 ELSE length(text) // 4 + turn % 3 + length(text) // 8 + 5 END AS charge,
-  sha256('Classify a ' || role || ' message of about ' || (length(text) // 200) || ' hundred words') AS h,
-  ['model-xs', 'model-s', 'model-m', 'model-l'][(conv_id + turn) % 4 + 1] AS model FROM conversations)"""
+_CALLS = """calls AS (SELECT *, CASE WHEN failed THEN est ELSE tin + tout END AS charge FROM (
+  SELECT (conv_id * 1000 + turn) * 3 + k AS call_id, text AS prompt, 'agent-' || (turn % 3) AS agent,
+  ['TINY', 'SMALL', 'MEDIUM', 'LARGE'][(conv_id + turn) % 4 + 1] AS tier, (conv_id + turn + 2 * k) % 7 = 0 AS failed, length(text) // 4 AS est,
+  length(text) // 4 + turn % 3 AS tin, length(text) // 8 + 5 AS tout, 1704067200 + conv_id * 3600 + turn * 60 + [0, 18000, 108000][k + 1] AS sec,
+  sha256(text) AS h, ['model-xs', 'model-s', 'model-m', 'model-l'][(conv_id + turn) % 4 + 1] AS model
+  FROM conversations, (SELECT unnest(range(0, 3)) AS k)))"""
 _PRICE = "{0}::DOUBLE / 1000.0::DOUBLE * 0.0001::DOUBLE"
 _HITS = f"""{_chain('calls', 'h', 86400, 'NOT failed')},
   w AS (SELECT h, sec, min(call_id) AS call_id FROM calls JOIN ch ON ch.k = h AND ch.a = sec WHERE NOT failed GROUP BY h, sec),
@@ -389,17 +390,22 @@ SQL["budget_admission"] = f"""WITH RECURSIVE {_CALLS}, o AS (SELECT *, sec // 86
       CASE WHEN walk.spent_before + walk.charged + o.est >= 20000 THEN 'DENY' WHEN walk.spent_before + walk.charged + o.est >= 14000 THEN 'DEGRADE' ELSE 'ALLOW' END,
       CASE WHEN walk.spent_before + walk.charged + o.est >= 20000 THEN 0 ELSE o.charge END FROM walk JOIN o ON o.day = walk.day AND o.rn = walk.rn + 1)
   SELECT call_id, spent_before, decision, {_lvl('spent_before')} AS level, charged FROM walk WHERE rn > 0"""
-SQL["call_gateway"] = f"""WITH RECURSIVE {_CALLS}, {_HITS}, o AS (SELECT *, sec // 86400 AS day, row_number() OVER (PARTITION BY sec // 86400 ORDER BY sec, call_id) AS rn FROM calls JOIN hits USING (call_id) WHERE NOT is_hit),
-  walk AS (SELECT day, 0::BIGINT AS rn, 0::BIGINT AS call_id, '' AS tier, 0::BIGINT AS spent_before, '' AS decision, 0::BIGINT AS charged FROM o GROUP BY day
-    UNION ALL SELECT o.day, o.rn, o.call_id, o.tier, walk.spent_before + walk.charged,
-      CASE WHEN walk.spent_before + walk.charged + o.est >= 5000 THEN 'DENY' WHEN walk.spent_before + walk.charged + o.est >= 3500 THEN 'DEGRADE' ELSE 'ALLOW' END,
-      CASE WHEN walk.spent_before + walk.charged + o.est >= 5000 THEN 0 ELSE o.charge END FROM walk JOIN o ON o.day = walk.day AND o.rn = walk.rn + 1),
+# call by call: what the day has spent, and when each prompt's answer was last stored (a stub's, too)
+SQL["call_gateway"] = f"""WITH RECURSIVE {_CALLS},
+  o AS (SELECT *, sec // 86400 AS day, dense_rank() OVER (ORDER BY h) AS p, row_number() OVER (ORDER BY sec, call_id) AS rn FROM calls),
+  walk AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS call_id, '' AS tier, 0::BIGINT AS day, 0::BIGINT AS spent, 0::BIGINT AS spent_before, false AS is_hit,
+      '' AS decision, 0::BIGINT AS charged, MAP {{0::BIGINT: -100000::BIGINT}} AS stored
+    UNION ALL SELECT rn, call_id, tier, day, before + charged, before, is_hit, decision, charged,
+      CASE WHEN is_hit OR (failed AND decision <> 'DENY') THEN stored ELSE map_concat(stored, MAP {{p: sec}}) END
+    FROM (SELECT *, CASE WHEN is_hit OR decision = 'DENY' THEN 0 ELSE charge END AS charged
+      FROM (SELECT *, CASE WHEN is_hit THEN 'CACHED' WHEN before + est >= 5000 THEN 'DENY' WHEN before + est >= 3500 THEN 'DEGRADE' ELSE 'ALLOW' END AS decision
+        FROM (SELECT o.rn, o.call_id, o.tier, o.day, o.est, o.charge, o.failed, o.p, o.sec, w.stored, CASE WHEN o.day = w.day THEN w.spent ELSE 0 END AS before,
+            coalesce(o.sec - w.stored[o.p] < 86400, false) AS is_hit FROM walk w JOIN o ON o.rn = w.rn + 1)))),
   l AS (SELECT *, {_lvl('spent_before', 5000)} AS level FROM walk WHERE rn > 0),
   r AS (SELECT *, CASE WHEN decision = 'DEGRADE' AND level = 'NORMAL' THEN 'DEGRADED' ELSE level END AS rl FROM l),
   e AS (SELECT *, CASE WHEN rl = 'DEGRADED' AND tier = 'LARGE' THEN 'MEDIUM' WHEN rl = 'CRITICAL' THEN 'SMALL' ELSE tier END AS et FROM r)
-  SELECT call_id, false AS is_hit, decision, level, CASE WHEN rl = 'EXHAUSTED' OR decision = 'DENY' THEN 'stub' WHEN et = 'TINY' THEN 'model-xs' WHEN et = 'SMALL' THEN 'model-s'
-    WHEN et = 'MEDIUM' THEN 'model-m' ELSE 'model-l' END AS model, charged FROM e
-  UNION ALL SELECT call_id, true, 'CACHED', '', 'cache', 0 FROM hits WHERE is_hit"""
+  SELECT call_id, is_hit, decision, CASE WHEN is_hit THEN '' ELSE level END AS level, CASE WHEN is_hit THEN 'cache' WHEN rl = 'EXHAUSTED' OR decision = 'DENY' THEN 'stub'
+    WHEN et = 'TINY' THEN 'model-xs' WHEN et = 'SMALL' THEN 'model-s' WHEN et = 'MEDIUM' THEN 'model-m' ELSE 'model-l' END AS model, charged FROM e"""
 SQL["tier_routing"] = f"""WITH {_CALLS}, a AS (SELECT call_id, tier, ['NORMAL','DEGRADED','CRITICAL','EXHAUSTED'][call_id % 7 % 4 + 1] AS lvl, ['ALLOW','DEGRADE','DENY'][call_id % 5 % 3 + 1] AS dec FROM calls),
   b AS (SELECT *, CASE WHEN dec = 'DEGRADE' AND lvl = 'NORMAL' THEN 'DEGRADED' ELSE lvl END AS rl FROM a),
   e AS (SELECT *, CASE WHEN rl = 'DEGRADED' AND tier = 'LARGE' THEN 'MEDIUM' WHEN rl = 'CRITICAL' THEN 'SMALL' ELSE tier END AS et FROM b)

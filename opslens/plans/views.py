@@ -136,20 +136,20 @@ def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` as model calls: one conversation an hour, one turn a minute."""
-    return table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id * 1000 + turn AS call_id",
-        "concat('Classify a ', role, ' message of about ', length(text) div 200, ' hundred words') AS prompt",
+    """``conversations`` as model calls: one conversation an hour, one turn a minute, and each text asked three times:
+    again after five hours, within a day's lifetime, and once more after thirty."""
+    return table(spark, sf_dir, "conversations").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).selectExpr(
+        "(conv_id * 1000 + turn) * 3 + k AS call_id",
+        "text AS prompt",
         "concat('agent-', turn % 3) AS agent",
         "CASE (conv_id + turn) % 4 WHEN 0 THEN 'TINY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' ELSE 'LARGE' END AS tier",
-        "CASE WHEN (conv_id + turn) % 17 = 0 THEN 'FAILED' ELSE 'OK' END AS status",
+        "CASE WHEN (conv_id + turn + 2 * k) % 7 = 0 THEN 'FAILED' ELSE 'OK' END AS status",
         "cast(length(text) div 4 AS bigint) AS est_tokens",
         "cast(length(text) div 4 + turn % 3 AS bigint) AS tokens_in",
         "cast(length(text) div 8 + 5 AS bigint) AS tokens_out",
-        "1704067200000000 + conv_id * 3600000000 + turn * 60000000 AS ts_us",
-        "timestamp_micros(1704067200000000 + conv_id * 3600000000 + turn * 60000000) AS ts",
+        "conv_id * 3600 + turn * 60 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 18000 ELSE 108000 END AS sec",
         "text",
-    )
+    ).withColumn("ts_us", F.expr("1704067200000000 + sec * 1000000")).withColumn("ts", F.timestamp_micros("ts_us")).drop("sec")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

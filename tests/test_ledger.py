@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,8 +57,78 @@ def test_admission_matches_call_by_call_replay(spark, seed, limit):
         tin = max(est + rng.choice([-2, 0, 3]), 0)
         rows.append((i, ts, est, tin, rng.randrange(3), rng.choice(["OK", "OK", "FAILED"])))
     usd = limit * 1e-7
-    got = {r["call_id"]: (r["spent_before"], r["decision"], r["charged"]) for r in led.admit(frame(spark, rows), round(usd, 10)).collect()}
-    assert got == replay(rows, limit)
+    for stretch in (led.STRETCH_CALLS, 60):
+        out = led.admit(frame(spark, rows), round(usd, 10), stretch_calls=stretch).collect()
+        assert {r["call_id"]: (r["spent_before"], r["decision"], r["charged"]) for r in out} == replay(rows, limit)
+
+
+def test_a_hot_day_is_settled_in_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(DAY), int(min(rng.paretovariate(0.6), 9000)), 0, rng.randrange(40), "OK") for i in range(20_000)]
+    df = frame(spark, rows)
+    out = {r["call_id"]: (r["spent_before"], r["decision"], r["charged"]) for r in led.admit(df, 0.005, stretch_calls=500).collect()}
+    assert out == replay(rows, 50_000) and {d for _, d, _ in out.values()} == {"ALLOW", "DEGRADE", "DENY"}
+    open_calls = df.select(F.to_date("ts").alias("day"), F.floor(F.col("ts_us") / 60_000_000).alias("_slot"), F.lit(0).alias("_cut"), "ts_us", "call_id",
+                           F.lit(9000).cast("bigint").alias("rest"), F.col("est_tokens").alias("est"), F.col("tokens_out").alias("charge"))
+    fit = {r["call_id"] for r in led.fitting_calls(open_calls, 500).collect()}
+    rest, want = 9000, set()
+    for cid, _, est, _, charge, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if est < rest:
+            want.add(cid)
+            rest -= charge
+    assert fit == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_map_of_a_stretch_equals_a_walk_from_every_budget(seed):
+    rng = random.Random(seed)
+    est = np.array([rng.randrange(60) for _ in range(80)])
+    charge = np.array([rng.choice([0, 1, 7, 30, int(e)]) for e in est])
+    made = led.Stretch(90)
+    made.add(est[:33], charge[:33])
+    made.add(est[33:], charge[33:])
+    for start in range(1, 91):
+        rest = start
+        for e, c in zip(est.tolist(), charge.tolist()):
+            rest -= c if e < rest else 0
+        assert start - made.lost[np.searchsorted(made.lo, start, side="right") - 1] == rest
+
+
+GATEWAY = CALLS + ", prompt string, tier string"
+
+
+def replay_gateway(rows, limit, ttl):
+    spent, stored, out = {}, {}, {}
+    for cid, ts, est, tin, tout, status, prompt, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        day, sec = ts // DAY, ts // 10**6
+        if prompt is not None and prompt in stored and sec - stored[prompt] < ttl:
+            out[cid] = (True, "CACHED", 0)
+            continue
+        p = spent.get(day, 0) + est
+        dec = "DENY" if p >= limit else "DEGRADE" if 10 * p >= 7 * limit else "ALLOW"
+        charge = 0 if dec == "DENY" else est if status == "FAILED" else tin + tout
+        spent[day] = spent.get(day, 0) + charge
+        if dec == "DENY" or status != "FAILED":
+            stored[prompt] = sec
+        out[cid] = (False, dec, charge)
+    return out
+
+
+@pytest.mark.parametrize("seed,limit,failed", [(1, 3000, 0.5), (3, 800, 0.9)])
+def test_gateway_matches_call_by_call_replay(spark, seed, limit, failed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(600):
+        est = rng.randrange(1, 200)
+        rows.append((i, rng.randrange(3 * DAY), est, est, rng.randrange(50), "FAILED" if rng.random() < failed else "OK",
+                     None if rng.random() < 0.01 else f"ask {min(int(rng.expovariate(0.02)), 150)}", rng.choice(led.TIERS)))
+    df = spark.createDataFrame(rows, GATEWAY).withColumn("ts", F.timestamp_micros("ts_us"))
+    got = led.gateway(df, {"TINY": "xs", "SMALL": "s", "MEDIUM": "m", "LARGE": "l"}, round(limit * 1e-7, 10), 20_000, stretch_calls=150)
+    got = {r["call_id"]: (r["is_hit"], r["decision"], r["charged"]) for r in got.collect()}
+    want = replay_gateway(rows, limit, 20_000)
+    assert got == want
+    # a denied failing call has stored an answer somewhere
+    assert failed < 0.2 or any(d == "DENY" and rows[i][5] == "FAILED" for i, (_, d, _) in want.items())
 
 
 def test_zero_limit_denies_all(spark):
@@ -92,6 +163,18 @@ def test_fixed_anchor_cache(spark):
     assert all_write == hits_by_hand([(a, b, c, True) for a, b, c, _ in rows], 60)
 
 
+def test_long_lifetime_chains_follow_every_second(spark):
+    rng = random.Random(12)
+    # one key over four hundred lifetimes with silences, one asked at each lifetime's end to the second, one null key
+    rows = [(i, "hot", rng.randrange(40_000 * 10**6) if rng.random() < 0.9 else rng.randrange(3000 * 10**6)) for i in range(6000)]
+    rows += [(10_000 + i, "edge", i * 100 * 10**6 + rng.choice([0, 1, 10**6])) for i in range(300)]
+    rows += [(20_000 + i, None, i * 10**6) for i in range(5)]
+    df = spark.createDataFrame(rows, "event_id bigint, k string, ts_us bigint")
+    got = {r["event_id"]: r["is_hit"] for r in cache_hits(df, "k", 100).collect()}
+    want = hits_by_hand([(a, b, c, True) for a, b, c in rows if b is not None], 100)
+    assert got == want | {20_000 + i: False for i in range(5)}
+
+
 def test_failed_call_charges_its_estimate(spark):
     out = led.call_costs(frame(spark, [(1, 0, 100, 120, 50, "FAILED"), (2, 0, 100, 120, 50, "OK")])).orderBy("call_id").collect()
     assert [r["charged_tokens"] for r in out] == [100, 170] and out[1]["estimation_delta"] == 20 and out[0]["estimation_delta"] is None
