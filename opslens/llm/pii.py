@@ -279,10 +279,11 @@ def report(docs: DataFrame, **how) -> DataFrame:
     got = analyse(docs, **how)
     n = [F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)]
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
+    kinds = F.array(*map(F.lit, KINDS))
     keyed = F.concat(
-        F.transform(base, lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("start"),
-                                             F.lit(0).alias("rank"), x.alias("span"))),
-        F.transform("extra", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("rank"), F.concat_ws(
+        F.transform(base, lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("start"), F.array_position(
+            kinds, F.split(x, ":")[0]).cast("int").alias("rank"), x.alias("span"))),
+        F.transform("extra", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) + 1).alias("rank"), F.concat_ws(
             ":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")).alias("span"))))
     spans = F.array_join(F.transform(F.sort_array(F.array_distinct(keyed)), lambda x: x["span"]), ",")
     return got.select("doc_id", *n, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"),

@@ -52,6 +52,15 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert clean.columns == documents(spark, rows).columns and len(texts) == len(rows)
 
 
+def test_spans_of_one_start_go_by_kind(spark):
+    rows = [(1, "4111111111111111@x.com and 10.0.0.1@y.org, +1 555 0100 99 4111-1111-1111-1111"), (2, "1.2.3.4@a.bc 4012888888881881@z.de")]
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, rows)).collect()}
+    for i, text in rows:
+        said = ",".join(f"{RULES[k][0]}:{a}:{b}" for a, k, b in plain_spans(text))
+        assert got[i]["spans"] == said and got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[1]["spans"].startswith("email:0:22,card:0:16")
+
+
 def test_terms_of_recurring_parts_are_found(spark):
     rnd = random.Random(4)
     # each address occurs once; its domain and the name in it recur, with a firm beside the one and a nickname beside
