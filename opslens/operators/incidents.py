@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions import ids
 from opslens.operators.detect import Thresholds, evidence
 from opslens.sources.envelopes import TICKETS_SCHEMA, to_envelope
+from opslens.sources.snapshots import Snapshot
+from opslens.sources.tables import DEFAULT_BUCKETS
 
 # States on incidents, tickets and audit rows.
 OPEN, PENDING = "OPEN", "PENDING"
@@ -123,3 +127,16 @@ def upsert_incidents(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing rows untouched, new ids appended."""
     fresh = new.join(existing.select("incident_id"), "incident_id", "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
+
+
+def store_tickets(spark: SparkSession, path: str, new: DataFrame, epoch: int | None = None, buckets: int = DEFAULT_BUCKETS,
+                  before_swap: Callable[[], None] | None = None) -> bool:
+    """Insert new incidents, each with its ticket in one row, into the table at ``path``; rows that are there stay.
+
+    Incident and ticket become visible together and with all others of the batch, or not at all; a batch whose epoch is
+    stored already changes nothing. The result tells whether something was written.
+    """
+    tickets = stub_tickets(new)
+    rows = new.join(tickets.select("incident_id", F.struct(*tickets.columns).alias("ticket")), "incident_id")
+    merge = lambda old, batch: batch if old is None else upsert_incidents(batch, old)
+    return Snapshot(spark, path, ["incident_id"], buckets).upsert(rows, merge, epoch, before_swap)

@@ -52,6 +52,30 @@ def latency_percentiles(df: DataFrame, value: str, keys: Sequence[str], ps: Sequ
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *[p(q).alias(f"p{round(q * 100)}") for q in ps])
 
 
+def latency_sketches(df: DataFrame, value: str, keys: Sequence[str], ts_us: str = "ts_us", seconds: int = 60, size: int = 800) -> DataFrame:
+    """One quantile sketch of whole numbers per key and slot of time, to be stored; its size does not grow with the rows."""
+    slot = (F.floor(F.col(ts_us) / (seconds * 1_000_000)) * seconds).cast("bigint").alias("slot_s")
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, slot).agg(F.kll_sketch_agg_bigint(value, size).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, keys: Sequence[str], ps: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Percentiles per key over any range of stored slots. A rank is off by about 1/size of the rows."""
+    one = sketches.groupBy(*keys).agg(F.kll_merge_agg_bigint("sketch").alias("_all"))
+    return one.select(*keys, F.kll_sketch_get_n_bigint("_all").alias("cnt"),
+                      *[F.kll_sketch_get_quantile_bigint("_all", F.lit(q)).alias(f"p{round(q * 100)}") for q in ps])
+
+
+def distinct_sketches(df: DataFrame, value: str, keys: Sequence[str], ts_us: str = "ts_us", seconds: int = 3600, bits: int = 14) -> DataFrame:
+    """One distinct-count sketch per key and slot of time, to be stored."""
+    slot = (F.floor(F.col(ts_us) / (seconds * 1_000_000)) * seconds).cast("bigint").alias("slot_s")
+    return df.groupBy(*keys, slot).agg(F.hll_sketch_agg(value, F.lit(bits)).alias("sketch"), F.count(value).alias("rows"))
+
+
+def merged_distinct(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows and estimated distinct values per key over any range of stored slots."""
+    return sketches.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_est"))
+
+
 def anomaly_counts(detected: DataFrame) -> DataFrame:
     """Reports by type, severity and whole-number bucket of the absolute score."""
     r = detected.filter(F.col("anomaly_type").isNotNull())

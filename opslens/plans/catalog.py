@@ -20,14 +20,17 @@ from opslens.operators import windows as win
 from opslens.operators.detect import Thresholds, detect, detect_windows
 from opslens.plans import views as v
 from opslens.sources import envelopes as env
-from opslens.session import cut_lineage
+from opslens.session import cut_lineage, scratch
 from opslens.sources import logs as src
+from opslens.sources.snapshots import Snapshot
+from opslens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CALL_LIMIT = 0.002
 GATEWAY_LIMIT = 0.0005
 MODELS = {"TINY": "model-xs", "SMALL": "model-s", "MEDIUM": "model-m", "LARGE": "model-l"}
+SKETCH_ERROR = 0.01  # of the rows; a sketch of 800 stays well under it
 HALF = 1705363200000000  # 2024-01-16, splits stored state from the batch at hand
 COLD_RULES = Thresholds(cold_spike=15, cold_rate_errors=20)
 NEW_RULES = Thresholds(new_count=1)
@@ -402,12 +405,80 @@ def ticket_upsert(s, d):
     return inc.upsert_incidents(new, old).select("incident_id", "event_id", "status", "severity")
 
 
+@query
+def stored_tickets(s, d):
+    """Two batches of incidents through the stored table, the second one twice, and what a reader finds then."""
+    path = scratch(s, "tickets")
+    found = _hourly_once(s, d)
+    for epoch, half in enumerate((c("ts_us") < HALF, c("ts_us") >= HALF, c("ts_us") >= HALF)):
+        inc.store_tickets(s, path, inc.open_incidents(found.filter(half)), min(epoch, 1), buckets=16)
+    return Snapshot(s, path, ["incident_id"], 16).read().select(
+        "incident_id", "event_id", "severity", "ticket.ticket_id", "ticket.title", "ticket.status")
+
+
 @query
 def event_audit(s, d):
     found = _hourly_once(s, d)
     return inc.audit_rows(found, inc.open_incidents(found)).select("event_id", "execution_id", "run_key", "status", us("started_at").alias("started_us"))
 
 
+# --- streams: the table's files arrive as a stream, and the sink is read when it has run dry -------
+
+
+def _run(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+_ONCE = {"availableNow": True}
+
+
+@query
+def stream_window_counts(s, d):
+    """Window counts in complete mode, the table replaced with every batch."""
+    at = scratch(s, "stream-counts")
+    counts = jobs.stream_counts(v.event_keys(s, d, v.arriving(s, d, "events")))
+    _run(counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/ck").trigger(**_ONCE).foreachBatch(
+        lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out")).start())
+    return s.read.parquet(f"{at}/out")
+
+
+@query
+def stream_detections(s, d):
+    at = scratch(s, "stream-detect")
+    _run(jobs.start_detect(v.event_keys(s, d, v.arriving(s, d, "events")), f"{at}/state", f"{at}/ck", window_s=3600, n=168, trigger=_ONCE))
+    return _report(s.read.parquet(f"{at}/state/detections"))
+
+
+@query
+def stream_preprocess(s, d):
+    """Envelopes in; messages and dead letters out, each from its own sink."""
+    at = scratch(s, "stream-preprocess")
+    decoded = env.decode(v.records(s, d, v.arriving(s, d, "events")))
+    _run(jobs.start_preprocess(decoded, ("parquet", {"path": f"{at}/good"}), ("parquet", {"path": f"{at}/dead"}), f"{at}/ck", _ONCE))
+    dead = s.read.option("recursiveFileLookup", "true").parquet(f"{at}/dead")
+    good = s.read.option("recursiveFileLookup", "true").parquet(f"{at}/good")
+    body = F.from_json(c("value").cast("string"), "messageId string, tenantId string, payload struct<service string, level string, message string>")
+    cls = F.decode(F.map_from_entries("headers")["x-error-class"], "UTF-8")
+    return dead.select(lit("dead").alias("sink"), c("value").cast("string").alias("body"), cls.alias("detail")).unionByName(
+        good.select(body.alias("b")).select(lit("good").alias("sink"), F.concat_ws("|", "b.messageId", "b.tenantId", "b.payload.service", "b.payload.level").alias("body"),
+                                            c("b.payload.message").alias("detail")))
+
+
+@query
+def stream_cache_hits(s, d):
+    """Embedding requests against the cache, the last write of each text kept as keyed state."""
+    at = scratch(s, "stream-cache")
+    r = v.embed_requests(s, d, v.arriving(s, d, "documents")).filter("text IS NOT NULL").select(
+        "seq", text.content_hash(c("text")).alias("content_hash"), F.timestamp_micros("ts_us").alias("at"))
+    hits = jobs.cache_hit_stream(r, "content_hash", emb.EMBED_TTL_SECONDS, "at", "seq")
+    with jobs.keyed_state(s):
+        q = hits.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/ck").trigger(**_ONCE).start(f"{at}/out")
+    _run(q)
+    return s.read.parquet(f"{at}/out").select("seq", "content_hash", "is_hit")
+
+
 # --- retrieval -----------------------------------------------------------------------------------
 
 
@@ -789,6 +860,28 @@ def latency_percentiles(s, d):
     return out.select("event_type", "cnt", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
+@query
+def latency_sketches(s, d):
+    """Percentiles from sketches stored by the minute, held against all rows: their ranks lie within the bound."""
+    e = v.table(s, d, "events").select("event_type", F.unix_micros(c("ts").cast("timestamp")).alias("ts_us"), F.round(c("value") * 100).cast("bigint").alias("ms"))
+    got = met.merged_percentiles(met.latency_sketches(e, "ms", ["event_type"]), ["event_type"])
+    got = got.select("event_type", "cnt", F.explode(F.create_map(*[x for q in (50, 95, 99) for x in (lit(q), c(f"p{q}"))])).alias("p", "est"))
+    # the share of rows under the estimate and up to it has the wanted share between them
+    ranks = e.join(got, "event_type").groupBy("event_type", "cnt", "p").agg(
+        F.avg((c("ms") < c("est")).cast("double")).alias("under"), F.avg((c("ms") <= c("est")).cast("double")).alias("upto"))
+    return ranks.select("event_type", "cnt", big(c("p")).alias("p"), (
+        (c("under") <= c("p") / 100 + SKETCH_ERROR) & (c("upto") >= c("p") / 100 - SKETCH_ERROR)).alias("within"))
+
+
+@query
+def distinct_text_sketches(s, d):
+    """Distinct texts from sketches stored by the hour, held against the exact number."""
+    r = v.embed_requests(s, d)
+    est = met.merged_distinct(met.distinct_sketches(r, "text", ["corpus"]), ["corpus"])
+    exact = r.groupBy("corpus", "text").agg(lit(1).alias("one")).groupBy("corpus").agg(F.count("text").alias("texts"))
+    return est.join(exact, "corpus").select(F.upper("corpus").alias("corpus"), "rows", "texts", (F.abs(c("distinct_est") / c("texts") - 1) <= 0.05).alias("within"))
+
+
 @query
 def anomaly_counts(s, d):
     return met.anomaly_counts(_hourly(s, d))

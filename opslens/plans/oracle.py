@@ -209,6 +209,11 @@ _DET_OUT = """SELECT event_id, service, fingerprint, window_id, is_cold, fp_coun
 _HOURLY = f"{_KEYS}, {_detect('ek', 3600, 168)}"
 SQL["detect_anomalies"] = f"WITH {_PARSED}, {_detect('parsed', 300, 288)} {_DET_OUT}"
 SQL["detect_anomalies_hourly"] = f"WITH {_HOURLY} {_DET_OUT}"
+SQL["stream_detections"] = SQL["detect_anomalies_hourly"]
+SQL["stream_window_counts"] = f"WITH {_KEYS} SELECT service, fingerprint, us // 300000000 AS window_id, count(*) AS cnt FROM ek GROUP BY ALL"
+SQL["stream_preprocess"] = f"""WITH {_RECORDS} SELECT 'dead' AS sink, value AS body, CASE event_id % 10 WHEN 0 THEN 'MalformedJson' WHEN 1 THEN 'MissingPayload' ELSE 'MissingField' END AS detail
+  FROM rec WHERE event_id % 10 < 3 UNION ALL SELECT 'good', concat_ws('|', 'm-' || event_id, CASE event_id % 10 WHEN 4 THEN '7' ELSE 'tenant-' || (user_id % 4) END, key,
+    CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END), event_type || ' ' || event_id FROM rec WHERE event_id % 10 >= 3"""
 SQL["detect_cold"] = f"WITH {_KEYS}, {_detect('ek', 86400, 30, cold_spike=15, cold_err=20)} {_DET_OUT} WHERE is_cold AND rule > 0"
 SQL["detect_spikes"] = f"WITH {_HOURLY} {_DET_OUT} WHERE NOT is_cold AND anomaly_type = 'SPIKE'"
 SQL["detect_rate_jumps"] = f"WITH {_HOURLY} {_DET_OUT} WHERE NOT is_cold AND anomaly_type = 'RATE_JUMP'"
@@ -234,6 +239,8 @@ SQL["envelope_tickets"] = f"""WITH {_HOURLY}, {_INC} SELECT incident_id AS key,
 SQL["ticket_upsert"] = f"""WITH {_HOURLY}, a AS (SELECT *, us < 1705363200000000 AS old FROM det WHERE rule > 0),
   f AS (SELECT *, {_incident('fingerprint', 'anomaly_type')} AS incident_id FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY fingerprint, anomaly_type ORDER BY us, event_id) = 1))
   SELECT incident_id, event_id, CASE WHEN old THEN 'CLOSED' ELSE 'OPEN' END AS status, CASE WHEN score > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM f"""
+SQL["stored_tickets"] = f"""WITH {_HOURLY}, {_INC} SELECT {_incident('fingerprint', 'anomaly_type')} AS incident_id, event_id, CASE WHEN score > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  {_uuid3(f"'ticket:' || {_incident('fingerprint', 'anomaly_type')}")} AS ticket_id, 'Anomaly Detected: ' || anomaly_type || ' in ' || service AS title, 'PENDING' AS status FROM inc"""
 SQL["event_audit"] = f"""WITH {_HOURLY}, {_INC}, k AS (SELECT DISTINCT fingerprint, anomaly_type, {_incident('fingerprint', 'anomaly_type')} AS iid FROM det WHERE rule > 0)
   SELECT d.event_id, {_uuid3("'run:' || d.event_id")} AS execution_id, coalesce(k.iid, {_uuid3("'run:' || d.event_id")}) AS run_key,
     CASE WHEN i.event_id IS NOT NULL THEN 'TICKETED' ELSE 'DISCARDED' END AS status, d.us AS started_us
@@ -328,6 +335,7 @@ def _chain(src: str, key: str, ttl: int, where: str = "true") -> str:
 SQL["embed_batch_dedup"] = f"""WITH {_REQ} SELECT seq // 32 AS batch_id, h AS content_hash, count(*) AS n_requests, min(seq) AS first_seq, any_value(text) AS text FROM req GROUP BY ALL"""
 SQL["embed_cache_hits"] = f"""WITH RECURSIVE {_REQ}, {_chain('req', 'h', 604800)}, w AS (SELECT h, sec, min(seq) AS seq FROM req JOIN ch ON ch.k = h AND ch.a = sec GROUP BY h, sec)
   SELECT req.seq, req.h AS content_hash, w.seq IS NULL AS is_hit FROM req LEFT JOIN w ON w.seq = req.seq"""
+SQL["stream_cache_hits"] = SQL["embed_cache_hits"]
 SQL["embed_savings"] = f"""WITH RECURSIVE {_REQ}, {_chain('req', 'h', 604800)}, w AS (SELECT DISTINCT k, a FROM ch),
   t AS (SELECT (SELECT count(*) FROM req) AS requests, (SELECT count(DISTINCT h) FROM req) AS distinct_texts, (SELECT count(*) FROM (SELECT DISTINCT seq // 32, h FROM req)) AS batch_texts,
     (SELECT count(*) FROM w) AS model_calls) SELECT *, 1.0::DOUBLE - model_calls::DOUBLE / requests::DOUBLE AS saved_share FROM t"""
@@ -469,6 +477,8 @@ SQL["hourly_cost"] = f"""WITH {_CALLS}, g AS (SELECT sec // 3600 * 3600 AS hour_
   SELECT *, {_PRICE.format('tokens')} AS cost_usd, ({_PRICE.format('tokens')}) / 0.002::DOUBLE AS share_of_cap FROM g"""
 SQL["latency_percentiles"] = """WITH m AS (SELECT event_type, round(value * 100)::BIGINT AS ms FROM events) SELECT event_type, count(*) AS cnt, round(quantile_cont(ms, 0.5), 6) AS p50,
   round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99 FROM m GROUP BY event_type"""
+SQL["latency_sketches"] = """SELECT event_type, count(*) AS cnt, p, true AS within FROM events, (SELECT unnest([50, 95, 99])::BIGINT AS p) GROUP BY event_type, p"""
+SQL["distinct_text_sketches"] = f"""WITH {_REQ} SELECT corpus, count(*) AS rows, count(DISTINCT text) AS texts, true AS within FROM req GROUP BY corpus"""
 SQL["anomaly_counts"] = f"""WITH {_HOURLY} SELECT anomaly_type, CASE WHEN score > 5 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, floor(abs(score))::BIGINT AS score_bucket, count(*) AS cnt FROM det WHERE rule > 0 GROUP BY ALL"""
 _DLQ = """dl AS (SELECT CASE event_type WHEN 'click' THEN 'logs.preprocessed.dlq' WHEN 'purchase' THEN 'tickets.new.dlq' ELSE 'logs.raw.dlq' END AS topic, event_id % 3 AS "partition",
   event_id // 3 AS "offset", 'k' || user_id AS key, props AS value FROM events)"""

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. The pattern lets it be one file or a folder of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as log entries: every fifth row is bare text, the rest Java log lines."""
     return table(spark, sf_dir, "events").selectExpr(
@@ -45,9 +51,9 @@ def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess(logs(spark, sf_dir))
 
 
-def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_keys(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """The five columns the detector reads, with the event kind as fingerprint: no text work."""
-    return table(spark, sf_dir, "events").select(
+    return (table(spark, sf_dir, "events") if events is None else events).select(
         "event_id",
         F.expr("concat('svc-', user_id % 3)").alias("service"),
         F.col("event_type").alias("fingerprint"),
@@ -66,9 +72,9 @@ def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """``events`` as topic records: sound envelopes, broken JSON, and envelopes that break one rule each."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return (table(spark, sf_dir, "events") if events is None else events).selectExpr(
         "concat('svc-', user_id % 3) AS key",
         """CASE event_id % 10
              WHEN 0 THEN concat('{not-valid-json ', event_id)
@@ -124,9 +130,9 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embed_requests(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """``documents`` as embedding requests, one an hour."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return (table(spark, sf_dir, "documents") if documents is None else documents).selectExpr(
         "doc_id AS seq", "text", "CASE doc_id % 3 WHEN 0 THEN 'LOGS' WHEN 1 THEN 'code' ELSE 'INCIDENTS' END AS corpus",
         """CASE doc_id % 3 WHEN 2 THEN concat('inc-', doc_id % 50) ELSE CASE WHEN doc_id % 2 = 0 THEN source END END AS content_id""",
         """map('repo', source, 'git_sha', lang, 'file_path', concat('f', doc_id % 7),

@@ -7,11 +7,15 @@ restart from the checkpoint repeats nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from opslens.functions.text import WINDOW_SECONDS, epoch_us
 from opslens.operators import incidents as inc
@@ -55,6 +59,75 @@ def dedupe_stream(sdf: DataFrame, key: str, ttl: str = "7 days", ts: str = "occu
     return sdf.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
+class Lifetimes(StatefulProcessor):
+    """Hit or miss of every request of a key under a fixed-anchor lifetime.
+
+    The state of a key is the second of its last write. It is dropped by a timer once the watermark has passed its
+    lifetime, so what is kept is the keys of one lifetime, however long the stream runs.
+    """
+
+    def __init__(self, ttl_s: int, sec: str, row_id: str):
+        self.ttl_s, self.sec, self.row_id = ttl_s, sec, row_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", "sec long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(rows).sort_values(["us__", self.row_id], kind="stable")
+        secs, writes = rows[self.sec].to_numpy(), rows["writes__"].to_numpy()
+        anchor = int(self.anchor.get()[0]) if self.anchor.exists() else None
+        before, hit, i = anchor, np.zeros(len(rows), bool), 0
+        while i < len(rows):
+            if anchor is not None and secs[i] - anchor < self.ttl_s:
+                j = int(np.searchsorted(secs, anchor + self.ttl_s, side="left"))
+                hit[i:j] = True
+                i = j
+                continue
+            more = np.flatnonzero(writes[i:])
+            if not len(more):
+                break
+            i += int(more[0])
+            anchor, i = int(secs[i]), i + 1
+        if anchor is not None and anchor != before:
+            if before is not None:
+                self.handle.deleteTimer((before + self.ttl_s) * 1000)
+            self.anchor.update((anchor,))
+            self.handle.registerTimer((anchor + self.ttl_s) * 1000)
+        yield rows.drop(columns=["us__", "writes__", self.sec]).assign(is_hit=hit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.anchor.clear()
+        return iter([])
+
+
+def cache_hit_stream(sdf: DataFrame, key: str, ttl_s: int, ts: str = "occurred_at", row_id: str = "event_id",
+                     writes: Column | None = None, watermark: str = COUNT_WATERMARK) -> DataFrame:
+    """A stream of requests plus ``is_hit``, as ``cache_hits`` has it for a table whose rows come in time order.
+
+    ``writes`` tells which requests store their answer on a miss (default all). Rows of null keys are left out. Within a
+    batch rows count in time order; a row that comes in a later batch than a write is a hit of it while the entry lives.
+    Start it with ``keyed_state`` around ``start``.
+    """
+    # tasks get rows as named tuples, whose names may not begin with an underscore
+    src = sdf.filter(F.col(key).isNotNull()).withWatermark(ts, watermark).withColumn("us__", epoch_us(F.col(ts)))
+    src = src.withColumn("sec__", int_div(F.col("us__"), 1_000_000)).withColumn("writes__", F.lit(True) if writes is None else F.coalesce(writes, F.lit(False)))
+    out = T.StructType([*sdf.schema.fields, T.StructField("is_hit", T.BooleanType())])
+    return src.groupBy(key).transformWithStateInPandas(Lifetimes(ttl_s, "sec__", row_id), out, "append", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the embedded key-value store, which state with timers needs."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows the watermark dropped, over the progress reports still held."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])

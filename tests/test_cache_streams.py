@@ -1,0 +1,26 @@
+import random
+from datetime import datetime, timedelta
+from pyspark.sql import functions as F
+from opslens.operators.ttl import cache_hits
+from opslens.streaming import jobs
+
+def test_cache_stream_equals_batch(spark, tmp_path):
+    rnd = random.Random(3)
+    t0 = datetime(2026, 5, 1)
+    rows = sorted((t0 + timedelta(seconds=rnd.randrange(400_000)), i, "hot" if rnd.random() < .4 else f"k{rnd.randrange(30)}", rnd.random() < .7) for i in range(2500))
+    cols = "event_id bigint, k string, ok boolean, occurred_at timestamp"
+    rows = [(i, k, ok, t) for t, i, k, ok in rows]
+    src = str(tmp_path / "src")
+    for a in range(0, 2500, 500):
+        spark.createDataFrame(rows[a:a + 500], cols).coalesce(1).write.mode("append").parquet(src)
+    out, got = str(tmp_path / "out"), []
+    for _ in range(2):
+        s = jobs.cache_hit_stream(spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(src), "k", 3600, writes=F.col("ok"), watermark="1 hour")
+        with jobs.keyed_state(spark):
+            q = s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start(out)
+        q.awaitTermination(200)
+        assert q.exception() is None
+    got = {r["event_id"]: r["is_hit"] for r in spark.read.parquet(out).collect()}
+    batch = spark.createDataFrame(rows, cols).withColumn("ts_us", F.unix_micros("occurred_at"))
+    want = {r["event_id"]: r["is_hit"] for r in cache_hits(batch, "k", 3600, writes=F.col("ok")).collect()}
+    assert got == want
