@@ -1,7 +1,7 @@
 """Hybrid retrieval: exact vector top-k, trigram top-k, reciprocal rank fusion.
 
-Queries go out in waves, blocks of checked size; the corpus is scanned where it lies, once for each wave,
-and never shuffled. Each task keeps the best ``k`` per query over all its batches, so what leaves a task is
+Queries go out in waves, blocks of checked size; the corpus is scanned where it lies, once for each wave
+(trigram search spreads one of fewer splits than cores first). Each task keeps the best ``k`` per query over all its batches, so what leaves a task is
 ``k`` rows per query, never a pair per corpus row. A query set of any size takes this one way.
 """
 
@@ -174,14 +174,15 @@ def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str |
             own = c.withColumn("feature", F.transform(F.array("feature"), lambda x: F.when(fits(x), x))[0])
         return own.mapInArrow(scan, out_schema)
 
-    partial = None
+    # each wave's rows, k per query and task, are written once; a lone wave is not written at all
+    done, last = [], None
     for wave in _waves(q, wave_rows or WAVE_ROWS, WAVE_BYTES):
-        if partial is None:
-            partial = one(wave)
-        else:  # k rows per query and task of every wave so far are written down
-            partial = cut_lineage(partial.unionByName(one(wave)))
-    if partial is None:
-        partial = spark.createDataFrame([], out_schema)
+        if last is not None:
+            done.append(cut_lineage(last))
+        last = one(wave)
+    partial = spark.createDataFrame([], out_schema) if last is None else cut_lineage(last) if done else last
+    for rows in done:
+        partial = partial.unionByName(rows)
 
     # two cuts: the first spreads a query's partial lists over several tasks
     order = [F.col("score").asc(), F.col("id").asc()]

@@ -15,6 +15,7 @@ from opslens.operators import embed as emb
 from opslens.operators import incidents as inc
 from opslens.operators import ledger as led
 from opslens.operators import metrics as met
+from opslens.operators import postings as post
 from opslens.operators import retrieve as ret
 from opslens.operators import windows as win
 from opslens.operators.detect import Thresholds, detect, detect_windows
@@ -460,7 +461,7 @@ def stream_preprocess(s, d):
     dead = s.read.option("recursiveFileLookup", "true").parquet(f"{at}/dead")
     good = s.read.option("recursiveFileLookup", "true").parquet(f"{at}/good")
     body = F.from_json(c("value").cast("string"), "messageId string, tenantId string, payload struct<service string, level string, message string>")
-    cls = F.decode(F.map_from_entries("headers")["x-error-class"], "UTF-8")
+    cls = F.map_from_entries(F.from_json("headers", "array<struct<key string, value string>>"))["x-error-class"]
     return dead.select(lit("dead").alias("sink"), c("value").cast("string").alias("body"), cls.alias("detail")).unionByName(
         good.select(body.alias("b")).select(lit("good").alias("sink"), F.concat_ws("|", "b.messageId", "b.tenantId", "b.payload.service", "b.payload.level").alias("body"),
                                             c("b.payload.message").alias("detail")))
@@ -496,6 +497,16 @@ def lexical_topk(s, d):
     return ret.lexical_topk(q, docs, k=10).select("query_id", "id", "similarity", big(c("rnk")).alias("rnk"))
 
 
+@query
+def lexical_postings(s, d):
+    """The same search over a stored index of rare trigrams."""
+    at = scratch(s, "postings")
+    docs = v.table(s, d, "documents").select(c("doc_id").alias("id"), c("text").alias("content"))
+    post.store(post.build(docs), at)
+    q = v.table(s, d, "benchmark").select(c("item_id").alias("query_id"), "text")
+    return post.search(post.load(s, at), q, k=10).select("query_id", "id", "similarity", big(c("rnk")).alias("rnk"))
+
+
 @query
 def vector_neighbours(s, d):
     """Every vector as a query, in several waves."""

@@ -52,6 +52,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions before costly work on each row, where the input has fewer files than there are cores."""
+    """More partitions before costly work on each row, where the input has fewer splits than there are cores.
+
+    Such an input is at most ``spark.sql.files.maxPartitionBytes`` a core; a larger one is left where it lies. The
+    splits are counted by the planner, no file name comes to Python.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
+    return df.repartition(n) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < n else df

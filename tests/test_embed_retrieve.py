@@ -1,9 +1,11 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opslens.functions.kernels import fake_vectors, java_hash
 from opslens.operators import embed as emb
+from opslens.operators import postings
 from opslens.operators import retrieve as ret
 
 REQ = "seq bigint, corpus string, content_id string, text string, metadata map<string,string>"
@@ -196,3 +198,26 @@ def test_missing_vectors_rank_last(spark):
     c = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 0.0])], "id bigint, vector array<float>").coalesce(1)
     assert [r["id"] for r in ret.vector_topk(q, c, 4).orderBy("rnk").collect()] == [4, 3, 1, 2]
     assert [r["id"] for r in ret.vector_topk(q, c, 2).orderBy("rnk").collect()] == [4, 3]
+
+
+def test_postings_equal_the_scan_and_touch_few_rows(spark, tmp_path):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(i, line(rnd.randrange(1, 12)), "ab"[i % 2]) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " " + line(2), "a") for i in range(40)] + [(2000, None, "a"), (2001, "", "b"), (2002, "é!", None), (2003, "x y", "a")]
+    asked = [(i, rows[i * 7][1], "ab"[i % 2]) for i in range(30)] + [(90, "", "a"), (91, None, "b"), (92, "é", None), (93, "zzzzz qqqqq", "a"), (94, "x", "a")]
+    corpus = spark.createDataFrame(rows, "id bigint, content string, repo string")
+    queries = spark.createDataFrame(asked, "query_id bigint, text string, repo string")
+    for by in (None, "repo"):
+        made = postings.build(corpus, by=by, heavy=25)
+        postings.store(made, str(tmp_path / f"p{by}"), 4)
+        index = postings.load(spark, str(tmp_path / f"p{by}"))
+        got = {(r["query_id"], r["rnk"]): (r["id"], r["similarity"]) for r in postings.search(index, queries, 6, by).collect()}
+        mine = queries.filter("repo IS NOT NULL") if by else queries
+        want = {(r["query_id"], r["rnk"]): (r["id"], r["similarity"]) for r in ret.lexical_topk(mine, corpus, 6, by=by).collect()}
+        got = {k: x for k, x in got.items() if not by or k[0] != 92}
+        assert got == want and len(want) > 40
+    # the pairs that meet are a small part of all, and the trigram of most rows lies in several parts
+    assert postings.candidates(index, queries, "repo").count() < 0.2 * len(rows) * len(asked)
+    assert index.grams.agg({"parts": "max"}).first()[0] > 1
