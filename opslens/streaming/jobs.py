@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from opslens.functions.text import WINDOW_SECONDS, epoch_us
 from opslens.operators import incidents as inc
@@ -128,6 +128,78 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def first_seen_stream(sdf: DataFrame, idle_s: int = IDLE_RESET_SECONDS, watermark: str = COUNT_WATERMARK) -> DataFrame:
+    """Stretches of a (service, fingerprint) that never falls silent for ``idle_s``, each once the watermark has closed it.
+
+    The columns of ``first_seen``; a row that follows the one before by exactly ``idle_s`` begins a new stretch. Rows of
+    a task meet before the shuffle where ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is set.
+    """
+    at = F.col("occurred_at")
+    gap = f"{idle_s * 1_000_000 - 1} microseconds"  # a session also takes in a row at its very end
+    by = sdf.withWatermark("occurred_at", watermark).groupBy(F.session_window(at, gap), "service", "fingerprint")
+    return by.agg(F.min(epoch_us(at)).alias("first_seen_us"), F.max(epoch_us(at)).alias("last_seen_us"), F.count(F.lit(1)).alias("cnt")).drop("session_window")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps what batches report: rows in, rows the watermark dropped, and observed counts.
+
+    One small file a batch, in a folder named by query and batch, so that a repeated batch replaces its own report. It
+    listens to all queries of the session until ``close``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.streams.addListener(self)
+
+    def close(self) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = [("input", "rows", int(p.numInputRows)), ("watermark", "dropped", sum(int(o.numRowsDroppedByWatermark) for o in p.stateOperators))]
+        rows += [(name, k, int(n)) for name, got in p.observedMetrics.items() for k, n in got.asDict().items()]
+        found = [(str(p.id), p.name, int(p.batchId), *r) for r in rows]
+        self.spark.createDataFrame(found, "query string, query_name string, batch long, source string, name string, n long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{self.path}/{p.id}/{p.batchId}")
+
+    def reports(self) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(self.path)
+
+
+def start_late_split(sdf: DataFrame, state: str, checkpoint: str, delay_s: int, trigger: dict | None = None) -> StreamingQuery:
+    """Rows on time and late rows, kept apart as rows: ``on_time``, ``late`` under ``state``, a folder for each epoch.
+
+    A row is late if it lies more than ``delay_s`` behind the newest time of the batches before, which is where a
+    watermark of that delay stands. The newest time is carried in ``mark``, so a replayed batch is split as before.
+    """
+    spark = sdf.sparkSession
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        mark = spark.read.parquet(f"{state}/mark/epoch={epoch - 1}").first()[0] if epoch else None
+        batch = batch.persist()
+        try:
+            us = epoch_us(F.col("occurred_at"))
+            is_late = F.lit(False) if mark is None else F.coalesce(us < mark - delay_s * 1_000_000, F.lit(False))
+            _put(batch.filter(~is_late), f"{state}/on_time", epoch)
+            _put(batch.filter(is_late), f"{state}/late", epoch)
+            newest = batch.agg(F.max(us).alias("us"))
+            _put(newest.select(F.greatest("us", F.lit(mark).cast("bigint")).alias("us")), f"{state}/mark", epoch)
+        finally:
+            batch.unpersist()
+
+    w = sdf.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows the watermark dropped, over the progress reports still held."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
@@ -167,7 +239,9 @@ def start_preprocess(decoded: DataFrame, good_sink: tuple[str, dict], dlq_sink:
             fmt, options, mode = _replayable(sink, epoch)
             write_envelopes(rows, fmt, options, mode=mode)
 
-    w = decoded.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
+    # counted while the batch runs; a ProgressLog keeps the counts
+    seen = decoded.observe("preprocess", F.count(F.lit(1)).alias("records"), F.count("decode_error").alias("undecoded"))
+    w = seen.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
 
 
