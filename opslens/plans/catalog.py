@@ -553,6 +553,16 @@ def anomaly_context(s, d):
     return out.select("incident_id", "id", "score", big(c("rnk")).alias("rnk"))
 
 
+@query
+def anomaly_context_templates(s, d):
+    """The same, asked by the normalised message of the opening event; views have none and are asked by fingerprint."""
+    i = inc.open_incidents(_hourly(s, d)).join(v.preprocessed(s, d).select("event_id", "template"), "event_id")
+    i = i.withColumn("template", F.when(c("fingerprint") != "view", c("template"))).select("incident_id", "service", "fingerprint", "template")
+    embedder = lambda q: emb.embed(q, "text", fake_vectors, 64, "vector")
+    out = ret.anomaly_context(i, v.code_corpus(s, d), embedder, top_k=10)
+    return out.select("incident_id", "id", "score", big(c("rnk")).alias("rnk"))
+
+
 # --- embedding -----------------------------------------------------------------------------------
 
 def _poll() -> Column:

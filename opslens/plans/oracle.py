@@ -320,6 +320,11 @@ SQL["anomaly_context"] = f"""WITH RECURSIVE {_HOURLY}, {_INC}, {_CORPUS}, {_CODE
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rnk FROM fu QUALIFY rnk <= 10)
   SELECT incident_id, id, rrf_score AS score, rnk FROM top JOIN inc ON inc.service || '|' || inc.fingerprint = query_id"""
 
+SQL["anomaly_context_templates"] = SQL["anomaly_context"].replace(
+    f"{_INC},", f"{_INC}, {_PARSED}, asked AS (SELECT incident_id, inc.service, CASE WHEN inc.fingerprint = 'view' THEN inc.fingerprint ELSE template END AS q FROM inc JOIN parsed USING (event_id)),", 1).replace(
+    "SELECT DISTINCT service || '|' || fingerprint AS query_id, service, fingerprint AS qtext FROM inc", "SELECT DISTINCT service || '|' || q AS query_id, service, q AS qtext FROM asked").replace(
+    "FROM top JOIN inc ON inc.service || '|' || inc.fingerprint = query_id", "FROM top JOIN asked a ON a.service || '|' || a.q = query_id")
+
 # --- embedding ------------------------------------------------------------------------------------
 
 _REQ = """req AS (SELECT doc_id AS seq, text, sha256(text) AS h, doc_id % 3 AS m, CASE doc_id % 3 WHEN 0 THEN 'LOGS' WHEN 1 THEN 'CODE' ELSE 'INCIDENTS' END AS corpus,
