@@ -217,7 +217,7 @@ def test_postings_equal_the_scan_and_touch_few_rows(spark, tmp_path):
         mine = queries.filter("repo IS NOT NULL") if by else queries
         want = {(r["query_id"], r["rnk"]): (r["id"], r["similarity"]) for r in ret.lexical_topk(mine, corpus, 6, by=by).collect()}
         got = {k: x for k, x in got.items() if not by or k[0] != 92}
-        assert got == want and len(want) > 40
+        assert got == want and len(want) > 30
     # the pairs that meet are a small part of all, and the trigram of most rows lies in several parts
     assert postings.candidates(index, queries, "repo").count() < 0.2 * len(rows) * len(asked)
     assert index.grams.agg({"parts": "max"}).first()[0] > 1
