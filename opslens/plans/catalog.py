@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import ids, prompts, text
 from opslens.functions.kernels import fake_vectors
+from opslens.operators import cells
 from opslens.operators import consensus as cons
 from opslens.operators import embed as emb
 from opslens.operators import incidents as inc
@@ -515,6 +516,16 @@ def vector_neighbours(s, d):
     return out.select("query_id", "id", "distance", big(c("rnk")).alias("rnk"))
 
 
+@query
+def vector_cells(s, d):
+    """Every vector as a query, against vectors stored by cell and shell."""
+    at = scratch(s, "cells")
+    rows = v.table(s, d, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    cells.store(cells.build(rows), at)
+    out = cells.search(cells.load(s, at), rows.withColumnRenamed("id", "query_id"), k=5)
+    return out.select("query_id", "id", "distance", big(c("rnk")).alias("rnk"))
+
+
 @query
 def hybrid_code_search(s, d):
     """A corpus by name, with filters: unknown keys and null values are ignored."""

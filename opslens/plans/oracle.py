@@ -283,6 +283,7 @@ SQL["vector_neighbours"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v
   d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_distance(b.v, a.v), 9) + 0.0 AS distance FROM e a, e b)
   SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rnk FROM d QUALIFY rnk <= 5"""
 SQL["lexical_topk"] = f"""WITH {_grams('documents', 'doc_id', 'text', 'd')}, {_grams('benchmark', 'item_id', 'text', 'q')}, {_lex(10)} SELECT query_id, id, similarity, rnk FROM lr"""
+SQL["vector_cells"] = SQL["vector_neighbours"]
 SQL["lexical_postings"] = SQL["lexical_topk"]
 SQL["rank_fusion"] = f"WITH {_CORPUS}, {_LABELQ}, {_vec('qv', 20)}, {_LABEL_GRAMS}, {_lex(20)}, {_FUSED} SELECT query_id, id, vec_rank, lex_rank, rrf_score FROM fu"
 SQL["hybrid_search"] = f"""WITH {_CORPUS}, {_LABELQ}, {_vec('qv', 50)}, {_LABEL_GRAMS}, {_lex(50)}, {_FUSED},
