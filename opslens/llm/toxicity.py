@@ -4,8 +4,9 @@ A feature is the presence of a character n-gram (lengths 3 to 5, lower case, eve
 blank) in a hashed bucket. Its value is the log-count ratio of the bucket between toxic and other training texts; a
 logistic regression with a ridge penalty weighs these values. Training sees labelled rows outside the held-out fold only:
 ``crc32(doc_id as text) mod 5 = 0`` is held out. At most ``sample_rows`` labelled rows are used (documented bound, rows
-of the least hash of their id); counts, selection and fit all come from them, in bounded arrays. Scoring reads every
-text whole, in blocks, with a table of one number per bucket.
+of the least hash of their id); counts and fit all come from them. The sample stays in the tasks: each pass of the fit
+sends out one number a bucket and sums what comes back. Scoring reads every text whole, in blocks, with a table of one
+number per bucket.
 
 Null and empty texts score as the bias alone; rows without doc_id are scored, and count as held out is null; repeated
 rows are scored alike; ids labelled twice with different marks are left out of training; with no labelled row of both
@@ -25,6 +26,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 LENGTHS = (3, 4, 5)
 BLOCK = 1 << 20
+FIT_TASKS = 8
+STEP_ROWS = 200
 _BLANK = np.array([ord(chr(i)) if chr(i).isalnum() else 32 for i in range(0x3000)], np.uint32)
 
 
@@ -61,80 +64,123 @@ def training_ids(labels: DataFrame, sample_rows: int) -> DataFrame:
     return same.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
-def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, ridge: float, rounds: int, step_rows: int = 1000):
-    """Weights and bias of a ridge logistic regression; row i has the value scale[j] in its columns j.
+def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], point: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss and gradient over the sample at ``point`` (weights, bias last), summed in tasks.
 
-    Adam steps on the whole sample; gradients are summed over groups of ``step_rows`` rows, which bounds what is held.
+    A task sends one array of a number a column; the documents stay where they are.
+    """
+    m = len(scale)
+    block = sample.sparkSession.sparkContext.broadcast((scale * point[:m], point[m]))  # a number a bucket
+
+    def part(batches):
+        (scaled, bias), loss, grad = block.value, 0.0, np.zeros(m + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                b = batch.slice(at, STEP_ROWS)
+                lists = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(1)]
+                size = np.array([len(x) for x in lists])
+                y = b.column(0).to_numpy(zero_copy_only=False).astype(float)
+                cols = np.concatenate(lists)
+                sums = np.concatenate(([0.0], np.cumsum(scaled[cols])))
+                end = np.cumsum(size)
+                z = sums[end] - sums[end - size] + bias
+                share = np.where(y > 0, weigh[1], weigh[0])
+                loss += float((share * (np.logaddexp(0.0, z) - y * z)).sum())
+                g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+                grad[:m] += np.bincount(cols, weights=np.repeat(g, size), minlength=m)
+                grad[m] += g.sum()
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "grad": [grad.astype("<f8").tobytes()]})
+
+    sums = sample.mapInArrow(part, "loss double, grad binary").collect()  # a row a task, FIT_TASKS of them
+    block.unpersist()
+    grad = sum((np.frombuffer(r["grad"], "<f8") for r in sums), np.zeros(m + 1))
+    grad[:m] *= scale
+    return sum(r["loss"] for r in sums), grad
+
+
+def logistic(sample: DataFrame, scale: np.ndarray, counts: np.ndarray, ridge: float, rounds: int, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression over (toxic, cols) rows; a row has the value scale[j] in its
+    columns j, and both classes weigh the same.
+
+    Limited-memory quasi-Newton steps, halved until the loss falls; at most ``rounds`` passes over the sample.
+    """
+    m, weigh = len(scale), (0.5 / counts[0], 0.5 / counts[1])
+
+    def at(point):
+        loss, grad = _passed(sample, scale, weigh, point)
+        grad[:m] += ridge * point[:m]
+        return loss + 0.5 * ridge * float(point[:m] @ point[:m]), grad
+
+    point, pairs, passes, step = np.zeros(m + 1), [], 1, 1.0
+    loss, grad = at(point)
+    while passes < rounds and np.abs(grad).max() > 1e-6:
+        way, told = grad.copy(), []
+        for s, d, r in reversed(pairs):
+            told.append(r * (s @ way))
+            way -= told[-1] * d
+        way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1.0 / max(1.0, np.abs(grad).sum())
+        for (s, d, r), a in zip(pairs, reversed(told)):
+            way += (a - r * (d @ way)) * s
+        slope, step, better = float(grad @ way), 1.0, None
+        while passes < rounds:
+            there = point - step * way
+            new_loss, new_grad = at(there)
+            passes += 1
+            if new_loss <= loss - 1e-4 * step * slope:
+                better = there
+                break
+            step /= 2
+        if better is None:
+            break
+        s, d = better - point, new_grad - grad
+        if s @ d > 1e-12:
+            pairs = [*pairs, (s, d, 1.0 / (s @ d))][-memory:]
+        small = loss - new_loss <= 1e-7 * abs(loss)
+        point, loss, grad = better, new_loss, new_grad
+        if small:
+            break
+    return point[:m], float(point[m])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, least_docs: int = 10,
+          smooth: float = 1.0, ridge: float = 0.03, rounds: int = 60) -> tuple[np.ndarray, float] | None:
+    """(one number per bucket, bias), from a bounded sample of labelled rows; None without rows of both kinds.
+
+    Every bucket that ``least_docs`` rows of the sample hold is a feature. ``least_docs`` and ``ridge`` were chosen on a
+    fold of the training rows.
     """
-    n, m = len(y), len(scale)
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))  # both classes weigh the same
-    groups = []
-    for a in range(0, n, step_rows):
-        part = rows[a:a + step_rows]
-        groups.append((slice(a, a + len(part)), np.concatenate(part).astype(np.int32),
-                       np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])))
-    w, b = np.zeros(m), 0.0
-    mw, mb, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
-    for t in range(1, rounds + 1):
-        gw, gb, scaled = ridge * w, 0.0, scale * w
-        for at, cols, row in groups:
-            z = np.bincount(row, weights=scaled[cols], minlength=at.stop - at.start) + b
-            g = share[at] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at])
-            gw += scale * np.bincount(cols, weights=g[row], minlength=m)
-            gb += g.sum()
-        mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
-        vw, vb = 0.999 * vw + 0.001 * gw * gw, 0.999 * vb + 0.001 * gb * gb
-        step = 0.05 / (1 + t / 50)
-        w -= step * (mw / (1 - 0.9 ** t)) / (np.sqrt(vw / (1 - 0.999 ** t)) + 1e-8)
-        b -= step * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.999 ** t)) + 1e-8)
-    return w, b
-
-
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, features: int = 8_000, least_docs: int = 5,
-          smooth: float = 1.0, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float] | None:
-    """(one number per bucket, bias), from a bounded sample of labelled rows; None without rows of both kinds."""
     ids = cut(training_ids(labels, sample_rows))
     # the sample's ids are at most sample_rows pairs of numbers: a bounded broadcast
     rows = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
 
+    def listed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "cols": pa.array(
+                [present(body.as_py()).astype("<i4").tobytes() for body in batch.column(1)], pa.binary())})
+
+    # each text is read once; the written rows hold at most a number a bucket and are read in every pass
+    sample = cut(rows.repartition(FIT_TASKS).mapInArrow(listed, "toxic int, cols binary"))
+
     def counts(batches):
         got = np.zeros((2, BUCKETS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
-            for body, y in zip(batch.column(1), batch.column(2).to_pylist()):
-                got[y, present(body.as_py())] += 1
+            for y, cols in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got[y, np.frombuffer(cols.as_buffer(), "<i4")] += 1
                 n[y] += 1
         if n.any():
             yield pa.RecordBatch.from_pydict({"n": [n.astype("<i8").tobytes()], "got": [got.astype("<i4").tobytes()]})
 
-    # the sample is bounded, and so are its eight tasks, each with one array of counts
-    rows = rows.repartition(8)
-    sums = rows.mapInArrow(counts, "n binary, got binary").collect()
+    sums = sample.mapInArrow(counts, "n binary, got binary").collect()  # an array of counts a task
     n = sum((np.frombuffer(r["n"], "<i8") for r in sums), np.zeros(2, np.int64))
     got = sum((np.frombuffer(r["got"], "<i4").reshape(2, BUCKETS) for r in sums), np.zeros((2, BUCKETS)))
     if not n.all():
         return None
     ratio = np.log((got[1] + smooth) / (n[1] + 2 * smooth)) - np.log((got[0] + smooth) / (n[0] + 2 * smooth))
-    p = got.sum(0) / n.sum()
-    worth = np.abs(ratio) * np.sqrt(p * (1 - p))
-    worth[got.sum(0) < least_docs] = 0
-    kept = np.sort(np.argsort(-worth, kind="stable")[:features])
-    kept = kept[worth[kept] > 0].astype(np.int64)
-    column = np.full(BUCKETS, -1, np.int32)
-    column[kept] = np.arange(len(kept))
-
-    def chosen(batches):
-        for batch in batches:
-            found = [column[present(body.as_py())] for body in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "cols": [x[x >= 0].astype("<i4").tobytes()
-                                                                                for x in found]})
-
-    sample = rows.mapInArrow(chosen, "toxic int, cols binary").collect()  # at most sample_rows rows
-    w, b = logistic([np.frombuffer(r["cols"], "<i4") for r in sample], ratio[kept],
-                    np.array([r["toxic"] for r in sample], float), ridge, rounds)
-    table = np.zeros(BUCKETS, np.float32)
-    table[kept] = w * ratio[kept]
-    return table, float(b)
+    # a bucket that too few rows hold has the value zero, and so no weight
+    scale = np.where(got.sum(0) >= least_docs, ratio, 0.0)
+    w, b = logistic(sample, scale, n, ridge, rounds)
+    return (w * scale).astype(np.float32), b
 
 
 class Scorer:

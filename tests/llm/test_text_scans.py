@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
+import numpy as np
 from hypothesis import strategies as st
 
 from opslens.llm import licenses, pii, toxicity
@@ -194,6 +196,33 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score(documents(spark, []), model).count() == 0
 
 
+def test_fit_in_tasks_equals_a_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP_ROWS", 7)
+    rng = np.random.default_rng(6)
+    x = rng.random((120, 12)) < 0.3
+    x[5] = False  # a row without any feature
+    y = ((x[:, 0] | x[:, 3]) ^ (rng.random(120) < 0.1)).astype(int)
+    scale = np.append(rng.normal(size=11), 0.0)
+    rows = [(int(b), np.flatnonzero(a).astype("<i4").tobytes()) for a, b in zip(x, y)]
+    sample = spark.createDataFrame(rows, "toxic int, cols binary").repartition(5)
+    counts = np.array([(y == 0).sum(), y.sum()])
+    w, b = toxicity.logistic(sample, scale, counts, 0.03, 200)
+    share, v, c = np.where(y > 0, 0.5 / counts[1], 0.5 / counts[0]), np.zeros(12), 0.0
+    for _ in range(20_000):
+        g = share * (1 / (1 + np.exp(-(x * scale @ v + c))) - y)
+        v, c = v - 0.5 * ((x * scale).T @ g + 0.03 * v), c - 0.5 * g.sum()
+    assert np.abs(w - v).max() < 5e-3 and abs(b - c) < 5e-3 and w[11] == 0
+
+
+def test_a_label_of_many_rows_and_empty_texts_can_be_fitted(spark):
+    rnd = random.Random(5)
+    rows = [(1, f"grumble {prose(rnd, 9)}")] * 300 + [(2, prose(rnd, 9)), (3, ""), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 303 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_buckets_do_not_depend_on_blocks(monkeypatch):
     text = prose(random.Random(8), 3000)
     whole = toxicity.present(text).tolist()
