@@ -8,7 +8,7 @@ from tests.llm.data import awkward, documents, prose
 
 
 def test_every_operator_has_its_query():
-    assert sorted({n.split("_")[0] for n in queries.QUERIES}, key=lambda x: int(x[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert sorted({n.split("_")[0] for n in queries.QUERIES}, key=lambda x: int(x[2:])) == [f"op{i}" for i in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_dedup", "decontamination", "pii", "packing"]
 
