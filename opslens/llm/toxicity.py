@@ -10,7 +10,7 @@ number per bucket.
 
 Null and empty texts score as the bias alone; rows without doc_id are scored, and count as held out is null; repeated
 rows are scored alike; ids labelled twice with different marks are left out of training; with no labelled row of both
-kinds every score is 0.
+kinds, or no bucket that enough of them hold, every score is 0.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def logistic(sample: DataFrame, scale: np.ndarray, counts: np.ndarray, ridge: fl
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, least_docs: int = 10,
           smooth: float = 1.0, ridge: float = 0.03, rounds: int = 60) -> tuple[np.ndarray, float] | None:
-    """(one number per bucket, bias), from a bounded sample of labelled rows; None without rows of both kinds.
+    """(one number per bucket, bias), from a bounded sample of labelled rows; None without rows of both kinds or features.
 
     Every bucket that ``least_docs`` rows of the sample hold is a feature. ``least_docs`` and ``ridge`` were chosen on a
     fold of the training rows.
@@ -177,10 +177,25 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, leas
     if not n.all():
         return None
     ratio = np.log((got[1] + smooth) / (n[1] + 2 * smooth)) - np.log((got[0] + smooth) / (n[0] + 2 * smooth))
-    # a bucket that too few rows hold has the value zero, and so no weight
-    scale = np.where(got.sum(0) >= least_docs, ratio, 0.0)
-    w, b = logistic(sample, scale, n, ridge, rounds)
-    return (w * scale).astype(np.float32), b
+    feature = np.flatnonzero(got.sum(0) >= least_docs)
+    if not len(feature):
+        return None
+    number = np.full(BUCKETS, -1, np.int32)
+    number[feature] = np.arange(len(feature))
+    sent = docs.sparkSession.sparkContext.broadcast(number)  # a number a bucket
+
+    def numbered(batches):
+        for batch in batches:
+            own = [sent.value[np.frombuffer(x.as_buffer(), "<i4")] for x in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "cols": pa.array(
+                [x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())})
+
+    # the passes read, and send, a number a feature instead of one a bucket
+    slim = cut(sample.mapInArrow(numbered, "toxic int, cols binary"))
+    w, b = logistic(slim, ratio[feature], n, ridge, rounds)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[feature] = w * ratio[feature]
+    return weights, b
 
 
 class Scorer:
