@@ -7,12 +7,19 @@ Diagonals are cut into bands of twice that width, overlapping by half, so every
 with enough shared q-grams are kept and their regions aligned inside the band; an alignment within the budget is a
 match. If the bound would fall under one q-gram, q is lowered for the item.
 
+What is looked for depends on an item's length in that form. Under ``exact_under`` characters it must stand word for
+word, between word limits, as so short a text resembles too much within edits. Up to ``segment_chars`` it is looked for
+whole, and by its core, the middle ``core`` of it, in whose own budget it must stand: every quote of the item's middle,
+and so every quote of ``(1 + core) / 2`` of it, is found. A longer item is looked for by segments of that length which
+overlap by half, each with its own budget; an item within its budget as a whole has a segment within its own, and no
+alignment is longer than a segment.
+
 The benchmark is a stated query set: its items pass through the driver in blocks of at most ``block_bytes`` of text, and
 each block is held against all documents in one scan. Documents are never shuffled.
 
-Null and empty texts and items match nothing, nor do items under ``least_chars`` characters; repeated rows match each
-time; several occurrences in a document give the best one (least edits, then first); an item without id has a null
-item_id; an empty table on either side gives no rows.
+Null and empty texts and items match nothing (nor do items under ``least_chars`` characters, if that is set); repeated
+rows match each time; an item found in a document gives one row: the whole item before its parts, then least edits, then
+the first place; an item without id has a null item_id; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +35,10 @@ from opslens.llm.rows import texts
 
 Q = 8
 BITS = 20
-MATCHES = "doc_id long, item_id long, edits int, start long, end long"
+EXACT_UNDER = 40
+CORE = 0.7
+SEGMENT_CHARS = 1000
+MATCHES = "doc_id long, item_id long, edits int, start long, end long, part string"
 _RUN = re.compile(r"[\W_]+")
 
 
@@ -52,9 +62,9 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
 
 
 class Block:
-    """Items with a common q and their q-gram postings."""
+    """Needles with a common q and their q-gram postings; ``items`` are pairs of any name and a text."""
 
-    def __init__(self, items: list[tuple[int | None, str]], q: int, edit_rate: float):
+    def __init__(self, items: list[tuple[object, str]], q: int, edit_rate: float):
         self.q, self.items = q, items
         self.codes = [codes(t) for _, t in items]
         self.size = np.array([len(c) for c in self.codes])
@@ -151,75 +161,123 @@ def align(p: np.ndarray, c: np.ndarray, d0: int, d1: int, budget: int):
     return (int(cost[j]), int(start[j]), int(place[j] + m)) if cost[j] <= budget else None
 
 
-def blocks(benchmark: DataFrame, edit_rate: float, least_chars: int, q: int, block_bytes: int, key: str, text: str):
-    """Blocks of items, at most ``block_bytes`` of text each, streamed to the driver one after another."""
+def blocks(benchmark: DataFrame, least_chars: int, block_bytes: int, key: str, text: str):
+    """Blocks of items, at most ``block_bytes`` of text each (or one longer item), streamed to the driver one after
+    another."""
     held, size = [], 0
     rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text")).where(
-        F.length("text") >= least_chars)
+        "text is not null")
     for r in rows.toLocalIterator():
         t = normal(r["text"])
-        if len(t) < least_chars:
+        if len(t) < max(1, least_chars):
             continue
-        held.append((r["item"], t))
-        size += len(t)
-        if size >= block_bytes:
+        own = len(t.encode("utf-8", "surrogatepass"))
+        if held and size + own > block_bytes:
             yield held
             held, size = [], 0
+        held.append((r["item"], t))
+        size += own
     if held:
         yield held
 
 
-def by_q(items, q: int, edit_rate: float) -> list[Block]:
-    """The items of a block by the largest q <= q that leaves them a bound of at least an eighth of their q-grams."""
+def parts(t: str, exact_under: int, core: float, segment_chars: int) -> list[tuple[str, int, int]]:
+    """(part, first, end): the stretches of an item of ``exact_under`` characters or more that are looked for."""
+    m = len(t)
+    if m > segment_chars:
+        ends = [*range(segment_chars, m, max(1, segment_chars // 2)), m]
+        return [("segment", e - segment_chars, e) for e in ends]
+    cut = int((1 - core) / 2 * m)
+    short = cut < 1 or m - 2 * cut < exact_under
+    return [("whole", 0, m)] + ([] if short else [("core", cut, m - cut)])
+
+
+def by_q(needles, q: int, edit_rate: float) -> list[Block]:
+    """The needles by the largest q <= q that leaves them a bound of at least an eighth of their q-grams."""
     groups: dict[int, list] = {}
-    for item, t in items:
-        m, k, own = len(t), int(edit_rate * len(t)), q
+    for name, t in needles:
+        m, k, own = len(t), int(edit_rate * len(t)), min(q, len(t))
         while own > 2 and m - own + 1 - k * own < max(1, (m - own + 1) // 8):
             own -= 1
-        groups.setdefault(own, []).append((item, t))
+        groups.setdefault(own, []).append((name, t))
     return [Block(g, own, edit_rate) for own, g in sorted(groups.items())]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, edit_rate: float = 0.1, least_chars: int = 40, q: int = Q,
+class Finder:
+    """The items of a block, ready to be looked for."""
+
+    def __init__(self, items, edit_rate: float, q: int, exact_under: int, core: float, segment_chars: int):
+        self.items = items
+        near, exact = [], []
+        for i, (_, t) in enumerate(items):
+            if len(t) < exact_under:
+                exact.append(((i, "whole"), f" {t} "))
+            else:
+                near += [((i, part), t[a:b]) for part, a, b in parts(t, exact_under, core, segment_chars)]
+        self.near, self.exact = by_q(near, q, edit_rate), by_q(exact, q, 0.0)
+
+    def hits(self, text: str):
+        """(item, part, edits, first, end) of every needle in a text; several of one item are possible."""
+        t = normal(text)
+        if not t:
+            return
+        padded = codes(f" {t} ")
+        for block in self.exact:
+            for n, edits, a, b in block.matches(padded):
+                yield *block.items[n][0], edits, a, b - 2  # places without the blanks
+        c = padded[1:-1]
+        for block in self.near:
+            for n, edits, a, b in block.matches(c):
+                yield *block.items[n][0], edits, a, b
+
+    def rows(self, text: str) -> list[tuple]:
+        """(item id, edits, first, end, part) once for each item found."""
+        best: dict[int, tuple] = {}
+        for i, part, edits, a, b in self.hits(text):
+            got = (part != "whole", edits, a, b, part)
+            if i not in best or got < best[i]:
+                best[i] = got
+        return [(self.items[i][0], *got[1:]) for i, got in sorted(best.items())]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, edit_rate: float = 0.1, least_chars: int = 1, q: int = Q,
+         exact_under: int = EXACT_UNDER, core: float = CORE, segment_chars: int = SEGMENT_CHARS,
          block_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
          item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, edits, start, end) of every item found in a document; places in its normal form."""
+    """(doc_id, item_id, edits, start, end, part) of every item found in a document; places in its normal form."""
     spark, out = docs.sparkSession, None
-    for items in blocks(benchmark, edit_rate, least_chars, q, block_bytes, item_key, item_text):
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in MATCHES.split(", ")]
+    for items in blocks(benchmark, least_chars, block_bytes, item_key, item_text):
         sent = spark.sparkContext.broadcast(items)  # at most block_bytes of text
 
         def run(batches, sent=sent):
-            sets = by_q(sent.value, q, edit_rate)
+            finder = Finder(sent.value, edit_rate, q, exact_under, core, segment_chars)
             for batch in batches:
                 rows = []
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    c = codes(normal(body.as_py()))
-                    for block in sets:
-                        rows += [(doc, block.items[i][0], *hit) for i, *hit in block.matches(c)]
-                names = [x.split()[0] for x in MATCHES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.int64())
-                                                  for i in range(5)], names=names)
+                    rows += [(doc, *hit) for hit in finder.rows(body.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)],
+                                                 names=names)
 
         found = texts(docs, key, text).mapInArrow(run, MATCHES)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, edit_rate: float = 0.1, least_chars: int = 40, q: int = Q,
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, edit_rate: float = 0.1, least_chars: int = 1, q: int = Q,
+               exact_under: int = EXACT_UNDER, core: float = CORE, segment_chars: int = SEGMENT_CHARS,
                block_bytes: int = 4 << 20, text: str = "text", item_key: str = "item_id",
                item_text: str = "text") -> DataFrame:
     """The rows in whose text no item is found, all columns kept; one scan for each block of items."""
-    for items in blocks(benchmark, edit_rate, least_chars, q, block_bytes, item_key, item_text):
+    for items in blocks(benchmark, least_chars, block_bytes, item_key, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
 
         def run(batches, sent=sent):
-            sets = by_q(sent.value, q, edit_rate)
+            finder = Finder(sent.value, edit_rate, q, exact_under, core, segment_chars)
             for batch in batches:
                 body = batch.column(batch.schema.get_field_index(text))
-                clean = []
-                for b in body:
-                    c = codes(normal(b.as_py() or ""))
-                    clean.append(not any(True for block in sets for _ in block.matches(c)))
+                clean = [next(finder.hits(b.as_py() or ""), None) is None for b in body]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -99,13 +99,10 @@ def edited(rnd, text, k):
 
 def plain_edits(p, c):
     """Least edits of p against any stretch of c."""
-    row = np.zeros(len(c) + 1, int)
+    row, at, chars = np.zeros(len(c) + 1, int), np.arange(len(c) + 1), np.array(list(c))
     for i, ch in enumerate(p, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        for j in range(1, len(c) + 1):
-            new[j] = min(row[j - 1] + (c[j - 1] != ch), row[j] + 1, new[j - 1] + 1)
-        row = new
+        new = np.append(i, np.minimum(row[:-1] + (chars != ch), row[1:] + 1))
+        row = np.minimum.accumulate(new - at) + at
     return row.min()
 
 
@@ -123,7 +120,9 @@ def test_matches_within_the_budget(spark, rate):
         for i, x in items:
             p = decontaminate.normal(x)
             if len(set(c[k:k + 8] for k in range(len(c))) & set(p[k:k + 8] for k in range(len(p)))) > 3:
-                if plain_edits(p, c) <= int(rate * len(p)):
+                cut = int(0.15 * len(p))
+                needles = [p] + ([p[cut:-cut]] if len(p) - 2 * cut >= 40 else [])
+                if any(plain_edits(x, c) <= int(rate * len(x)) for x in needles):
                     want.add((d, i))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_bytes in (4 << 20, 300):
@@ -139,13 +138,39 @@ def test_decontamination_awkward_rows(spark):
     bench = spark.createDataFrame([(1, item), (None, item), (2, None), (3, ""), (4, "short")], "item_id long, text string")
     rows = awkward() + [(11, item), (11, item), (None, "x " * 5000 + item.upper())]
     got = decontaminate.find(documents(spark, rows), bench).collect()
+    shorts = [("4", "4", 0)] * 2 + [("5", "4", 0), ("None", "4", 0)]
     assert sorted((str(r["doc_id"]), str(r["item_id"]), r["edits"]) for r in got) == sorted(
-        [("11", "1", 0), ("11", "None", 0)] * 2 + [("None", "1", 0), ("None", "None", 0)])
-    assert decontaminate.keep_clean(documents(spark, rows), bench).count() == len(awkward())
+        [("11", "1", 0), ("11", "None", 0)] * 2 + [("None", "1", 0), ("None", "None", 0)] + shorts)
+    assert decontaminate.keep_clean(documents(spark, rows), bench).count() == len(awkward()) - len(shorts)
+    assert decontaminate.keep_clean(documents(spark, rows), bench, least_chars=6).count() == len(awkward())
     assert decontaminate.find(documents(spark, []), bench).count() == 0
     assert decontaminate.find(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_long_and_partly_quoted_items(spark):
+    rnd = random.Random(12)
+    mid, long_, short = prose(rnd, 30), prose(rnd, 700), "Where does the old river end?"
+    assert len(short) == 29 and len(decontaminate.normal(long_)) > 5000
+    n = len(mid)
+    rows = [(1, f"{prose(rnd, 9)} {mid[:int(0.86 * n)]}"), (2, f"{mid[int(0.14 * n):]} {prose(rnd, 9)}"),
+            (3, f"{prose(rnd, 9)} {mid[:n // 2]} {prose(rnd, 20)}"), (4, f"{prose(rnd, 9)}, WHERE does the old river end?"),
+            (5, "where does the old river ending"), (6, "where does an old river end"), (7, long_[1700:4000]),
+            (8, edited(rnd, long_, 300)), (9, long_[1700:2100]), (10, "so: " + mid)]
+    bench = spark.createDataFrame([(1, mid), (2, short), (3, long_)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(documents(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 2), (7, 3), (8, 3), (10, 1)}
+    assert {k: r["part"] for k, r in got.items()} == {
+        (1, 1): "core", (2, 1): "core", (4, 2): "whole", (7, 3): "segment", (8, 3): "segment", (10, 1): "whole"}
+    for (d, i), r in got.items():
+        if r["edits"] == 0:
+            item = decontaminate.normal({1: mid, 2: short, 3: long_}[i])
+            assert decontaminate.normal(dict(rows)[d])[r["start"]:r["end"]] in item
+    at = got[(4, 2)]
+    assert decontaminate.normal(rows[3][1])[at["start"]:at["end"]] == decontaminate.normal(short)
+    kept = {r["doc_id"] for r in decontaminate.keep_clean(documents(spark, rows), bench).collect()}
+    assert kept == {3, 5, 6, 9}
+
+
 def brute_links(rows):
     ids = [i for i, v in rows]
     ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
