@@ -248,24 +248,39 @@ class Tile:
                 yield self.doc[h], doc
 
 
-def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, kept) of every row: class_id is the least doc_id of its class, kept marks that document."""
+def _named(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, set_hash, class_id, kept) of every row."""
     made, reps, edges = links(docs, threshold=threshold, bands=bands, rows=rows)
     joined = reps.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("class_id"))
     named = made.select("doc_id", "set_hash").join(joined, "set_hash", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return named.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias(
-        "kept"))
+    return named.select("doc_id", "set_hash", class_id.alias("class_id"), F.coalesce(
+        F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+
 
+def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id, kept) of every row: class_id is the least doc_id of its class, kept marks that document."""
+    return _named(docs, threshold, bands, rows).drop("set_hash")
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, all columns kept; rows without doc_id stay."""
-    found = classes(docs, **how).where("doc_id is not null")
-    drop = cut(found.where("not kept").select("doc_id").distinct())
+
+def keep_one(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, bands: int = BANDS,
+             rows: int = ROWS) -> DataFrame:
+    """One document of each class, all columns kept; rows without doc_id stay.
+
+    Repeated rows of an id become one. An id that stands for different sets of shingles names no single document: each
+    of its different texts stays once, so that none is lost to a class that another text of the id is in.
+    """
+    each = cut(_named(docs, threshold, bands, rows).where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("set_hash").alias("least"), F.max("set_hash").alias("most"),
+        F.max("kept").alias("kept")).where("n > 1 or not kept"))
+    drop = each.where("least = most and not kept").select("doc_id")
     left = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    again = cut(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    again = each.where("n > 1 and (kept or least <> most)")
     if again.isEmpty():
         return left
-    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice)
+    out = left.join(again, "doc_id", "left_anti").select(docs.columns)
+    for which, key in (("least = most", ["doc_id"]), ("least <> most", ["doc_id", text])):
+        rows_ = left.join(again.where(which), "doc_id", "left_semi").select(docs.columns)
+        out = out.unionByName(rows_.dropDuplicates(key))
+    return out

@@ -307,12 +307,15 @@ def redact(text: str, base: str, extra) -> str:
 
 def sanitise(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
     """The rows with sanitised texts, all columns kept; texts without spans stay as they are."""
-    found = analyse(docs, **how).where("base <> '' or size(extra) > 0").dropDuplicates(["doc_id", "text_hash"]).select(
-        F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("base").alias("_pii_base"),
-        F.col("extra").alias("_pii_extra"))
     names = docs.columns
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_pii_id"]) & (
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found["_pii_hash"]), "left").drop("_pii_id", "_pii_hash")
+    free = "_pii"
+    while any(n.lower().startswith(free) for n in names):  # names that no column of the table has
+        free += "_"
+    found = analyse(docs, **how).where("base <> '' or size(extra) > 0").dropDuplicates(["doc_id", "text_hash"]).select(
+        F.col("doc_id").alias(f"{free}id"), F.col("text_hash").alias(f"{free}hash"), F.col("base").alias(f"{free}base"),
+        F.col("extra").alias(f"{free}extra"))
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found[f"{free}id"]) & (
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found[f"{free}hash"]), "left").drop(f"{free}id", f"{free}hash")
 
     def run(batches):
         at = names.index(text)

@@ -77,13 +77,19 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_one_of_each_class_stays(spark):
-    rows = [(100 + i, t) for i, t in near_copies(random.Random(5))] + awkward() + [(8, "another text of the same id")]
+    rows = [(100 + i, t) for i, t in near_copies(random.Random(5))] + awkward() + [(8, "another text of the same id")] * 2
+    rows += [(9, rows[0][1]), (9, "the other text of nine")]
     docs = documents(spark, rows)
     named = dartminhash.classes(docs).collect()
     kept = dartminhash.keep_one(docs)
-    left = [r["doc_id"] for r in kept.collect()]
+    kept_rows = kept.collect()
+    left = [r["doc_id"] for r in kept_rows]
     assert kept.columns == docs.columns and len(named) == len(rows)
-    assert sorted(i for i in left if i is not None) == sorted({r["class_id"] for r in named if r["doc_id"] is not None})
+    firsts = {r["class_id"] for r in named if r["doc_id"] is not None}
+    assert sorted(i for i in left if i is not None and i not in (8, 9)) == sorted(firsts - {8, 9})
+    # an id of different texts keeps each of them once
+    for i in (8, 9):
+        assert sorted(r["text"] for r in kept_rows if r["doc_id"] == i) == sorted({t for k, t in rows if k == i})
     assert left.count(None) == 1
     assert dartminhash.keep_one(documents(spark, [])).count() == 0
 

@@ -112,6 +112,10 @@ def test_pii_awkward_rows(spark):
     assert pii.report(documents(spark, [])).count() == 0
     assert pii.sanitise(documents(spark, rows)).count() == len(rows)
     assert pii.sanitise(documents(spark, [])).count() == 0
+    clash = documents(spark, rows).selectExpr("*", "'own' as _pii_base", "1 as _PII_id", "2 as text_hash")
+    clean = pii.sanitise(clash)
+    assert clean.columns == clash.columns and clean.where("_pii_base = 'own' and _PII_id = 1").count() == len(rows)
+    assert clean.where("doc_id = 9 and text like '[EMAIL]%'").count() == 2
 
 
 def brute_licenses(text):
