@@ -52,6 +52,18 @@ def present(text: str) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
+def packed(cols: np.ndarray) -> bytes:
+    """Ascending bucket numbers in two bytes each: how many there are in each run of 2^16, then the rest of them."""
+    runs = np.searchsorted(cols, np.arange(1 + (BUCKETS >> 16)) << 16)
+    return np.diff(runs).astype("<i4").tobytes() + cols.astype("<u2").tobytes()
+
+
+def unpacked(row: pa.Scalar) -> np.ndarray:
+    held, runs = row.as_buffer(), BUCKETS >> 16
+    each = np.frombuffer(held, "<i4", runs)
+    return np.frombuffer(held, "<u2", offset=4 * runs) + np.repeat(np.arange(runs, dtype=np.int32) << 16, each)
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -77,7 +89,7 @@ def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], po
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 b = batch.slice(at, STEP_ROWS)
-                lists = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(1)]
+                lists = [unpacked(x) for x in b.column(1)]
                 size = np.array([len(x) for x in lists])
                 y = b.column(0).to_numpy(zero_copy_only=False).astype(float)
                 cols = np.concatenate(lists)
@@ -156,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, leas
     def listed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(2), "cols": pa.array(
-                [present(body.as_py()).astype("<i4").tobytes() for body in batch.column(1)], pa.binary())})
+                [packed(present(body.as_py())) for body in batch.column(1)], pa.binary())})
 
     # each text is read once; the written rows hold at most a number a bucket and are read in every pass
     sample = cut(rows.repartition(FIT_TASKS).mapInArrow(listed, "toxic int, cols binary"))
@@ -166,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, leas
         n = np.zeros(2, np.int64)
         for batch in batches:
             for y, cols in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got[y, np.frombuffer(cols.as_buffer(), "<i4")] += 1
+                got[y, unpacked(cols)] += 1
                 n[y] += 1
         if n.any():
             yield pa.RecordBatch.from_pydict({"n": [n.astype("<i8").tobytes()], "got": [got.astype("<i4").tobytes()]})
@@ -186,9 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, leas
 
     def numbered(batches):
         for batch in batches:
-            own = [sent.value[np.frombuffer(x.as_buffer(), "<i4")] for x in batch.column(1)]
+            own = [sent.value[unpacked(x)] for x in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "cols": pa.array(
-                [x[x >= 0].astype("<i4").tobytes() for x in own], pa.binary())})
+                [packed(x[x >= 0]) for x in own], pa.binary())})
 
     # the passes read, and send, a number a feature instead of one a bucket
     slim = cut(sample.mapInArrow(numbered, "toxic int, cols binary"))
