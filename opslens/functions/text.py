@@ -153,13 +153,22 @@ def window_id(ts: Column, seconds: int = WINDOW_SECONDS) -> Column:
     return F.floor(F.unix_seconds(F.coalesce(ts.cast("timestamp"), F.current_timestamp())) / seconds).cast("bigint")
 
 
+def _blank_separated(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def distinct_words(c: Column) -> Column:
+    """The distinct lower-case words, whose trigrams ``trigrams`` gives."""
+    return F.filter(F.array_distinct(F.split(_blank_separated(c), " ")), lambda w: w != "")
+
+
 def trigrams(c: Column) -> Column:
     """Distinct padded word trigrams: two blanks before and one after each lower-case word.
 
     The distinct words are laid out with three blanks between them, so every window of three characters is
     a trigram of one word unless it ends in two blanks; one linear scan yields them all.
     """
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    words = _blank_separated(c)
     padded = F.concat(F.lit("  "), F.array_join(F.array_distinct(F.split(words, " ")), "   "), F.lit(" "))
     grams = F.regexp_extract_all(padded, F.lit(r"(?=(...))"), F.lit(1))
     return F.when(words == "", F.array().cast("array<string>")).otherwise(

@@ -221,3 +221,19 @@ def test_postings_equal_the_scan_and_touch_few_rows(spark, tmp_path):
     # the pairs that meet are a small part of all, and the trigram of most rows lies in several parts
     assert postings.candidates(index, queries, "repo").count() < 0.2 * len(rows) * len(asked)
     assert index.grams.agg({"parts": "max"}).first()[0] > 1
+
+
+def test_postings_are_settled_where_they_lie(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeé𝄞ß") for _ in range(rnd.randrange(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 9, 40])))) for i in range(200)] + [(500, rnd.choice(words))]
+    corpus = spark.createDataFrame(rows, "id bigint, content string")
+    queries = spark.createDataFrame([(i, rows[i * 5][1]) for i in range(40)], "query_id bigint, text string")
+    want = {tuple(r) for r in ret.lexical_topk(queries, corpus, 7).collect()}
+    postings.store(postings.build(corpus, heavy=40), str(tmp_path / "p"), 5)
+    monkeypatch.setattr(postings, "WAVE_ROWS", 9)
+    monkeypatch.setattr(postings, "COMMON", 30)  # most trigrams stand by their number then
+    found = postings.search(postings.load(spark, str(tmp_path / "p")), queries, 7)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+    # nothing is joined: a pair's two sets never travel
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
