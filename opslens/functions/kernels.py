@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,29 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
         return np.where(norm > 0, m / norm, np.nan)
 
 
+NEAR_ROWS, NEAR_PAIRS = 4_096, 65_536
+
+
+def nearest_rows(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, distance), among them each query's ``k`` nearest rows of ``c``; all rows have length one.
+
+    Single precision rules rows out, with room for its error; those left are measured in double. With ``bound``, a
+    distance for each query, farther rows are left out.
+    """
+    slack = (q.shape[1] + 16) * 2.5e-7
+    q32, bar = q.astype(np.float32), None if bound is None else 1.0 - bound
+    for at in range(0, len(c), NEAR_ROWS):
+        s = q32 @ c[at:at + NEAR_ROWS].astype(np.float32).T
+        least = np.full(len(q), -np.inf) if bar is None else bar
+        if s.shape[1] > k and not (least > -np.inf).all():
+            least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+            bar = least
+        r, j = np.nonzero(s >= (least - slack).astype(np.float32)[:, None])
+        for i in range(0, len(r), NEAR_PAIRS):
+            a, b = r[i:i + NEAR_PAIRS], j[i:i + NEAR_PAIRS] + at
+            yield a, b, np.round(1.0 - np.einsum("ij,ij->i", q[a], c[b]), SCORE_DIGITS) + 0.0
+
+
 class CosineScorer:
     """Cosine distance of a fixed block of query vectors to corpus rows; lower is better."""
 

@@ -2,22 +2,25 @@
 
 Queries go out in waves, blocks of checked size; the corpus is scanned where it lies, once for each wave
 (trigram search spreads one of fewer splits than cores first). Each task keeps the best ``k`` per query over all its batches, so what leaves a task is
-``k`` rows per query, never a pair per corpus row. A query set of any size takes this one way.
+``k`` rows per query, never a pair per corpus row. Vector queries of more than one wave are dealt with the corpus over a
+grid of blocks instead, one task a block, so that their number costs no further jobs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from opslens.functions import text
-from opslens.functions.kernels import CosineScorer, TrigramScorer
+from opslens.functions.kernels import CosineScorer, TrigramScorer, list_matrix, nearest_rows, unit_rows
 from opslens.session import cut_lineage, spread
 
 RRF_K = 60
@@ -28,6 +31,8 @@ WAVE_ROWS = 4_096
 WAVE_BYTES = 64 << 20
 SCORE_BLOCK = 512
 MAX_WINNERS = 200_000
+GRID_ROWS = 32_768  # of a side of a block
+GRID_BYTES = 64 << 20
 
 # Corpus names, their tables, content rules and the filters each one allows.
 CORPORA: dict[str, tuple[str, Callable[[], Column], tuple[str, ...]]] = {
@@ -175,12 +180,16 @@ def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str |
         return own.mapInArrow(scan, out_schema)
 
     # each wave's rows, k per query and task, are written once; a lone wave is not written at all
-    done, last = [], None
+    done, last, partial = [], None, None
     for wave in _waves(q, wave_rows or WAVE_ROWS, WAVE_BYTES):
+        if last is not None and make_scorer is CosineScorer:
+            partial = _grid(q, c, k, by, out_schema, wave_rows or WAVE_ROWS)
+            break
         if last is not None:
             done.append(cut_lineage(last))
         last = one(wave)
-    partial = spark.createDataFrame([], out_schema) if last is None else cut_lineage(last) if done else last
+    if partial is None:
+        partial = spark.createDataFrame([], out_schema) if last is None else cut_lineage(last) if done else last
     for rows in done:
         partial = partial.unionByName(rows)
 
@@ -191,6 +200,59 @@ def _topk(queries: DataFrame, corpus: DataFrame, make_scorer, k: int, by: str |
     return first.filter(F.col("_r") <= k).select("query_id", "id", "score")
 
 
+def vector_block(asked: pa.Table, rows: pa.Table, k: int, by: str | None, block: int) -> pa.Table:
+    """(query_id, id, score) of the ``k`` best rows for each query; ``block`` queries are scored at a time."""
+    # in the order of their ids rows are told by their place, and equal distances by the smaller one
+    rows = rows.take(pc.sort_indices(rows, [("id", "ascending")], null_placement="at_start"))
+    q, c = (unit_rows(list_matrix(_plain(x["feature"]))) for x in (asked, rows))
+    groups = [(np.arange(len(q)), np.arange(len(c)))]
+    if by:
+        qby, cby = _objects(asked[by]), _objects(rows[by])
+        groups = [(np.flatnonzero(qby == v), np.flatnonzero(cby == v)) for v in set(qby) & set(cby)]
+    keeper = _Keeper(k)
+
+    def unscored(some: np.ndarray, places: np.ndarray) -> None:
+        keeper.add(np.repeat(some, len(places)), np.tile(places, len(some)), np.full(len(some) * len(places), np.nan))
+
+    for mine, theirs in groups:
+        known, found = (x[_has_length(m[x])] for x, m in ((mine, q), (theirs, c)))
+        for at in range(0, len(known) if len(found) else 0, block):
+            some = known[at:at + block]
+            for r, j, score in nearest_rows(q[some], c[found], k):
+                keeper.add(some[r], found[j], score)
+        # rows without a distance come last
+        unscored(known, np.setdiff1d(theirs, found)[:max(k - len(found), 0)])
+        unscored(np.setdiff1d(mine, known), theirs[:k])
+    at, place, score = keeper.result() or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table([asked["query_id"].take(pa.array(at)), rows["id"].take(pa.array(place)), pa.array(score, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _has_length(unit: np.ndarray) -> np.ndarray:
+    return np.isfinite(unit).all(axis=1) & (unit.shape[1] > 0)
+
+
+def _grid(q: DataFrame, c: DataFrame, k: int, by: str | None, out_schema: str, wave_rows: int) -> DataFrame:
+    """(query_id, id, score) of the ``k`` best rows of each block for each query.
+
+    Queries and rows are cut into parts by hash, and a task compares one part with one part: what it holds is bounded,
+    and what is shuffled is each side once for every part of the other.
+    """
+    counted = [x.agg(F.count(F.lit(1)), F.max(F.size("feature"))).first() for x in (q, c)]  # four numbers
+    (nq, wide), (nc, _) = counted
+    cells = 4 * q.sparkSession.sparkContext.defaultParallelism
+    most = max(1, min(GRID_ROWS, GRID_BYTES // (8 * max(wide or 1, 1)), math.ceil(math.sqrt(nq * nc / cells))))
+    g, h = max(1, math.ceil(nq / most)), max(1, math.ceil(nc / most))
+    part = lambda x, n: F.pmod(F.xxhash64(x, "feature"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))  # noqa: E731  # one kind, or equal numbers part by their hash
+    left = q.withColumn("_q", part("query_id", g)).withColumn("_c", every(h))
+    right = c.withColumn("_c", part("id", h)).withColumn("_q", every(g))
+
+    def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        return vector_block(asked, rows, k, by, min(SCORE_BLOCK, wave_rows))
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, out_schema)
+
+
 def _ranked(df: DataFrame, k: int) -> DataFrame:
     by = W.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("id").asc())
     return df.withColumn("rnk", F.row_number().over(by)).filter(F.col("rnk") <= k)

@@ -62,3 +62,34 @@ def test_small_and_empty_corpora(spark):
         assert found(cells.search(cells.build(corpus), asked, 3)) == found(ret.vector_topk(asked, corpus, 3)), rows
     none = spark.createDataFrame([], ASK)
     assert cells.search(cells.build(spark.createDataFrame([(1, [1.0])], ROW)), none, 3).count() == 0
+
+
+def test_second_round_sends_chunks_not_shells(spark, monkeypatch):
+    """On vectors without groups every query needs nearly every shell; what goes out is a copy for each chunk at most."""
+    m = np.random.default_rng(3).normal(size=(600, 16))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], ROW)
+    queries = corpus.withColumnsRenamed({"id": "query_id"})
+    index, held, kept = cells.build(corpus, cells=40, heavy=200), [], cells.cut_lineage
+    monkeypatch.setattr(cells, "cut_lineage", lambda df: held.append(df := kept(df)) or df)
+    got = found(cells.search(index, queries, 5))
+    # no table of the search holds more than a few rows for each query, where each needs some hundred shells
+    assert max(df.count() for df in held) < 12 * 600
+    assert got == found(ret.vector_topk(queries, corpus, 5))
+
+
+def test_waves_of_vectors_go_out_in_one_job(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)] + [(400 + i, None) for i in range(3)] + [(410, [0.0] * 4)]
+    corpus = spark.createDataFrame(rows, ROW).repartition(3)
+    queries = corpus.withColumnsRenamed({"id": "query_id"})
+    waves, kept = [], ret.cut_lineage
+    monkeypatch.setattr(ret, "cut_lineage", lambda df: waves.append(1) or kept(df))
+    got = found(ret.vector_topk(queries, corpus, 5, wave_rows=20))
+    assert not waves  # before: one written for each wave
+    assert len(got) == 304 * 5 and got == found(ret.vector_topk(queries, corpus, 5))
+    monkeypatch.setattr(ret, "GRID_ROWS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # blocks lie in several partitions
+    try:
+        assert found(ret.vector_topk(queries, corpus, 5, wave_rows=20)) == got
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
