@@ -4,11 +4,14 @@ Vectors of length one are points whose straight-line distance obeys the triangle
 its square. Each row lies with its nearest centre, and within that cell in shells of its distance to the centre. A row of
 a shell [lo, hi] around a centre at distance d of the query is no nearer than ``d - hi`` and ``lo - d``. A first round
 visits each query's most promising shells until they hold ``k`` rows; the k-th of these bounds a second round, which
-visits every shell that the bound does not rule out. The result is ``vector_topk``'s, whatever the centres are; they
+reads every shell that the bound does not rule out. The result is ``vector_topk``'s, whatever the centres are; they
 decide how much is read.
 
-Centres are picked from a bounded sample (``sample_rows``), every row is stored. Shells are cut into pieces of about
-``heavy`` rows and their queries into blocks, so no task holds more than one piece and one block.
+Centres are picked from a bounded sample (``sample_rows``), every row is stored. In the first round shells are cut into
+pieces of about ``heavy`` rows and their queries into blocks, so no task holds more than one piece and one block. In the
+second, neighbouring cells make up chunks of about ``heavy`` rows, as do queries by their nearest cells; a task compares a
+chunk of queries with a chunk of rows if a query of the one needs the other, so that even where nothing is ruled out, a
+row is sent out once for each chunk of the other side, not for each query and shell.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opslens.functions.kernels import CosineScorer, list_matrix, unit_rows
-from opslens.operators.retrieve import TOP_K, _Keeper, _objects, _plain, _ranked, _score_batch
+from opslens.functions.kernels import CosineScorer, list_matrix, nearest_rows, unit_rows
+from opslens.operators.retrieve import SCORE_BLOCK, TOP_K, _Keeper, _objects, _plain, _ranked, _score_batch
 from opslens.session import cut_lineage
 
 SHELL_WIDTH = 0.1
@@ -109,11 +113,18 @@ def build(corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE
     return Cells(rows.drop("dist"), centres, table, heavy)
 
 
+def _cell_rows(index: Cells) -> np.ndarray:
+    """The rows of each cell."""
+    return np.bincount((index.shells[:, 0] // SHELLS).astype(np.int64), index.shells[:, 1], minlength=len(index.centres)).astype(np.int64)
+
+
 def store(index: Cells, path: str) -> None:
     """Write rows, centres and shells; rows lie in a folder for each cell, so that a search opens the cells it visits."""
     spark = index.rows.sparkSession
-    pieces = F.pmod(F.xxhash64("id"), F.lit(64))
-    index.rows.repartition("cell", pieces).sortWithinPartitions("cell", "shell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    pieces = spark.createDataFrame([(c, -(-n // index.heavy)) for c, n in enumerate(_cell_rows(index).tolist()) if n], "cell bigint, pieces bigint")
+    piece = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(64)))
+    rows = index.rows.join(F.broadcast(pieces), "cell", "left").select(*index.rows.columns, piece.alias("_piece"))
+    rows.repartition("cell", "_piece").drop("_piece").sortWithinPartitions("cell", "shell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     spark.createDataFrame(list(enumerate(index.centres.tolist())), "cell bigint, point array<double>").write.mode("overwrite").parquet(f"{path}/centres")
     spark.createDataFrame([(int(s), int(n), lo, hi) for s, n, lo, hi in index.shells.tolist()], "shell bigint, n bigint, lo double, hi double").write.mode(
         "overwrite").parquet(f"{path}/shells")
@@ -196,12 +207,113 @@ def _scored(index: Cells, visits: DataFrame, k: int) -> DataFrame:
     return best.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k).drop("_r")
 
 
-def second_round(index: Cells, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(query_id, vector, shell, pieces) of all shells that can hold one of a query's ``k`` best rows."""
+def _bounded(index: Cells, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vector, bound): the first round's ``k``-th distance of each query with a direction."""
     asked = queries.filter(_has_direction(F.col("vector"))).select("query_id", "vector")
     first = _ranked(_scored(index, _visits(index, asked, k), k), k)
     bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(math.inf)).alias("bound"))
-    return _visits(index, asked.join(bound, "query_id"), k)
+    return asked.join(bound, "query_id")
+
+
+def second_round(index: Cells, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, vector, shell, pieces) of all shells that can hold one of a query's ``k`` best rows."""
+    return _visits(index, _bounded(index, queries, k), k)
+
+
+def _least(centres: np.ndarray, shells: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least distance of each query to a row of each shell."""
+    d = np.sqrt(np.maximum(2.0 - 2.0 * (q @ centres.T), 0.0))[:, shells[:, 0].astype(np.int64) // SHELLS]
+    return np.maximum(np.maximum(d - shells[:, 3], shells[:, 2] - d), 0.0)
+
+
+def _reach(bound: np.ndarray) -> np.ndarray:
+    return np.sqrt(2.0 * (bound + 1e-9)) + SLACK
+
+
+def _in_turn(centres: np.ndarray) -> np.ndarray:
+    """The cells in an order in which each follows its nearest among those left."""
+    order, left = [0], np.ones(len(centres), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.argmax(np.where(left, centres @ centres[order[-1]], -np.inf))))
+        left[order[-1]] = False
+    return np.array(order)
+
+
+def _chunks(order: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk, pieces) of each cell of ``n`` rows: cells in turn share a chunk, one of over ``most`` rows has several."""
+    chunk, pieces, at, held = np.zeros(len(n), np.int64), np.maximum(-(-n // most), 1), 0, 0
+    for c in order:
+        if held and (held + n[c] > most):
+            at, held = at + 1, 0
+        chunk[c], held = at, held + n[c]
+        if pieces[c] > 1:
+            at, held = at + pieces[c], 0
+    return chunk, pieces
+
+
+def _compared(index: Cells, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score), among them the ``k`` best rows of each query; ``bound`` is a distance that they do not exceed."""
+    spark, order, n = asked.sparkSession, _in_turn(index.centres), _cell_rows(index)
+    chunk, pieces = _chunks(order, n, index.heavy)
+    block = spark.sparkContext.broadcast((index.centres, index.shells, chunk, pieces))  # see Cells
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, shells, chunk, pieces = block.value
+        cell = shells[:, 0].astype(np.int64) // SHELLS
+        many = int((chunk + pieces).max())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                q = unit_rows(list_matrix(b["vector"]))
+                owner, shell = np.nonzero(_least(centres, shells, q) <= _reach(b["bound"].to_numpy())[:, None])
+                need = np.zeros((b.num_rows, many), bool)
+                need[owner, chunk[cell[shell]]] = True
+                for c in np.flatnonzero(pieces > 1):
+                    need[:, chunk[c]:chunk[c] + pieces[c]] = need[:, chunk[c]:chunk[c] + 1]
+                own, to = np.nonzero(need)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(b.num_rows + 1)), pa.int32()), pa.array(to))
+                home = pa.array(np.argmax(q @ centres.T, axis=1))
+                yield pa.record_batch([b["query_id"], b["vector"], b["bound"], home, lists], names=["query_id", "vector", "bound", "cell", "need"])
+
+    routed = cut_lineage(asked.select("query_id", "vector", "bound").mapInArrow(
+        route, f"query_id {kinds['query_id']}, vector {kinds['vector']}, bound double, cell bigint, need array<bigint>"))
+    homes = np.zeros(len(n), np.int64)
+    for cell, many in routed.groupBy("cell").count().collect():  # a row for each cell at most
+        homes[cell] = many
+
+    def dealt(rows: DataFrame, of: tuple[np.ndarray, np.ndarray], key: str, name: str) -> DataFrame:
+        turn = spark.createDataFrame([(c, int(a), int(p)) for c, (a, p) in enumerate(zip(*of, strict=True))], "cell bigint, _first bigint, _pieces bigint")
+        return rows.join(F.broadcast(turn), "cell").withColumn(name, F.col("_first") + F.pmod(F.xxhash64(key), "_pieces")).drop("_first", "_pieces", "cell")
+
+    q = dealt(routed, _chunks(order, homes, index.heavy), "query_id", "_q").withColumn("_c", F.explode("need")).drop("need")
+    met = cut_lineage(q.select("_q", "_c").distinct())  # a row for each two chunks that meet
+    r = dealt(index.rows.filter("cell >= 0"), (chunk, pieces), "id", "_c").join(F.broadcast(met), "_c")
+
+    def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        centres, shells, *_ = block.value
+        rows = rows.take(pc.sort_indices(rows, [("id", "ascending")], null_placement="at_start"))
+        keeper = _Keeper(k)
+        if asked.num_rows and rows.num_rows:
+            q, c = (unit_rows(list_matrix(_plain(x["vector"]))) for x in (asked, rows))
+            here, place = np.unique(rows["shell"].to_numpy(), return_inverse=True)
+            some = shells[np.searchsorted(shells[:, 0], here)]
+            bound = asked["bound"].to_numpy()
+            by_home = np.argsort(np.argmax(q @ centres.T, axis=1), kind="stable")
+            for at in range(0, len(q), SCORE_BLOCK):
+                mine = by_home[at:at + SCORE_BLOCK]
+                visited = (_least(centres, some, q[mine]) <= _reach(bound[mine])[:, None]).any(axis=0)
+                found = np.flatnonzero(visited[place])
+                for a, b, score in nearest_rows(q[mine], c[found], k, bound[mine]):
+                    keeper.add(mine[a], found[b], score)
+        at, place, score = keeper.result() or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([asked["query_id"].take(pa.array(at)), rows["id"].take(pa.array(place)), pa.array(score, pa.float64())], names=["query_id", "id", "score"])
+
+    ctype = index.rows.schema["id"].dataType.simpleString()
+    best = q.groupBy("_q", "_c").cogroup(r.groupBy("_q", "_c")).applyInArrow(score, f"query_id {kinds['query_id']}, id {ctype}, score double")
+    salted = W.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("score", "id")
+    return best.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k).drop("_r")
 
 
 def _plain_ids(rows: DataFrame, n: int) -> Column:
@@ -219,7 +331,7 @@ def search(index: Cells, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     kind = index.rows.schema["id"].dataType.simpleString()
     qtype = queries.schema["query_id"].dataType.simpleString()
     if total:
-        out = _scored(index, second_round(index, queries, k), k)
+        out = _compared(index, _bounded(index, queries, k), k)
     else:
         out = queries.sparkSession.createDataFrame([], f"query_id {qtype}, id {kind}, score double")
 
