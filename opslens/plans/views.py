@@ -119,9 +119,9 @@ def label_queries(corpus_df: DataFrame) -> DataFrame:
     return mean.join(words, "label").withColumnRenamed("label", "query_id")
 
 
-def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_corpus(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """``corpus`` as code rows; every ninth has no stored content."""
-    c = corpus(spark, sf_dir)
+    c = corpus(spark, sf_dir) if rows is None else rows
     return c.select(
         "id", "vector", F.concat(F.lit("svc-"), F.col("label") % 3).alias("repo"), F.lit("sha").alias("git_sha"),
         F.concat(F.lit("src/"), F.col("source"), F.lit(".java")).alias("file_path"),

@@ -51,11 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as files in the shared checkpoint folder, for tables that are read several times, some columns at a time."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """More partitions before costly work on each row, where the input has fewer splits than there are cores.
 
     Such an input is at most ``spark.sql.files.maxPartitionBytes`` a core; a larger one is left where it lies. The
-    splits are counted by the planner, no file name comes to Python.
+    splits are counted by the planner, no file name comes to Python. Rows that come from a shuffle stay as the planner
+    lays them: to count their partitions would run the shuffle once for the count alone.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     return df.repartition(n) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < n else df

@@ -237,3 +237,16 @@ def test_postings_are_settled_where_they_lie(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in found.collect()} == want and len(want) > 100
     # nothing is joined: a pair's two sets never travel
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spread_does_not_run_the_shuffle_it_counts(spark):
+    from opslens.session import spread, stored
+
+    joined = spark.range(1000).repartition(3).join(spark.range(500).hint("merge"), "id")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    try:
+        df = spread(joined)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert df.count() == 500 and stored(df, "rows").count() == 500
