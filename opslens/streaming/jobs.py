@@ -10,9 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -60,60 +58,79 @@ def dedupe_stream(sdf: DataFrame, key: str, ttl: str = "7 days", ts: str = "occu
 
 
 class Lifetimes(StatefulProcessor):
-    """Hit or miss of every request of a key under a fixed-anchor lifetime.
+    """Hit or miss of every request of a bucket of keys under a fixed-anchor lifetime.
 
-    The state of a key is the second of its last write. It is dropped by a timer once the watermark has passed its
-    lifetime, so what is kept is the keys of one lifetime, however long the stream runs.
+    The state of a bucket is the second of the last write of each of its keys, read and written as one list: Python meets
+    the state store a few times a bucket, not a key. Writes whose lifetime the watermark has passed are left out when the
+    list is written anew, and a timer drops it once the last of them has ended. So what is kept was written within two
+    lifetimes and the watermark's delay, however long the stream runs.
     """
 
-    def __init__(self, ttl_s: int, sec: str, row_id: str):
-        self.ttl_s, self.sec, self.row_id = ttl_s, sec, row_id
+    def __init__(self, ttl_s: int, row_id: str, columns: list[str]):
+        self.ttl_s, self.row_id, self.columns = ttl_s, row_id, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.anchor = handle.getValueState("anchor", "sec long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(rows).sort_values(["us__", self.row_id], kind="stable")
-        secs, writes = rows[self.sec].to_numpy(), rows["writes__"].to_numpy()
-        anchor = int(self.anchor.get()[0]) if self.anchor.exists() else None
-        before, hit, i = anchor, np.zeros(len(rows), bool), 0
-        while i < len(rows):
-            if anchor is not None and secs[i] - anchor < self.ttl_s:
-                j = int(np.searchsorted(secs, anchor + self.ttl_s, side="left"))
-                hit[i:j] = True
-                i = j
+        self.anchors = handle.getListState("anchors", "cache_key string, sec long")
+
+    def ends_ms(self, sec: int) -> int:
+        return (sec + self.ttl_s) * 1000
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, same = [], {}
+        for r in rows:
+            k, us, i = r["cache_key__"], r["us__"], r[self.row_id]
+            held.append((us is None, us, i is None, i, same.setdefault(k, k), r["sec__"], r["writes__"], *(r[c] for c in self.columns)))
+        held.sort(key=lambda h: h[:4])
+        anchors, hits, wrote = dict(self.anchors.get()), [], False
+        before = max(anchors.values(), default=None)
+        for k, sec, writes in (h[4:7] for h in held):
+            if sec is None:  # without a time no entry is met or written; cache_hits counts it so
+                hits.append(writes)
                 continue
-            more = np.flatnonzero(writes[i:])
-            if not len(more):
-                break
-            i += int(more[0])
-            anchor, i = int(secs[i]), i + 1
-        if anchor is not None and anchor != before:
+            hits.append(k in anchors and sec - anchors[k] < self.ttl_s)
+            if writes and not hits[-1]:
+                anchors[k], wrote = sec, True
+        if wrote:
+            # only now: rows of this batch may be older than its watermark
+            mark = timerValues.getCurrentWatermarkInMs()
+            live = [(k, sec) for k, sec in anchors.items() if self.ends_ms(sec) > mark]
             if before is not None:
-                self.handle.deleteTimer((before + self.ttl_s) * 1000)
-            self.anchor.update((anchor,))
-            self.handle.registerTimer((anchor + self.ttl_s) * 1000)
-        yield rows.drop(columns=["us__", "writes__", self.sec]).assign(is_hit=hit)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.anchor.clear()
+                self.handle.deleteTimer(self.ends_ms(before))
+            if live:
+                self.anchors.put(live)
+                self.handle.registerTimer(self.ends_ms(max(sec for _, sec in live)))
+            else:
+                self.anchors.clear()
+        out = Row(*self.columns, "is_hit")
+        for h, hit in zip(held, hits):
+            yield out(*h[7:], hit)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.anchors.clear()
         return iter([])
 
 
 def cache_hit_stream(sdf: DataFrame, key: str, ttl_s: int, ts: str = "occurred_at", row_id: str = "event_id",
-                     writes: Column | None = None, watermark: str = COUNT_WATERMARK) -> DataFrame:
+                     writes: Column | None = None, watermark: str = COUNT_WATERMARK, buckets: int = 1024) -> DataFrame:
     """A stream of requests plus ``is_hit``, as ``cache_hits`` has it for a table whose rows come in time order.
 
     ``writes`` tells which requests store their answer on a miss (default all). Rows of null keys are left out. Within a
     batch rows count in time order; a row that comes in a later batch than a write is a hit of it while the entry lives.
-    Start it with ``keyed_state`` around ``start``.
+    Keys are dealt to ``buckets`` by their hash, and a batch reads and writes the state of the buckets that it touches; a
+    task holds a bucket's rows of one batch. The number is part of the state, as that of shuffle partitions is, and stays
+    as it is for a checkpoint. Start it with ``keyed_state`` around ``start``.
     """
-    # tasks get rows as named tuples, whose names may not begin with an underscore
+    # tasks get plain rows: data frames would hold times up to the year 2262 only, and integers beside nulls as doubles
     src = sdf.filter(F.col(key).isNotNull()).withWatermark(ts, watermark).withColumn("us__", epoch_us(F.col(ts)))
     src = src.withColumn("sec__", int_div(F.col("us__"), 1_000_000)).withColumn("writes__", F.lit(True) if writes is None else F.coalesce(writes, F.lit(False)))
+    # the state holds keys as text: any other type as JSON, times to the microsecond
+    is_text = isinstance(sdf.select(key).schema[0].dataType, T.StringType)
+    as_json = F.to_json(F.struct(F.col(key).alias("k")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX"})
+    src = src.withColumn("cache_key__", F.col(key) if is_text else as_json)
+    src = src.withColumn("bucket__", F.pmod(F.xxhash64("cache_key__"), F.lit(buckets)))
     out = T.StructType([*sdf.schema.fields, T.StructField("is_hit", T.BooleanType())])
-    return src.groupBy(key).transformWithStateInPandas(Lifetimes(ttl_s, "sec__", row_id), out, "append", "EventTime")
+    return src.groupBy("bucket__").transformWithState(Lifetimes(ttl_s, row_id, sdf.columns), out, "append", "EventTime")
 
 
 @contextmanager

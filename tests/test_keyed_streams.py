@@ -31,6 +31,45 @@ def test_cache_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def cache_stream(spark, tmp_path, batches, cols, key, ttl_s, watermark, **more):
+    """Hits by row id, each of ``batches`` one file and one batch, and the state's rows after the last."""
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(src)
+        s = jobs.cache_hit_stream(spark.readStream.schema(cols).parquet(src), key, ttl_s, watermark=watermark, **more)
+        with jobs.keyed_state(spark):
+            q = s.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start(out)
+        q.awaitTermination(200)
+        assert q.exception() is None
+    kept = sum(p["numRowsTotal"] for p in q.lastProgress["stateOperators"])
+    return spark.read.parquet(out), kept
+
+
+def test_cache_stream_keeps_state_by_bucket(spark, tmp_path):
+    """Many keys make few entries of state, late in the calendar and beside nulls, and keys of one bucket stay apart."""
+    rnd, cols = random.Random(5), "event_id bigint, k bigint, n bigint, occurred_at timestamp"
+    t0, big = datetime(2400, 1, 1), 2**60 + 1
+    rows = sorted((t0 + timedelta(seconds=rnd.randrange(20_000)), i, rnd.randrange(300)) for i in range(1200))
+    rows = [(i, big + k, None if i % 2 else big + i, t) for t, i, k in rows]
+    got, kept = cache_stream(spark, tmp_path, [rows[:600], rows[600:]], cols, "k", 3600, "10 hours", buckets=4)
+    batch = spark.createDataFrame(rows, cols).withColumn("ts_us", F.unix_micros("occurred_at"))
+    want = cache_hits(batch, "k", 3600).drop("ts_us")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+    # an entry and a timer a bucket, where a state of its own for each key would be hundreds
+    assert 0 < kept < 300
+
+
+def test_cache_stream_drops_entries_that_have_ended(spark, tmp_path):
+    t0, cols = datetime(2026, 5, 1), "event_id bigint, k string, occurred_at timestamp"
+    batches = [[(i, f"k{i}", t0 + timedelta(seconds=i)) for i in range(50)], [(100, "k0", t0 + timedelta(hours=9))],
+               [(101, "k0", t0 + timedelta(hours=9, seconds=1)), (102, "k1", t0 + timedelta(hours=9, seconds=2)), (103, "k1", t0)]]
+    got, kept = cache_stream(spark, tmp_path, batches, cols, "k", 3600, "1 hour", buckets=1)
+    hits = {r["event_id"]: r["is_hit"] for r in got.collect()}
+    # a row behind the watermark is dropped, as before
+    assert hits == {**dict.fromkeys(range(50), False), 100: False, 101: True, 102: False}
+    assert kept < 10
+
+
 SEEN = "event_id bigint, service string, level string, fingerprint string, occurred_at timestamp"
 
 
