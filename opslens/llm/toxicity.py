@@ -64,6 +64,10 @@ def unpacked(row: pa.Scalar) -> np.ndarray:
     return np.frombuffer(held, "<u2", offset=4 * runs) + np.repeat(np.arange(runs, dtype=np.int32) << 16, each)
 
 
+def plain(row: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(row.as_buffer(), "<i4")
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -76,7 +80,7 @@ def training_ids(labels: DataFrame, sample_rows: int) -> DataFrame:
     return same.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
-def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], point: np.ndarray) -> tuple[float, np.ndarray]:
+def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], point: np.ndarray, read) -> tuple[float, np.ndarray]:
     """Loss and gradient over the sample at ``point`` (weights, bias last), summed in tasks.
 
     A task sends one array of a number a column; the documents stay where they are.
@@ -89,7 +93,7 @@ def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], po
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 b = batch.slice(at, STEP_ROWS)
-                lists = [unpacked(x) for x in b.column(1)]
+                lists = [read(x) for x in b.column(1)]
                 size = np.array([len(x) for x in lists])
                 y = b.column(0).to_numpy(zero_copy_only=False).astype(float)
                 cols = np.concatenate(lists)
@@ -110,16 +114,16 @@ def _passed(sample: DataFrame, scale: np.ndarray, weigh: tuple[float, float], po
     return sum(r["loss"] for r in sums), grad
 
 
-def logistic(sample: DataFrame, scale: np.ndarray, counts: np.ndarray, ridge: float, rounds: int, memory: int = 8) -> tuple[np.ndarray, float]:
+def logistic(sample: DataFrame, scale: np.ndarray, counts: np.ndarray, ridge: float, rounds: int, memory: int = 8, read=plain) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression over (toxic, cols) rows; a row has the value scale[j] in its
-    columns j, and both classes weigh the same.
+    columns j, and both classes weigh the same. ``read`` takes a row's columns from its bytes.
 
     Limited-memory quasi-Newton steps, halved until the loss falls; at most ``rounds`` passes over the sample.
     """
     m, weigh = len(scale), (0.5 / counts[0], 0.5 / counts[1])
 
     def at(point):
-        loss, grad = _passed(sample, scale, weigh, point)
+        loss, grad = _passed(sample, scale, weigh, point, read)
         grad[:m] += ridge * point[:m]
         return loss + 0.5 * ridge * float(point[:m] @ point[:m]), grad
 
@@ -204,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 16_000, leas
 
     # the passes read, and send, a number a feature instead of one a bucket
     slim = cut(sample.mapInArrow(numbered, "toxic int, cols binary"))
-    w, b = logistic(slim, ratio[feature], n, ridge, rounds)
+    w, b = logistic(slim, ratio[feature], n, ridge, rounds, read=unpacked)
     weights = np.zeros(BUCKETS, np.float32)
     weights[feature] = w * ratio[feature]
     return weights, b
